@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from verdikt.functions.text import strip
+from verdikt.functions.text import SPACE_CLASS, strip
 
 # A whole value equal to one of these is padding.
 FILLER_EXACT = ["n/a", "na", "tbd", "todo", "...", "-", "none", "?", "xxx"]
@@ -26,6 +28,14 @@ FILLER_PATTERNS = [
     r"example\.com/(?:path|foo|bar)",
 ]
 
+# Every pattern match holds one of these, so a text with none has no match.
+NEEDLES = [
+    "todo", "tbd", "fixme", "lorem ipsum", "your code here", "verify it works", "verify functionality",
+    "coming soon", "same as above", "<", "{{", "[insert", "[add", "[todo", "[placeholder", "example.com/",
+]
+# Letters that fold onto "s" and "i" when case is ignored.
+FOLDING = ["\u017f", "\u0131"]
+
 WORD_CHAR = r"[\p{L}\p{N}_]"
 
 
@@ -40,37 +50,77 @@ PATTERNS = [java_pattern(p) for p in FILLER_PATTERNS]
 ANY_PATTERN = "|".join(f"(?:{p})" for p in PATTERNS)
 
 
+# The rules below are SQL texts: they are used inside array lambdas, where one
+# parsed text is far quicker to plan than hundreds of nested Column calls.
+
+
+def _literal(value: str) -> str:
+    return "r'" + value + "'" if "\\" in value else "'" + value + "'"
+
+
+def _contains_any(text: str, needles: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, {_literal(n)})" for n in needles) + ")"
+
+
+def _is_exact(low: str) -> str:
+    return f"{low} IN (" + ", ".join(_literal(v) for v in FILLER_EXACT) + ")"
+
+
+def _is_hit(low: str) -> str:
+    """Plain searches first, then all patterns at once; most text ends early."""
+    return f"({_is_exact(low)} OR ({_contains_any(low, NEEDLES + FOLDING)} AND {low} RLIKE {_literal(ANY_PATTERN)}))"
+
+
+def _first_match(low: str) -> str:
+    """The match of the first pattern, in order, that occurs."""
+    found = ", ".join(f"nullif(regexp_extract({low}, {_literal(p)}, 0), '')" for p in PATTERNS)
+    return f"coalesce({found})"
+
+
+def _label(low: str) -> str:
+    return (
+        f"CASE WHEN {_is_exact(low)} THEN concat('empty-field:', {low}) "
+        f"ELSE concat('filler:', substring({_first_match(low)}, 1, 24)) END"
+    )
+
+
 def normalized(text: Column) -> Column:
     return F.lower(strip(text))
 
 
-def is_exact(low: Column) -> Column:
-    return low.isin(FILLER_EXACT)
+def is_hit(low: str) -> Column:
+    """Whether a normalized text column is or holds padding."""
+    return F.expr(_is_hit(low))
 
 
-def first_match(low: Column) -> Column:
-    """The match of the first pattern, in order, that occurs; else null."""
-    found = [F.nullif(F.regexp_extract(low, p, 0), F.lit("")) for p in PATTERNS]
-    return F.coalesce(*found)
+def hit_label(low: str) -> Column:
+    return F.expr(_label(low))
 
 
-def first_pattern(low: Column) -> Column:
-    """Position of the first pattern that occurs; else null."""
-    return F.coalesce(*[F.when(low.rlike(p), F.lit(i)) for i, p in enumerate(PATTERNS)])
+def hit_rule(low: str) -> Column:
+    """``exact``, or the position of the first pattern that occurs."""
+    whens = " ".join(f"WHEN {low} RLIKE {_literal(p)} THEN 'pattern-{i}'" for i, p in enumerate(PATTERNS))
+    return F.expr(f"CASE WHEN {_is_exact(low)} THEN 'exact' {whens} END")
 
 
-def hit_label(low: Column) -> Column:
-    return F.when(is_exact(low), F.concat(F.lit("empty-field:"), low)).otherwise(
-        F.concat(F.lit("filler:"), F.substring(first_match(low), 1, 24))
-    )
+def may_hold_hit(low_doc: str) -> Column:
+    """False only if no string of the lower-cased JSON text can be a hit.
+
+    Plain substring searches, so that most answers never reach the patterns.
+    """
+    return F.expr(f"{_contains_any(low_doc, NEEDLES + HIDING)} OR {low_doc} RLIKE {_literal(QUOTED_EXACT)}")
 
 
-def is_hit(low: Column) -> Column:
-    """One pass with all patterns at once; most text ends here."""
-    return is_exact(low) | low.rlike(ANY_PATTERN)
+def hits_of(strings: str) -> Column:
+    """Distinct labels of the normalized strings that are padding, in order."""
+    return F.expr(f"array_distinct(transform(filter({strings}, s -> {_is_hit('s')}), s -> {_label('s')}))")
 
 
-def hits_of(strings: Column) -> Column:
-    """Distinct labels of the strings that are or hold padding, in order."""
-    low = F.transform(strings, normalized)
-    return F.array_distinct(F.transform(F.filter(low, is_hit), hit_label))
+# Escapes that may hide a needle.
+HIDING = ["\\u", "\\/", *FOLDING]
+# A quoted exact value, or a string that starts with an escaped white space.
+QUOTED_EXACT = (
+    rf'"(?:[{SPACE_CLASS}]*(?:'
+    + "|".join(re.escape(v) for v in FILLER_EXACT)
+    + rf')(?:[{SPACE_CLASS}]|\\[ntrf])*"|\\[ntrf])'
+)

@@ -35,26 +35,30 @@ def is_string(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
 
 
-def kind_of(schema: Column) -> Column:
-    """Name of the JSON value's type, from its variant schema.
+def kind_of(schema: str) -> Column:
+    """Name of a JSON value's type, from the column holding its variant schema.
 
     A decimal without fraction digits is an integer too long for BIGINT when it
     has 19 or more digits, else a float such as 10.0 whose zeros were stripped.
     """
-    digits = F.regexp_extract(schema, r"^DECIMAL\((\d+),0\)$", 1)
-    return (
-        F.when(schema == "STRING", F.lit("str"))
-        .when(schema.startswith("ARRAY"), F.lit("list"))
-        .when(schema.startswith("OBJECT"), F.lit("dict"))
-        .when(schema == "BIGINT", F.lit("int"))
-        .when(schema == "BOOLEAN", F.lit("bool"))
-        .when(schema == "VOID", F.lit("NoneType"))
-        .when((digits != "") & (F.length(digits) == 2) & (digits >= "19"), F.lit("int"))
-        .when(schema.isNotNull(), F.lit("float"))
+    return F.expr(
+        f"""CASE WHEN {schema} = 'STRING' THEN 'str' WHEN {schema} LIKE 'ARRAY%' THEN 'list'
+        WHEN {schema} LIKE 'OBJECT%' THEN 'dict' WHEN {schema} = 'BIGINT' THEN 'int'
+        WHEN {schema} = 'BOOLEAN' THEN 'bool' WHEN {schema} = 'VOID' THEN 'NoneType'
+        WHEN {schema} RLIKE '^DECIMAL[(](19|2[0-9]|3[0-9]),0[)]$' THEN 'int'
+        WHEN {schema} IS NOT NULL THEN 'float' END"""
     )
 
 
 def truthy(value: Column) -> Column:
-    """Python truth of a JSON value; a missing value is false."""
+    """Python truth of a JSON value; a missing value is false.
+
+    A list with a first member and any text over five characters are settled
+    without serializing the value; all false values have shorter texts.
+    """
     first = F.try_variant_get(value, "$[0]", "variant")
-    return value.isNotNull() & (first.isNotNull() | ~F.to_json(value).rlike(FALSY))
+    return (
+        F.when(value.isNull(), F.lit(False))
+        .when(first.isNotNull() | (F.length(as_string(value)) > 5), F.lit(True))
+        .otherwise(~F.to_json(value).rlike(FALSY))
+    )

@@ -1,8 +1,12 @@
 """Contract checks on an extracted answer.
 
-Every check yields an outcome text: null when it does not apply, '' when it
+Every check yields an outcome text: '-' when it does not apply, '' when it
 passes, a note when it fails. A score is the share of passes among the outcomes
 that apply, and the notes are the failures in order.
+
+A contract has at most six top-level fields. Each takes one slot of plain
+columns (value, kind, length, text), so that the field checks compile to JVM
+code; only the members of a list are walked with array lambdas.
 """
 
 from __future__ import annotations
@@ -12,8 +16,11 @@ from pyspark.sql import functions as F
 
 from verdikt.functions import filler
 from verdikt.functions.text import JSON_STRING, python_repr, quoted, unquote_json
-from verdikt.functions.variants import as_list, as_object, as_string, is_string, kind_of, truthy
-from verdikt.operators.contracts import CONTRACTS, Contract, contract_of
+from verdikt.functions.variants import as_list, as_object, as_objects, as_string, is_string, kind_of, truthy
+from verdikt.operators.contracts import MAX_FIELDS, choice_rule, choice_slot, item_choice, item_list, item_names, rule
+
+PASS, SKIP = "", "-"
+SLOTS = range(MAX_FIELDS)
 
 
 def ratio(ok: Column, total: Column) -> Column:
@@ -21,197 +28,170 @@ def ratio(ok: Column, total: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(ok / total)
 
 
-def applicable(outcomes: Column) -> Column:
-    return F.filter(outcomes, lambda x: x.isNotNull())
+def failures(outcomes: Column) -> Column:
+    return F.array_remove(outcomes, PASS)
 
 
 def passed_share(outcomes: Column) -> Column:
-    """C0 over applicable outcomes."""
-    return ratio(F.size(F.filter(outcomes, lambda x: x == "")), F.size(outcomes))
+    total = F.size(outcomes)
+    return ratio(total - F.size(failures(outcomes)), total)
 
 
-def failures(outcomes: Column) -> Column:
-    return F.filter(outcomes, lambda x: x != "")
+def _outcome(applies: Column, passes: Column, note: Column) -> Column:
+    passes = F.coalesce(passes, F.lit(False))
+    return F.when(~F.coalesce(applies, F.lit(False)), F.lit(SKIP)).when(passes, F.lit(PASS)).otherwise(note)
 
 
 # Looking at the answer
 
 
-def _described(fields: Column, members: Column) -> Column:
-    """One struct per contract field: kind, length, text and list members.
-
-    Built in three steps so that each list cast and schema look-up runs once.
-    """
-    found = F.transform(
-        fields, lambda f: F.struct(f.alias("rule"), F.element_at(members, f["name"]).alias("value"))
-    )
-    listed = F.transform(
-        found, lambda x: F.struct(x["rule"].alias("rule"), x["value"].alias("value"), as_list(x["value"]).alias("list"))
-    )
-    typed = F.transform(
-        listed,
-        lambda x: F.struct(
-            x["rule"].alias("rule"),
-            x["value"].alias("value"),
-            x["list"].alias("list"),
-            F.when(x["list"].isNotNull(), F.lit("list")).otherwise(kind_of(F.schema_of_variant(x["value"]))).alias("kind"),
-        ),
-    )
-    return F.transform(
-        typed,
-        lambda x: F.struct(
-            x["rule"].alias("rule"),
-            x["value"].alias("value"),
-            x["list"].alias("list"),
-            x["kind"].alias("kind"),
-            F.when(x["kind"] == "list", F.size(x["list"]))
-            .when(x["kind"] == "str", F.length(as_string(x["value"])))
-            .when(x["kind"] == "dict", F.size(as_object(x["value"])))
-            .alias("n"),
-            F.when(x["kind"] == "str", as_string(x["value"]))
-            .when(x["rule"]["want"] == "str", python_repr(F.to_json(x["value"])))
-            .alias("text"),
-        ),
-    )
+def _slot(name: str, i: int) -> Column:
+    return F.col(f"_{name}{i}")
 
 
-def _members_as_objects(field: Column) -> Column:
-    """The members of a list as maps, null where a member is no object.
+def inspect_answer(df: DataFrame) -> DataFrame:
+    """Fill the slots, and ``members``: the item list as maps.
 
-    A text is walked by character and an object by key, as Python does; a
-    number or boolean, on which Python fails, counts as an empty list.
+    Slot columns: value, list, schema, then kind, n (length), text and typed
+    (whether all list members have the wanted type).
     """
+    answer = F.col("answer")
+    item_value = F.element_at(answer, item_list())
+    columns = {"_items": as_objects(item_value), "_item_value": item_value}
+    for i in SLOTS:
+        value = F.element_at(answer, rule(i, "name"))
+        is_item_list = F.coalesce(rule(i, "name") == item_list(), F.lit(False))
+        columns[f"_value{i}"] = value
+        columns[f"_list{i}"] = F.when(~is_item_list, as_list(value))
+    df = df.withColumns(columns)
+
+    columns = {}
+    for i in SLOTS:
+        is_list = _slot("list", i).isNotNull() | (F.col("_items").isNotNull() & (rule(i, "name") == item_list()))
+        columns[f"_schema{i}"] = F.when(F.coalesce(is_list, F.lit(False)), F.lit("ARRAY")).otherwise(
+            F.schema_of_variant(_slot("value", i))
+        )
+    df = df.withColumns(columns)
+
+    columns, odd_texts = {}, []
+    for i in SLOTS:
+        value, schema = _slot("value", i), _slot("schema", i)
+        columns[f"_kind{i}"] = kind_of(f"_schema{i}")
+        odd_text = F.when((schema != "STRING") & (rule(i, "want") == "str"), F.to_json(value))
+        odd_texts.append(odd_text)
+        columns[f"_text{i}"] = F.when(schema == "STRING", as_string(value))
+        columns[f"_n{i}"] = (
+            F.when(schema == "ARRAY", F.coalesce(F.size(_slot("list", i)), F.size("_items")))
+            .when(schema == "STRING", F.length(as_string(value)))
+            .when(schema.startswith("OBJECT"), F.size(as_object(value)))
+        )
+        columns[f"_typed{i}"] = F.when(rule(i, "element") == "str", F.forall(_slot("list", i), is_string))
+    # A text is walked by character and an object by key, as Python does; a
+    # number or boolean, on which Python fails, counts as an empty list.
     none = F.lit(None).cast("map<string,variant>")
-    return (
-        F.when(field["kind"] == "list", F.transform(field["list"], as_object))
-        .when(field["kind"].isin("str", "dict"), F.array_repeat(none, field["n"]))
-        .otherwise(F.array().cast("array<map<string,variant>>"))
-    )
-
-
-def inspect_answer(df: DataFrame, contracts: dict[str, Contract] = CONTRACTS) -> DataFrame:
-    """Add ``contract``, ``fields`` (by name) and ``members`` (the item list)."""
-    df = df.withColumn("contract", contract_of(F.col("task"), contracts))
-    df = df.withColumn("_described", _described(F.col("contract.fields"), as_object(F.col("answer"))))
-    df = df.withColumn(
-        "fields",
-        F.map_from_entries(F.transform("_described", lambda x: F.struct(x["rule"]["name"], x))),
-    )
-    field = F.element_at(F.col("fields"), F.col("contract.item_list"))
-    df = df.withColumn("_item_field", field)
-    df = df.withColumn("members", _members_as_objects(F.col("_item_field")))
-    return df
+    item_value = F.col("_item_value")
+    walked = F.when(is_string(item_value), F.length(as_string(item_value))).otherwise(F.size(as_object(item_value)))
+    columns["members"] = F.coalesce(F.col("_items"), F.array_repeat(none, F.coalesce(walked, F.lit(0))))
+    # ``str()`` of the values that should be texts and are not.
+    columns["_odd_texts"] = F.transform(F.array(*odd_texts), python_repr)
+    df = df.withColumns(columns)
+    texts = {f"_text{i}": F.coalesce(_slot("text", i), F.get("_odd_texts", F.lit(i))) for i in SLOTS}
+    return df.withColumns(texts)
 
 
 # The checks themselves
 
 
-def required_outcomes(described: Column) -> Column:
+def required_outcome(i: int) -> Column:
     """Present, not null, and not empty unless the list may be empty."""
-
-    def outcome(x: Column) -> Column:
-        rule = x["rule"]
-        may_be_empty = (x["kind"] == "list") & (F.coalesce(rule["min_len"], F.lit(1)) == 0)
-        missing = x["kind"].isNull() | (x["kind"] == "NoneType") | (F.coalesce(x["n"] == 0, F.lit(False)) & ~may_be_empty)
-        return F.when(
-            rule["required"],
-            F.when(missing, F.concat(F.lit("missing/empty:"), rule["name"])).otherwise(F.lit("")),
-        )
-
-    return F.transform(described, outcome)
+    kind = _slot("kind", i)
+    may_be_empty = (kind == "list") & (F.coalesce(rule(i, "min_len"), F.lit(1)) == 0)
+    empty = F.coalesce(_slot("n", i) == 0, F.lit(False))
+    missing = kind.isNull() | (kind == "NoneType") | (empty & ~may_be_empty)
+    return _outcome(rule(i, "required"), ~missing, F.concat(F.lit("missing/empty:"), rule(i, "name")))
 
 
-def type_outcomes(described: Column) -> Column:
+def type_outcome(i: int) -> Column:
     """The JSON type, where the field is present and not null."""
+    kind = _slot("kind", i)
+    note = F.concat(F.lit("wrongtype:"), rule(i, "name"), F.lit("="), kind)
+    return _outcome(kind != "NoneType", kind == rule(i, "want"), note)
 
-    def outcome(x: Column) -> Column:
-        note = F.concat(F.lit("wrongtype:"), x["rule"]["name"], F.lit("="), x["kind"])
-        present = x["kind"].isNotNull() & (x["kind"] != "NoneType")
-        return F.when(present, F.when(x["kind"] == x["rule"]["want"], F.lit("")).otherwise(note))
 
-    return F.transform(described, outcome)
+def list_outcome(i: int) -> Column:
+    """Enough members, all of the wanted type."""
+    n = _slot("n", i)
+    all_objects = F.forall("members", lambda m: m.isNotNull())
+    typed = F.when(rule(i, "element") == "str", _slot("typed", i)).otherwise(all_objects)
+    note = F.concat(
+        F.lit("array:"), rule(i, "name"), F.lit(" n="), n.cast("string"), F.lit(" min="), rule(i, "min_len").cast("string")
+    )
+    applies = rule(i, "element").isNotNull() & (_slot("kind", i) == "list")
+    return _outcome(applies, (n >= rule(i, "min_len")) & typed, note)
 
 
-def list_outcomes(described: Column) -> Column:
-    """Enough members, all of the wanted type."""
+def enum_outcome() -> Column:
+    """Value in its set, where the key is present at all.
 
-    def outcome(x: Column) -> Column:
-        rule = x["rule"]
-        typed = F.when(
-            rule["element"] == "str", F.forall(x["list"], is_string)
-        ).otherwise(F.forall(x["list"], lambda m: as_object(m).isNotNull()))
-        note = F.concat(
-            F.lit("array:"), rule["name"], F.lit(" n="), x["n"].cast("string"), F.lit(" min="), rule["min_len"].cast("string")
-        )
-        return F.when(
-            rule["element"].isNotNull() & (x["kind"] == "list"),
-            F.when((x["n"] >= rule["min_len"]) & typed, F.lit("")).otherwise(note),
-        )
+    A contract has at most one top-level field with a value set.
+    """
+
+    def pick(part: str) -> Column:
+        return F.get(F.array(*[_slot(part, i) for i in SLOTS]), choice_slot())
 
-    return F.transform(described, outcome)
+    kind, text, (name, allowed) = pick("kind"), pick("text"), choice_rule()
+    shown = F.when(kind == "str", quoted(text)).otherwise(text)
+    note = F.concat(F.lit("enum:"), name, F.lit("="), shown)
+    return _outcome(kind.isNotNull(), (kind == "str") & F.array_contains(allowed, text), note)
 
 
-def _position(name: Column, i: Column) -> Column:
+def _place(name: Column, i: Column) -> Column:
     return F.concat(name, F.lit("["), i.cast("string"), F.lit("]"))
 
 
-def item_outcomes(members: Column, name: Column, rules: Column) -> Column:
+def item_outcomes() -> Column:
     """C4: per member one outcome per key, or one failure if it is no object."""
+    name, keys = item_list(), item_names()
 
     def member(m: Column, i: Column) -> Column:
-        at = F.concat(F.lit("item:"), _position(name, i))
-        per_key = F.transform(
-            rules,
-            lambda r: F.when(truthy(F.element_at(m, r["name"])), F.lit("")).otherwise(F.concat(at, F.lit("."), r["name"])),
-        )
-        return F.when(m.isNull(), F.array(F.concat(at, F.lit(" not-object")))).otherwise(per_key)
-
-    return F.flatten(F.transform(members, member))
-
+        def per_key(key: Column) -> Column:
+            note = F.concat(F.lit("item:"), _place(name, i), F.lit("."), key)
+            return F.when(truthy(F.element_at(m, key)), F.lit(PASS)).otherwise(note)
 
-def enum_outcomes(described: Column) -> Column:
-    """Value in its set, where the key is present at all."""
+        not_object = F.array(F.concat(F.lit("item:"), _place(name, i), F.lit(" not-object")))
+        return F.when(m.isNull(), not_object).otherwise(F.transform(keys, per_key))
 
-    def outcome(x: Column) -> Column:
-        allowed = x["rule"]["allowed"]
-        text = F.when(x["kind"] == "str", quoted(x["text"])).otherwise(x["text"])
-        ok = (x["kind"] == "str") & F.array_contains(allowed, x["text"])
-        note = F.concat(F.lit("enum:"), x["rule"]["name"], F.lit("="), text)
-        return F.when(allowed.isNotNull() & x["kind"].isNotNull(), F.when(ok, F.lit("")).otherwise(note))
+    outcomes = F.flatten(F.transform("members", member))
+    return F.when(name.isNotNull(), outcomes).otherwise(F.array().cast("array<string>"))
 
-    return F.transform(described, outcome)
 
-
-def item_enum_outcomes(members: Column, name: Column, rules: Column) -> Column:
-    """The same inside the member objects, per key that is present."""
+def item_enum_outcomes() -> Column:
+    """The value sets inside the member objects, per key that is present."""
+    name, key, allowed = item_list(), item_choice("name", "string"), item_choice("allowed", "array<string>")
 
     def member(m: Column, i: Column) -> Column:
-        def per_key(r: Column) -> Column:
-            value = F.element_at(m, r["name"])
-            ok = is_string(value) & F.array_contains(r["allowed"], as_string(value))
-            note = F.concat(
-                F.lit("enum:"), _position(name, i), F.lit("."), r["name"], F.lit("="), python_repr(F.to_json(value))
-            )
-            return F.when(r["allowed"].isNotNull() & value.isNotNull(), F.when(ok, F.lit("")).otherwise(note))
+        value = F.element_at(m, key)
+        ok = is_string(value) & F.array_contains(allowed, as_string(value))
+        shown = python_repr(F.to_json(value))
+        note = F.concat(F.lit("enum:"), _place(name, i), F.lit("."), key, F.lit("="), shown)
+        return F.when(value.isNull(), F.lit(SKIP)).when(ok, F.lit(PASS)).otherwise(note)
+
+    return F.when(key.isNotNull(), F.transform("members", member)).otherwise(F.array().cast("array<string>"))
 
-        return F.transform(rules, per_key)
 
-    present = F.transform(members, lambda m, i: F.when(m.isNotNull(), member(m, i)))
-    return F.flatten(F.filter(present, lambda x: x.isNotNull()))
+def _slots(outcome) -> Column:
+    return F.array(*[outcome(i) for i in SLOTS])
 
 
-def check_schema(df: DataFrame) -> DataFrame:
-    """Add ``schema_outcomes`` to an inspected answer."""
-    described = F.col("_described")
-    items = item_outcomes(F.col("members"), F.col("contract.item_list"), F.col("contract.items"))
-    outcomes = F.concat(required_outcomes(described), type_outcomes(described), list_outcomes(described), items)
-    return df.withColumn("schema_outcomes", applicable(outcomes))
+def schema_outcomes() -> Column:
+    """All schema outcomes of an inspected answer, in note order."""
+    outcomes = F.concat(_slots(required_outcome), _slots(type_outcome), _slots(list_outcome), item_outcomes())
+    return F.array_remove(outcomes, SKIP)
 
 
-def check_enums(df: DataFrame) -> DataFrame:
-    """Add ``enum_outcomes`` to an inspected answer."""
-    items = item_enum_outcomes(F.col("members"), F.col("contract.item_list"), F.col("contract.items"))
-    return df.withColumn("enum_outcomes", applicable(F.concat(enum_outcomes(F.col("_described")), items)))
+def enum_outcomes() -> Column:
+    """All enum outcomes of an inspected answer, in note order."""
+    return F.array_remove(F.concat(F.array(enum_outcome()), item_enum_outcomes()), SKIP)
 
 
 # Placeholder text
@@ -220,12 +200,16 @@ def check_enums(df: DataFrame) -> DataFrame:
 def strings_of(doc: Column) -> Column:
     """Every string value of a JSON text at any depth, keys left out."""
     tokens = F.regexp_extract_all(doc, F.lit(JSON_STRING + r"(?:\s*:)?"), F.lit(0))
-    return F.transform(F.filter(tokens, lambda t: ~t.endswith(":")), unquote_json)
+    values = F.filter(tokens, lambda t: ~t.endswith(":"))
+    return F.transform(
+        values, lambda t: F.when(t.contains("\\"), unquote_json(t)).otherwise(F.substr(t, F.lit(2), F.length(t) - 2))
+    )
 
 
-def check_clean(df: DataFrame, doc: str = "doc") -> DataFrame:
-    """Add ``filler_hits``, the distinct placeholder labels in order."""
-    return df.withColumn("filler_hits", filler.hits_of(strings_of(F.col(doc))))
+def walked_strings(doc: str = "doc", low_doc: str = "_low_doc") -> Column:
+    """The normalized strings of a JSON text, if any of them can be padding."""
+    low = F.transform(strings_of(F.col(doc)), filler.normalized)
+    return F.when(filler.may_hold_hit(low_doc), low).otherwise(F.array().cast("array<string>"))
 
 
 def clean_score(hits: Column) -> Column:
@@ -237,13 +221,9 @@ def clean_notes(hits: Column) -> Column:
 
 
 def filler_scan(df: DataFrame, text: str) -> DataFrame:
-    """E5: the same detector over a plain text column; one label per hit row."""
-    low = F.col("_low")
-    df = df.withColumn("_low", filler.normalized(F.col(text)))
-    df = df.where(filler.is_hit(low))
-    return df.withColumn("label", filler.hit_label(low)).withColumn(
-        "rule",
-        F.when(filler.is_exact(low), F.lit("exact")).otherwise(
-            F.concat(F.lit("pattern-"), filler.first_pattern(low).cast("string"))
-        ),
-    ).drop("_low")
+    """E5: the same detector over a plain text column; one row per hit.
+
+    Adds ``label`` and ``rule`` (exact, or the position of the pattern).
+    """
+    df = df.withColumn("_low", filler.normalized(F.col(text))).where(filler.is_hit("_low"))
+    return df.withColumns({"label": filler.hit_label("_low"), "rule": filler.hit_rule("_low")}).drop("_low")

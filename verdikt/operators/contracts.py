@@ -124,49 +124,92 @@ CONTRACTS: dict[str, Contract] = {
 }
 
 
-def _strings(values) -> Column:
-    if values is None:
-        return F.lit(None).cast("array<string>")
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
-
-
-def _field_literal(r: FieldRule) -> Column:
-    return F.struct(
-        F.lit(r.name).alias("name"),
-        F.lit(r.want).alias("want"),
-        F.lit(r.required).alias("required"),
-        F.lit(r.min_len).cast("int").alias("min_len"),
-        F.lit(r.element).cast("string").alias("element"),
-        _strings(r.allowed).alias("allowed"),
-    )
+MAX_FIELDS = max(len(c.fields) for c in CONTRACTS.values())
 
 
-def _item_literal(r: ItemRule) -> Column:
-    return F.struct(F.lit(r.name).alias("name"), _strings(r.allowed).alias("allowed"))
+def _sql(value) -> str:
+    if value is None:
+        return "null"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, tuple):
+        return "array(" + ", ".join(_sql(v) for v in value) + ")"
+    return f"'{value}'" if isinstance(value, str) else str(value)
 
 
-ITEM_TYPE = "array<struct<name:string,allowed:array<string>>>"
+def _by_task(values: dict, sql_type: str) -> Column:
+    """A small look-up on ``task`` that Spark folds into the plan."""
+    whens = " ".join(f"WHEN '{task}' THEN {_sql(v)}" for task, v in values.items() if v is not None)
+    return F.expr(f"CAST(CASE task {whens} END AS {sql_type})" if whens else f"CAST(null AS {sql_type})")
 
 
-def _literal(c: Contract) -> Column:
-    return F.struct(
-        F.array(*[_field_literal(r) for r in c.fields]).alias("fields"),
-        F.lit(c.item_list).cast("string").alias("item_list"),
-        (F.array(*[_item_literal(r) for r in c.items]) if c.items else F.array()).cast(ITEM_TYPE).alias("items"),
-    )
+RULE_TYPES = {
+    "name": "string",
+    "want": "string",
+    "required": "boolean",
+    "min_len": "int",
+    "element": "string",
+    "allowed": "array<string>",
+}
+
+
+def rule(i: int, part: str) -> Column:
+    """One part of the ``i``-th field rule of the row's task."""
+    values = {t: getattr(c.fields[i], part) for t, c in CONTRACTS.items() if i < len(c.fields)}
+    return _by_task(values, RULE_TYPES[part])
+
+
+def _choices() -> dict[str, int]:
+    return {t: i for t, c in CONTRACTS.items() for i, r in enumerate(c.fields) if r.allowed}
+
+
+def choice_slot() -> Column:
+    """Position of the one top-level field with a value set, or null."""
+    return _by_task(_choices(), "int")
+
 
+def choice_rule() -> tuple[Column, Column]:
+    """Name and value set of that field."""
+    rules = {t: CONTRACTS[t].fields[i] for t, i in _choices().items()}
+    names = _by_task({t: r.name for t, r in rules.items()}, "string")
+    return names, _by_task({t: r.allowed for t, r in rules.items()}, "array<string>")
 
-def contract_of(task: Column, contracts: dict[str, Contract] = CONTRACTS) -> Column:
-    """The contract of a task; an unknown task stops the job with its name."""
-    entries = [part for name, c in contracts.items() for part in (F.lit(name), _literal(c))]
+
+def item_list() -> Column:
+    """Name of the row's item list, or null."""
+    return _by_task({t: c.item_list for t, c in CONTRACTS.items()}, "string")
+
+
+def item_names() -> Column:
+    """Keys each member of the item list must have."""
+    return _by_task({t: tuple(r.name for r in c.items) or None for t, c in CONTRACTS.items()}, "array<string>")
+
+
+def item_choice(part: str, sql_type: str) -> Column:
+    """Name or value set of the one key with a value set in each member."""
+    values = {}
+    for task, c in CONTRACTS.items():
+        for r in c.items:
+            if r.allowed:
+                values[task] = getattr(r, part)
+    return _by_task(values, sql_type)
+
+
+def known_task(task: Column) -> Column:
+    """The task itself; an unknown one stops the job with its name."""
     unknown = F.raise_error(F.concat(F.lit("unknown task: "), F.coalesce(task, F.lit("null"))))
-    return F.when(task.isin(list(contracts)), F.create_map(*entries)[task]).otherwise(unknown)
+    return F.when(task.isin(list(CONTRACTS)), task).otherwise(unknown)
+
+
+def slot_of(task: str, name: str) -> int:
+    """Position of a field among its contract's fields."""
+    return [r.name for r in CONTRACTS[task].fields].index(name)
 
 
-def contract_table(spark: SparkSession, contracts: dict[str, Contract] = CONTRACTS) -> DataFrame:
+def contract_table(spark: SparkSession) -> DataFrame:
     """The contracts as rows, one per rule."""
     rows = []
-    for task, c in contracts.items():
+    for task, c in CONTRACTS.items():
         tool = TOOLS.get(task)
         for r in c.fields:
             rows.append((task, tool, None, r.name, r.want, r.required, r.min_len, r.element, r.allowed))

@@ -176,9 +176,10 @@ def find_in_text(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def extract_json(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """Add ``extract`` (the mode), ``doc`` (JSON text) and ``answer`` (VARIANT).
+    """Add ``extract`` (the mode), ``doc`` (JSON text) and ``answer``.
 
-    ``doc`` keeps key order, which a variant does not.
+    ``answer`` maps the object's keys to VARIANT values. ``doc`` keeps key
+    order, which a variant does not.
     """
     text = F.col("_text")
     exact = _is_exact(F.col("_whole"))
@@ -205,11 +206,12 @@ def extract_json(df: DataFrame, raw: str = "raw") -> DataFrame:
         "doc",
         F.when(exact & opens_object, text).when(fenced, F.col("_body")).otherwise(F.col("_found.doc")),
     )
+    members = "map<string,variant>"
     df = df.withColumn(
         "answer",
-        F.when(exact & opens_object, F.try_variant_get("_whole", "$[0]", "variant"))
-        .when(fenced, F.try_variant_get("_fence", "$[0]", "variant"))
-        .otherwise(F.try_parse_json(F.col("_found.doc"))),
+        F.when(exact & opens_object, F.try_variant_get("_whole", "$[0]", members))
+        .when(fenced, F.try_variant_get("_fence", "$[0]", members))
+        .otherwise(F.try_variant_get(F.try_parse_json(F.col("_found.doc")), "$", members)),
     )
     lost = F.col("_mode").isin(EMITTED) & F.col("answer").isNull()
     df = df.withColumn("extract", F.when(lost, F.lit("unparseable")).otherwise(F.col("_mode")))

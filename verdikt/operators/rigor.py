@@ -1,39 +1,37 @@
 """Task-specific rigor: the mean of a few components, plus notes.
 
-Each function reads the described ``fields`` map and the member objects and
+Each function reads the slots of an inspected answer and its member objects, and
 returns ``struct<value double, notes array<string>>``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from verdikt.functions.text import bind, python_repr, quoted, strip
 from verdikt.functions.variants import as_object, as_objects, as_string, is_string, truthy
 from verdikt.operators.checks import ratio
-from verdikt.operators.contracts import PRIORITY
+from verdikt.operators.contracts import PRIORITY, slot_of
 
 # Fixed values.
 COMMIT_TYPES = "^(feat|fix|chore|refactor|docs|test|perf)"
 COMMIT_LINE = r"(?d)" + COMMIT_TYPES + r"(\(.+\))?: .+"
 COVERED = ["happy", "negative", "edge", "security", "accessibility"]
 
-TEXTS = "array<string>"
 
+def _field(task: str, name: str, part: str) -> Column:
+    return F.col(f"_{part}{slot_of(task, name)}")
 
-def _field(name: str) -> Column:
-    return F.element_at(F.col("fields"), name)
 
-
-def _text(name: str) -> Column:
+def _text(task: str, name: str) -> Column:
     """``str()`` of a field, '' when absent."""
-    return F.coalesce(_field(name)["text"], F.lit(""))
+    return F.coalesce(_field(task, name, "text"), F.lit(""))
 
 
-def _length(name: str) -> Column:
+def _length(task: str, name: str) -> Column:
     """``len()`` of a list, text or object; 0 for anything else."""
-    return F.coalesce(_field(name)["n"], F.lit(0))
+    return F.coalesce(_field(task, name, "n"), F.lit(0))
 
 
 def _step(condition: Column, otherwise: float = 0.0) -> Column:
@@ -45,19 +43,19 @@ def _count(values: Column, condition) -> Column:
 
 
 def _note(condition: Column, note: Column | str) -> Column:
-    return F.when(condition, F.lit(note) if isinstance(note, str) else note)
+    return F.when(condition, F.lit(note) if isinstance(note, str) else note).otherwise(F.lit(""))
 
 
 def _result(parts: list[Column], notes: list[Column]) -> Column:
     total = parts[0]
     for part in parts[1:]:
         total = total + part
-    kept = F.filter(F.array(*notes), lambda x: x.isNotNull()) if notes else F.array().cast(TEXTS)
-    return F.struct((total / len(parts)).cast("double").alias("value"), kept.cast(TEXTS).alias("notes"))
+    kept = F.array_remove(F.array(*notes), "")
+    return F.struct((total / len(parts)).cast("double").alias("value"), kept.alias("notes"))
 
 
 def _nothing(note: str) -> Column:
-    return F.struct(F.lit(0.0).alias("value"), F.array(F.lit(note)).cast(TEXTS).alias("notes"))
+    return F.struct(F.lit(0.0).alias("value"), F.array(F.lit(note)).alias("notes"))
 
 
 def text_of(value: Column) -> Column:
@@ -67,17 +65,20 @@ def text_of(value: Column) -> Column:
 
 
 def plan() -> Column:
-    criteria = _field("acceptance_criteria")
-    n = _length("acceptance_criteria")
-    long_texts = _count(criteria["list"], lambda x: is_string(x) & (F.length(as_string(x)) >= 20))
-    long_keys = _count(F.map_keys(as_object(criteria["value"])), lambda k: F.length(k) >= 20)
-    good = F.when(criteria["kind"] == "list", long_texts).when(criteria["kind"] == "dict", long_keys).otherwise(0)
+    def criteria(part: str) -> Column:
+        return _field("plan", "acceptance_criteria", part)
+
+    n = _length("plan", "acceptance_criteria")
+    long_texts = _count(criteria("list"), lambda x: is_string(x) & (F.length(as_string(x)) >= 20))
+    long_keys = _count(F.map_keys(as_object(criteria("value"))), lambda k: F.length(k) >= 20)
+    kind = criteria("kind")
+    good = F.when(kind == "list", long_texts).when(kind == "dict", long_keys).otherwise(F.lit(0))
     return _result(
         [
             F.least(F.lit(1.0), n / 3),
             ratio(good, n),
-            _step(F.length(_text("title")).between(1, 120)),
-            _step(F.length(_text("description_md")) >= 100),
+            _step(F.length(_text("plan", "title")).between(1, 120)),
+            _step(F.length(_text("plan", "description_md")) >= 100),
         ],
         [_note(n < 3, F.concat(F.lit("thin-ac:"), n.cast("string")))],
     )
@@ -94,7 +95,7 @@ def dev(changes: Column) -> Column:
     good = _count(paths, relative)
     # Paths that are no text are told apart by their JSON.
     distinct = F.size(F.array_distinct(F.transform(paths, lambda p: F.coalesce(F.to_json(p), F.lit("null")))))
-    body, commit = _text("pr_body"), _text("commit_message")
+    body, commit = _text("dev", "pr_body"), _text("dev", "commit_message")
     scored = _result(
         [
             ratio(good, n),
@@ -115,7 +116,7 @@ def review(findings: Column) -> Column:
     severities = F.array_sort(
         F.array_distinct(F.transform(findings, lambda m: F.lower(text_of(F.element_at(m, "severity")))))
     )
-    verdict = F.upper(_text("verdict"))
+    verdict = F.upper(_text("review", "verdict"))
     grave = F.arrays_overlap(severities, F.array(F.lit("critical"), F.lit("major")))
     inconsistent = grave & ~verdict.isin("REQUEST CHANGES", "BLOCK")
     listed = F.array_join(F.transform(severities, quoted), ", ")
@@ -123,7 +124,7 @@ def review(findings: Column) -> Column:
         [
             ratio(located, F.size(findings)),
             _step(~inconsistent),
-            _step(F.length(_text("summary")) >= 60),
+            _step(F.length(_text("review", "summary")) >= 60),
         ],
         [
             _note(
@@ -215,22 +216,22 @@ def qe(suites: Column, cases: Column) -> Column:
 
 
 def bug() -> Column:
-    expected, actual = _text("expected"), _text("actual")
+    expected, actual = _text("bug", "expected"), _text("bug", "actual")
     same = strip(expected) == strip(actual)
     return _result(
         [
-            _step(_length("steps_to_reproduce") >= 2),
+            _step(_length("bug", "steps_to_reproduce") >= 2),
             _step((expected != "") & (actual != "") & ~same),
-            _step(F.length(_text("suspected_cause")) >= 40),
+            _step(F.length(_text("bug", "suspected_cause")) >= 40),
         ],
         [_note(same, "expected==actual")],
     )
 
 
 def devops() -> Column:
-    thin = F.length(_text("rollback")) < 40
+    thin = F.length(_text("devops", "rollback")) < 40
     return _result(
-        [_step(_length("steps") >= 3, 0.5), _step(~thin), _step(_length("checks") >= 2, 0.5)],
+        [_step(_length("devops", "steps") >= 3, 0.5), _step(~thin), _step(_length("devops", "checks") >= 2, 0.5)],
         [_note(thin, "thin-rollback")],
     )
 
@@ -244,14 +245,16 @@ def custom(actions: Column) -> Column:
     return F.when(n == 0, _nothing("no-actions")).otherwise(_result([full / n], [_note(full < n, "thin-actions")]))
 
 
-def check_rigor(df: DataFrame) -> DataFrame:
-    """F1-F8: add ``rigor_result`` to an inspected answer, by task."""
-    df = df.withColumn("_objects", F.filter("members", lambda m: m.isNotNull()))
+def rigor_inputs() -> dict[str, Column]:
+    """The member objects, and for test plans the flattened cases."""
+    objects = F.filter("members", lambda m: m.isNotNull())
+    none = F.array().cast("array<map<string,variant>>")
+    return {"_objects": objects, "_cases": F.when(F.col("task") == "qe", qe_cases(objects)).otherwise(none)}
+
+
+def rigor_result() -> Column:
+    """F8: the task's rigor, from an inspected answer and its rigor inputs."""
     objects = F.col("_objects")
-    df = df.withColumn(
-        "_cases",
-        F.when(F.col("task") == "qe", qe_cases(objects)).otherwise(F.array().cast("array<map<string,variant>>")),
-    )
     by_task = {
         "plan": plan(),
         "dev": dev(objects),
@@ -261,7 +264,7 @@ def check_rigor(df: DataFrame) -> DataFrame:
         "devops": devops(),
         "custom": custom(objects),
     }
-    result = F.lit(None).cast("struct<value:double,notes:array<string>>")
+    result = F.when(F.lit(False), by_task["plan"])
     for task, value in by_task.items():
-        result = F.when(F.col("task") == task, value).otherwise(result)
-    return df.withColumn("rigor_result", result)
+        result = result.when(F.col("task") == task, value)
+    return result

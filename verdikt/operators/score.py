@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdikt.functions import filler
 from verdikt.operators import checks, rigor
-from verdikt.operators.contracts import CONTRACTS, Contract
+from verdikt.operators.contracts import known_task
 from verdikt.operators.extract import EMITTED, extract_json
 
 # Fixed values.
@@ -14,33 +15,46 @@ WEIGHTS = {"schema": 0.30, "enums": 0.20, "rigor": 0.35, "clean": 0.15}
 METRICS = ["emitted", "schema", "enums", "rigor", "clean", "score"]
 MAX_NOTES = 8
 
-WORKING = [
-    "doc", "answer", "contract", "_described", "fields", "_item_field", "members", "_objects", "_cases",
-    "schema_outcomes", "enum_outcomes", "filler_hits", "rigor_result",
-]
+CHECKED = ["schema_outcomes", "enum_outcomes", "rigor_result", "filler_hits"]
 
 
-def examine(df: DataFrame, raw: str = "raw", contracts: dict[str, Contract] = CONTRACTS) -> DataFrame:
-    """Extract the answer and run every check; keeps the working columns."""
-    df = checks.inspect_answer(extract_json(df, raw), contracts)
-    df = checks.check_enums(checks.check_schema(df))
-    return checks.check_clean(rigor.check_rigor(df))
+def examine(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """Extract each answer and run every check.
+
+    Adds ``extract``, ``chars`` and the columns named in ``CHECKED``.
+    """
+    kept = [c for c in df.columns if c != raw]
+    df = df.withColumns({"chars": F.length(F.coalesce(F.col(raw), F.lit(""))), "task": known_task(F.col("task"))})
+    df = checks.inspect_answer(extract_json(df, raw))
+    df = df.withColumns(rigor.rigor_inputs() | {"_low_doc": F.lower("doc")})
+    df = df.withColumn("_strings", checks.walked_strings())
+    return df.select(
+        *kept,
+        "extract",
+        "chars",
+        checks.schema_outcomes().alias("schema_outcomes"),
+        checks.enum_outcomes().alias("enum_outcomes"),
+        rigor.rigor_result().alias("rigor_result"),
+        filler.hits_of("_strings").alias("filler_hits"),
+    )
 
 
-def score(df: DataFrame, raw: str = "raw", contracts: dict[str, Contract] = CONTRACTS) -> DataFrame:
+def score(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Score ``task``, ``raw`` rows; other columns but the text pass through."""
-    df = examine(df, raw, contracts)
+    df = examine(df, raw)
     emitted = F.col("extract").isin(EMITTED)
 
     def when_emitted(value):
         return F.when(emitted, value).otherwise(F.lit(0.0))
 
-    df = (
-        df.withColumn("emitted", emitted.cast("int"))
-        .withColumn("schema", when_emitted(checks.passed_share(F.col("schema_outcomes"))))
-        .withColumn("enums", when_emitted(checks.passed_share(F.col("enum_outcomes"))))
-        .withColumn("rigor", when_emitted(F.col("rigor_result.value")))
-        .withColumn("clean", when_emitted(checks.clean_score(F.col("filler_hits"))))
+    df = df.withColumns(
+        {
+            "emitted": emitted.cast("int"),
+            "schema": when_emitted(checks.passed_share(F.col("schema_outcomes"))),
+            "enums": when_emitted(checks.passed_share(F.col("enum_outcomes"))),
+            "rigor": when_emitted(F.col("rigor_result.value")),
+            "clean": when_emitted(checks.clean_score(F.col("filler_hits"))),
+        }
     )
     total = F.lit(0.0)
     for name, weight in WEIGHTS.items():
@@ -52,9 +66,5 @@ def score(df: DataFrame, raw: str = "raw", contracts: dict[str, Contract] = CONT
         checks.clean_notes(F.col("filler_hits")),
     )
     missing = F.array(F.concat(F.lit("extract:"), F.col("extract")))
-    df = (
-        df.withColumn("score", total)
-        .withColumn("notes", F.when(emitted, F.slice(notes, 1, MAX_NOTES)).otherwise(missing))
-        .withColumn("chars", F.length(F.coalesce(F.col(raw), F.lit(""))))
-    )
-    return df.drop(*WORKING, raw)
+    notes = F.when(emitted, F.slice(notes, 1, MAX_NOTES)).otherwise(missing)
+    return df.withColumns({"score": total, "notes": notes}).drop(*CHECKED)

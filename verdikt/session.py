@@ -11,6 +11,11 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The scorer's row function is large; beyond this size the JVM would not
+    # compile one fused method, so let Spark split it instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Call sites on every column expression cost more than planning itself.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Answers can be long; smaller Arrow batches keep Python workers small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
@@ -22,6 +27,7 @@ def local_session(cores: int | str = "*", memory: str = "8g", partitions: int =
         SparkSession.builder.master(f"local[{cores}]")
         .appName("verdikt")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
