@@ -175,6 +175,11 @@ def find_in_text(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([_find(t) for t in texts], columns=["mode", "doc"])
 
 
+# Marked as non-deterministic, though it is not, so that the optimizer neither
+# repeats it nor pushes a filter on its result below it.
+find_in_text = find_in_text.asNondeterministic()
+
+
 def extract_json(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``extract`` (the mode), ``doc`` (JSON text) and ``answer``.
 
