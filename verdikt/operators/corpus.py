@@ -161,7 +161,8 @@ def target_quantiles(df: DataFrame) -> DataFrame:
     """
     lengths = df.groupBy("task", "n_target").agg(F.count(F.lit(1)).alias("n"))
     return lengths.groupBy("task").agg(
-        F.percentile("n_target", 0.5, "n").alias("median"), F.percentile("n_target", 0.9, "n").alias("p90")
+        F.percentile("n_target", 0.5, F.col("n")).alias("median"),
+        F.percentile("n_target", 0.9, F.col("n")).alias("p90"),
     )
 
 

@@ -99,21 +99,20 @@ def weights_of(block_rows: DataFrame) -> DataFrame:
     return scaled.select("absmax", F.explode("w").alias("w"))
 
 
-def _errors_against(weights: DataFrame) -> DataFrame:
-    columns = {}
-    for name, levels in CODE_BOOKS.items():
-        columns[f"{name}_code"] = nearest(levels, F.col("w") / F.col("absmax"))
-    df = weights.withColumns(columns)
-    errors = {
-        f"{name}_err": F.abs(F.col("w") - _level(levels, F.col(f"{name}_code")) * F.col("absmax"))
-        for name, levels in CODE_BOOKS.items()
-    }
-    return df.withColumns(errors)
+def _coded(weights: DataFrame) -> DataFrame:
+    """Adds the code of each weight under each code book."""
+    scaled = F.col("w") / F.col("absmax")
+    return weights.withColumns({f"{name}_code": nearest(levels, scaled) for name, levels in CODE_BOOKS.items()})
 
 
 def blockwise_error(block_rows: DataFrame) -> DataFrame:
     """Errors of both code books pooled over all weights, one pass."""
-    df = _errors_against(weights_of(block_rows))
+    df = _coded(weights_of(block_rows))
+    errors = {
+        f"{name}_err": F.abs(F.col("w") - _level(levels, F.col(f"{name}_code")) * F.col("absmax"))
+        for name, levels in CODE_BOOKS.items()
+    }
+    df = df.withColumns(errors)
     parts = []
     for name in CODE_BOOKS:
         e = F.col(f"{name}_err")
@@ -156,22 +155,26 @@ def affine_roundtrip(
 
 def code_occupancy(block_rows: DataFrame) -> DataFrame:
     """How often each code occurs, beside the equal share claimed for it."""
-    df = _errors_against(weights_of(block_rows))
-    counted = None
-    for name, levels in CODE_BOOKS.items():
-        counts = [F.count_if(F.col(f"{name}_code") == i).alias(f"{name}-{i}") for i in range(len(levels))]
-        counted = counts if counted is None else counted + counts
-    wide = df.agg(F.count("w").alias("total"), *counted)
-    cells = [c for c in wide.columns if c != "total"]
-    long = wide.unpivot(["total"], cells, "cell", "n")
-    book, code = F.split_part("cell", F.lit("-"), F.lit(1)), F.split_part("cell", F.lit("-"), F.lit(2))
-    sizes = F.when(book == "nf4", F.lit(len(NF4))).otherwise(F.lit(len(INT4)))
-    return long.select(
-        book.alias("code_book"),
-        code.cast("int").alias("code"),
-        "n",
-        (100.0 * F.col("n") / F.col("total")).alias("share_pct"),
-        (100.0 / sizes).alias("equal_share_pct"),
+    pairs = _coded(weights_of(block_rows)).groupBy("nf4_code", "int4_code").agg(F.count(F.lit(1)).alias("n"))
+    # At most 16 x 15 rows from here on.
+    books = F.array(
+        *[
+            F.struct(F.lit(name).alias("code_book"), F.lit(len(levels)).alias("size"), F.col(f"{name}_code").alias("code"))
+            for name, levels in CODE_BOOKS.items()
+        ]
+    )
+    counts = pairs.select("n", F.inline(books)).groupBy("code_book", "size", "code").agg(F.sum("n").alias("n"))
+    per_book = counts.groupBy("code_book", "size").agg(
+        F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("code", "n"))).alias("by_code")
+    )
+    every_code = per_book.select("*", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("code"))
+    n = F.coalesce(F.element_at("by_code", F.col("code")), F.lit(0))
+    return every_code.select(
+        "code_book",
+        "code",
+        n.alias("n"),
+        (100.0 * n / F.col("total")).alias("share_pct"),
+        (100.0 / F.col("size")).alias("equal_share_pct"),
     )
 
 

@@ -521,7 +521,7 @@ def _levels(levels: list[float]) -> str:
 
 def _code(levels: list[float], value: str) -> str:
     """Index of the nearest level, the first on a tie, by trying every level."""
-    distances = f"list_transform({_levels(levels)}, lambda x: abs(x - {value}))"
+    distances = f"list_transform({_levels(levels)}, lambda level: abs(level - {value}))"
     return f"(list_position({distances}, list_min({distances})) - 1)"
 
 

@@ -347,8 +347,9 @@ def pending_scores(spark, sf_dir):
 def streamed_scores(spark, sf_dir):
     """The stream's result is the batch's result."""
     work = _work(spark, "stream")
-    path = f"{sf_dir}/orders.parquet"
-    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    schema = table(spark, sf_dir, "orders").schema
+    # A pattern, because a stream's plain path has to be a folder.
+    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/orders.parque[t]")
     answers = derive(spread_stream(source.select(*COLUMNS)))
     score_stream(answers, f"{work}/scored", f"{work}/checkpoint").awaitTermination()
     df = read_scored(spark, f"{work}/scored").drop("batch", "chars")
