@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdikt.functions.text import word_count, words_with_gaps
+from verdikt.functions.text import WHITESPACE, word_count, words_with_gaps
 
 # Fixed values.
 PER_TASK = 8
@@ -80,20 +80,25 @@ def content(messages: Column, i: int) -> Column:
 
 
 def token_lengths(df: DataFrame) -> DataFrame:
-    """Words of the whole chat, of the part that is never cut, of the target."""
-    messages = F.col("messages")
-    without_user = F.concat(
-        render(F.slice(messages, 1, 1)),
-        F.lit("<|user|>\n</s>\n"),
-        render(F.slice(messages, 3, 1)),
-    )
-    return df.withColumns(
-        {
-            "n_total": word_count(render(messages)),
-            "n_fixed": word_count(without_user),
-            "n_target": word_count(content(messages, 2)),
-        }
-    )
+    """Words of the whole chat, of the part that is never cut, of the target.
+
+    A rendered message is its role tag, then its content with the closing tag
+    stuck to the last word. So the lengths follow from one count per content,
+    and the chat is not rendered.
+    """
+    columns = {"n_target": word_count(content(F.col("messages"), 2))}
+    for i, name in enumerate(["_system", "_user"]):
+        columns[name] = word_count(content(F.col("messages"), i))
+    df = df.withColumns(columns)
+
+    def rendered(words: str, i: int) -> Column:
+        text = content(F.col("messages"), i)
+        lone_tag = (text == "") | F.substring(text, -1, 1).isin(list(WHITESPACE))
+        return 1 + F.col(words) + lone_tag.cast("int")
+
+    fixed = rendered("_system", 0) + rendered("n_target", 2) + 2
+    total = rendered("_system", 0) + rendered("n_target", 2) + rendered("_user", 1)
+    return df.withColumns({"n_total": total, "n_fixed": fixed}).drop("_system", "_user")
 
 
 def survives(window: int, least: int = LEAST_BUDGET) -> Column:

@@ -11,17 +11,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdikt.operators.extract import extract_modes
 from verdikt.operators.score import METRICS
 
-__all__ = ["extract_modes"]
 CELL = ["run", "slice", "task"]
 
 
-def task_sums(scored: DataFrame) -> DataFrame:
-    """Row count and metric sums per run, slice and task."""
+def task_sums(scored: DataFrame, *more: str) -> DataFrame:
+    """Row count and metric sums per run, slice, task and any further keys."""
     sums = [F.sum(F.col(m).cast("double")).alias(m) for m in METRICS]
-    return scored.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), *sums)
+    return scored.groupBy(*CELL, *more).agg(F.count(F.lit(1)).alias("n"), *sums)
+
+
+def cell_sums(sums: DataFrame) -> DataFrame:
+    """Sums per run, slice and task, from sums with further keys."""
+    return sums.groupBy(*CELL).agg(F.sum("n").alias("n"), *[F.sum(m).alias(m) for m in METRICS])
+
+
+def mode_counts(sums: DataFrame) -> DataFrame:
+    """B8 from sums that also have the extraction mode as a key."""
+    return sums.groupBy("run", "extract").agg(F.sum("n").alias("n"))
 
 
 def _means(sums: DataFrame, *keys: str) -> DataFrame:
@@ -60,24 +68,28 @@ def hit_cap(completions: DataFrame) -> DataFrame:
     return counts.where("hits > 0")
 
 
-def run_table(overalls: DataFrame, slices: DataFrame) -> DataFrame:
-    """H5: one row per run, with the real slice's score (NaN if absent)."""
-    real = slices.where("slice = 'real'").select("run", F.col("score").alias("real_score"))
-    joined = overalls.join(real, "run", "left")
+def run_table(sums: DataFrame) -> DataFrame:
+    """H5: one row per run, with the real slice's score (NaN if absent).
+
+    ``sums`` is used twice; materialize it if it is expensive.
+    """
+    slices = by_slice(sums)
+    real = slices.groupBy("run").agg(F.max(F.when(F.col("slice") == "real", F.col("score"))).alias("real_score"))
+    joined = overall(sums).join(real, "run", "left")
     return joined.withColumn("real_score", F.coalesce("real_score", F.lit(float("nan"))))
 
 
 def compare_runs(means: DataFrame, before: str, after: str, on: str = "task") -> DataFrame:
-    """H5: absolute gain and ratio of the score between two runs.
+    """H5: absolute gain and ratio of the score between two runs, where both exist.
 
-    Both sides are roll-ups with a row per key, so the join is small.
+    An aggregate over one pass instead of a self-join over two.
     """
-    b = means.where(F.col("run") == before).select(on, F.col("score").alias("before"))
-    a = means.where(F.col("run") == after).select(on, F.col("score").alias("after"))
-    return b.join(a, on).select(
-        on,
-        "before",
-        "after",
+    sides = {"before": before, "after": after}
+    picked = means.groupBy(on).agg(
+        *[F.max(F.when(F.col("run") == run, F.col("score"))).alias(side) for side, run in sides.items()]
+    )
+    return picked.where("before IS NOT NULL AND after IS NOT NULL").select(
+        "*",
         (F.col("after") - F.col("before")).alias("gain"),
         (F.col("after") / F.greatest("before", F.lit(1e-9))).alias("ratio"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from verdikt.operators.contracts import TASKS
 from verdikt.operators.corpus import messages_of
 from verdikt.plans.completions import choice
+from verdikt.plans.partitions import spread
 from verdikt.sources.tables import table
 
 SPLIT = "CASE WHEN {0} % 10 IN (0, 1) THEN 'val' WHEN {0} % 10 = 2 THEN 'test_real' WHEN {0} % 10 IN (3, 4) THEN 'test_gen' ELSE 'train' END"
@@ -44,7 +45,8 @@ def chat_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its whole text is the target. Tasks are languages."""
-    return table(spark, sf_dir, "documents").select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return spread(docs, "doc_id").select(
         "doc_id",
         F.expr(SPLIT.format("doc_id")).alias("split"),
         F.col("lang").alias("task"),

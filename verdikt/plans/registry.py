@@ -21,7 +21,7 @@ from verdikt.operators.score import examine, score
 from verdikt.plans.completions import COLUMNS, RUNS, completions, derive
 from verdikt.plans.corpora import KEY, chat_corpus, document_corpus, split
 from verdikt.plans.partitions import spread
-from verdikt.session import shared_dir
+from verdikt.session import materialize, shared_dir
 from verdikt.sources import jsonl, sinks
 from verdikt.sources.tables import table
 from verdikt.streaming.score_stream import read_scored, score_stream
@@ -108,7 +108,7 @@ def modes_by_run(spark, sf_dir):
 @query
 def event_properties(spark, sf_dir):
     """B2 and C6 on ``events``: every property text is one JSON object."""
-    events = table(spark, sf_dir, "events").select("event_type", F.col("props").alias("raw"))
+    events = spread(table(spark, sf_dir, "events").select("event_id", "event_type", F.col("props").alias("raw")), "event_id")
     k = as_string(F.element_at("answer", "k")).cast("bigint")
     return extract_json(events).groupBy("event_type", "extract").agg(
         F.count(F.lit(1)).alias("n"), F.sum(k).alias("sum_k")
@@ -188,7 +188,8 @@ def _marked(text: str, index: Column) -> Column:
 @query
 def filler_in_documents(spark, sf_dir):
     """E5 over the whole text of every document."""
-    docs = table(spark, sf_dir, "documents").select("lang", _marked("text", F.col("doc_id")).alias("text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
+    docs = docs.select("lang", _marked("text", F.col("doc_id")).alias("text"))
     return checks.filler_scan(docs, "text").groupBy("lang", "rule", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -252,8 +253,7 @@ def capped_answers(spark, sf_dir):
 @query
 def run_scores(spark, sf_dir):
     """H5: runs beside their score on the real slice."""
-    sums = _sums(spark, sf_dir)
-    return rounded(rollup.run_table(rollup.overall(sums), rollup.by_slice(sums)))
+    return rounded(rollup.run_table(materialize(_sums(spark, sf_dir))))
 
 
 @query
@@ -303,8 +303,8 @@ def run_conditions(spark, sf_dir):
 @query
 def results_roundtrip(spark, sf_dir):
     """Roll-ups nested into one document per run, and read back as rows."""
-    sums = _sums(spark, sf_dir)
-    modes = extract_modes(extract_json(completions(spark, sf_dir)))
+    cells = materialize(rollup.task_sums(_scored(spark, sf_dir), "extract"))
+    sums, modes = rollup.cell_sums(cells), rollup.mode_counts(cells)
     nested = sinks.nested_results(rollup.by_task(sums), rollup.overall(sums), rollup.by_slice(sums), modes)
     return rounded(jsonl.explode_results(nested, F.col("document")))
 
