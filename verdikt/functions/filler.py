@@ -28,26 +28,42 @@ FILLER_PATTERNS = [
     r"example\.com/(?:path|foo|bar)",
 ]
 
-# Every pattern match holds one of these, so a text with none has no match.
+# For each pattern, texts of which every match holds one. They are found by
+# plain search, so that a pattern only runs where it can match.
 NEEDLES = [
-    "todo", "tbd", "fixme", "lorem ipsum", "your code here", "verify it works", "verify functionality",
-    "coming soon", "same as above", "<", "{{", "[insert", "[add", "[todo", "[placeholder", "example.com/",
-]
+    ["todo"],
+    ["tbd"],
+    ["fixme"],
+    ["lorem ipsum"],
+    ["your code here"],
+    ["verify it works"],
+    ["verify functionality"],
+    ["coming soon"],
+    ["same as above"],
+    ["<insert", "<your", "<add", "<todo", "<replace", "<fill", "<placeholder", "<value", "<name"],
+    ["{{"],
+    ["[insert", "[add", "[todo", "[placeholder"],
+    ["example.com/"],
+]
 # Letters that fold onto "s" and "i" when case is ignored.
-FOLDING = ["\u017f", "\u0131"]
+FOLDING = ["ſ", "ı"]
 
 WORD_CHAR = r"[\p{L}\p{N}_]"
 
 
 def java_pattern(pattern: str) -> str:
-    """The pattern with Unicode word boundaries, in the JVM's dialect."""
+    """The pattern with Unicode word boundaries, in the JVM's dialect.
+
+    The boundary before a word is tested after its first letter, so that the
+    search can skip ahead to that letter.
+    """
     if pattern.startswith(r"\b"):
-        pattern = f"(?<!{WORD_CHAR})" + pattern[2:]
+        first = pattern[2]
+        pattern = f"{first}(?<!{WORD_CHAR}{first})" + pattern[3:]
     return "(?iu)" + pattern.replace(r"\b", f"(?!{WORD_CHAR})")
 
 
 PATTERNS = [java_pattern(p) for p in FILLER_PATTERNS]
-ANY_PATTERN = "|".join(f"(?:{p})" for p in PATTERNS)
 
 
 # The rules below are SQL texts: they are used inside array lambdas, where one
@@ -66,14 +82,21 @@ def _is_exact(low: str) -> str:
     return f"{low} IN (" + ", ".join(_literal(v) for v in FILLER_EXACT) + ")"
 
 
+def _may_match(low: str, i: int) -> str:
+    return _contains_any(low, NEEDLES[i] + FOLDING)
+
+
 def _is_hit(low: str) -> str:
-    """Plain searches first, then all patterns at once; most text ends early."""
-    return f"({_is_exact(low)} OR ({_contains_any(low, NEEDLES + FOLDING)} AND {low} RLIKE {_literal(ANY_PATTERN)}))"
+    matches = [f"({_may_match(low, i)} AND {low} RLIKE {_literal(p)})" for i, p in enumerate(PATTERNS)]
+    return f"({_is_exact(low)} OR " + " OR ".join(matches) + ")"
 
 
 def _first_match(low: str) -> str:
     """The match of the first pattern, in order, that occurs."""
-    found = ", ".join(f"nullif(regexp_extract({low}, {_literal(p)}, 0), '')" for p in PATTERNS)
+    found = ", ".join(
+        f"IF({_may_match(low, i)}, nullif(regexp_extract({low}, {_literal(p)}, 0), ''), null)"
+        for i, p in enumerate(PATTERNS)
+    )
     return f"coalesce({found})"
 
 
@@ -99,7 +122,9 @@ def hit_label(low: str) -> Column:
 
 def hit_rule(low: str) -> Column:
     """``exact``, or the position of the first pattern that occurs."""
-    whens = " ".join(f"WHEN {low} RLIKE {_literal(p)} THEN 'pattern-{i}'" for i, p in enumerate(PATTERNS))
+    whens = " ".join(
+        f"WHEN {_may_match(low, i)} AND {low} RLIKE {_literal(p)} THEN 'pattern-{i}'" for i, p in enumerate(PATTERNS)
+    )
     return F.expr(f"CASE WHEN {_is_exact(low)} THEN 'exact' {whens} END")
 
 
@@ -108,7 +133,7 @@ def may_hold_hit(low_doc: str) -> Column:
 
     Plain substring searches, so that most answers never reach the patterns.
     """
-    return F.expr(f"{_contains_any(low_doc, NEEDLES + HIDING)} OR {low_doc} RLIKE {_literal(QUOTED_EXACT)}")
+    return F.expr(f"{_contains_any(low_doc, sum(NEEDLES, []) + HIDING)} OR {low_doc} RLIKE {_literal(QUOTED_EXACT)}")
 
 
 def hits_of(strings: str) -> Column:

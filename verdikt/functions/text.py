@@ -27,6 +27,15 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def settled(col: Column) -> Column:
+    """The same value, behind a term the optimizer takes for non-deterministic.
+
+    A filter on such a column stays above it. Pushed further down, it would
+    repeat the column's whole expression at each mention in its condition.
+    """
+    return F.when(F.spark_partition_id() >= 0, col)
+
+
 def strip(col: Column) -> Column:
     """``str.strip()``; the full trim only runs where an end is white space."""
     spaces = list(WHITESPACE)

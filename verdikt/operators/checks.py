@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdikt.functions import filler
-from verdikt.functions.text import JSON_STRING, python_repr, quoted, unquote_json
+from verdikt.functions.text import JSON_STRING, python_repr, quoted, settled, unquote_json
 from verdikt.functions.variants import as_list, as_object, as_objects, as_string, is_string, kind_of, truthy
 from verdikt.operators.contracts import MAX_FIELDS, choice_rule, choice_slot, item_choice, item_list, item_names, rule
 
@@ -225,5 +225,5 @@ def filler_scan(df: DataFrame, text: str) -> DataFrame:
 
     Adds ``label`` and ``rule`` (exact, or the position of the pattern).
     """
-    df = df.withColumn("_low", filler.normalized(F.col(text))).where(filler.is_hit("_low"))
+    df = df.withColumn("_low", settled(filler.normalized(F.col(text)))).where(filler.is_hit("_low"))
     return df.withColumns({"label": filler.hit_label("_low"), "rule": filler.hit_rule("_low")}).drop("_low")

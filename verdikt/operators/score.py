@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdikt.functions import filler
+from verdikt.functions.text import settled
 from verdikt.operators import checks, rigor
 from verdikt.operators.contracts import known_task
 from verdikt.operators.extract import EMITTED, extract_json
@@ -18,15 +19,6 @@ MAX_NOTES = 8
 CHECKED = ["schema_outcomes", "enum_outcomes", "rigor_result", "filler_hits"]
 
 
-def _settled(col: Column) -> Column:
-    """The same value, behind a term the optimizer takes for non-deterministic.
-
-    A later filter on a score stays above this column. Pushed further down, it
-    would repeat the whole examination inside its condition.
-    """
-    return F.when(F.spark_partition_id() >= 0, col)
-
-
 def examine(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Extract each answer and run every check.
 
@@ -39,7 +31,7 @@ def examine(df: DataFrame, raw: str = "raw") -> DataFrame:
     df = df.withColumn("_strings", checks.walked_strings())
     return df.select(
         *kept,
-        _settled(F.col("extract")).alias("extract"),
+        settled(F.col("extract")).alias("extract"),
         "chars",
         checks.schema_outcomes().alias("schema_outcomes"),
         checks.enum_outcomes().alias("enum_outcomes"),
