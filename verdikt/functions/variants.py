@@ -27,6 +27,11 @@ def as_objects(value: Column) -> Column:
     return F.try_variant_get(value, "$", "array<map<string,variant>>")
 
 
+def key_count(members: Column) -> Column:
+    """Number of keys of a map; null, whatever the session's mode, for null."""
+    return F.array_size(F.map_keys(members))
+
+
 def as_string(value: Column) -> Column:
     return F.try_variant_get(value, "$", "string")
 

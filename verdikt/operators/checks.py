@@ -16,8 +16,20 @@ from pyspark.sql import functions as F
 
 from verdikt.functions import filler
 from verdikt.functions.text import JSON_STRING, python_repr, quoted, settled, unquote_json
-from verdikt.functions.variants import as_list, as_object, as_objects, as_string, is_string, kind_of, truthy
-from verdikt.operators.contracts import MAX_FIELDS, choice_rule, choice_slot, item_choice, item_list, item_names, rule
+from verdikt.functions.variants import as_list, as_object, as_string, is_string, key_count, kind_of, truthy
+from verdikt.operators.contracts import (
+    MAX_FIELDS,
+    choice_rule,
+    choice_slot,
+    is_item_slot,
+    item_choice,
+    item_list,
+    item_names,
+    item_objects,
+    member_list,
+    member_value,
+    rule,
+)
 
 PASS, SKIP = "", "-"
 SLOTS = range(MAX_FIELDS)
@@ -55,23 +67,16 @@ def inspect_answer(df: DataFrame) -> DataFrame:
     Slot columns: value, list, schema, then kind, n (length), text and typed
     (whether all list members have the wanted type).
     """
-    answer = F.col("answer")
-    item_value = F.element_at(answer, item_list())
-    columns = {"_items": as_objects(item_value), "_item_value": item_value}
-    for i in SLOTS:
-        value = F.element_at(answer, rule(i, "name"))
-        is_item_list = F.coalesce(rule(i, "name") == item_list(), F.lit(False))
-        columns[f"_value{i}"] = value
-        columns[f"_list{i}"] = F.when(~is_item_list, as_list(value))
-    df = df.withColumns(columns)
+    df = df.withColumns({"_items": item_objects()} | {f"_list{i}": member_list(i) for i in SLOTS})
 
-    columns = {}
-    for i in SLOTS:
-        is_list = _slot("list", i).isNotNull() | (F.col("_items").isNotNull() & (rule(i, "name") == item_list()))
-        columns[f"_schema{i}"] = F.when(F.coalesce(is_list, F.lit(False)), F.lit("ARRAY")).otherwise(
-            F.schema_of_variant(_slot("value", i))
-        )
-    df = df.withColumns(columns)
+    def listed(i: int) -> Column:
+        return _slot("list", i).isNotNull() | (is_item_slot(i) & F.col("_items").isNotNull())
+
+    # Lists are settled; only the other values are taken out and looked at.
+    df = df.withColumns({f"_value{i}": F.when(~listed(i), member_value(i)) for i in SLOTS})
+    schemas = {f"_schema{i}": F.when(listed(i), F.lit("ARRAY")).otherwise(F.schema_of_variant(_slot("value", i))) for i in SLOTS}
+    item_value = F.coalesce(*[F.when(is_item_slot(i), _slot("value", i)) for i in SLOTS])
+    df = df.withColumns(schemas | {"_item_value": item_value})
 
     columns, odd_texts = {}, []
     for i in SLOTS:
@@ -81,16 +86,23 @@ def inspect_answer(df: DataFrame) -> DataFrame:
         odd_texts.append(odd_text)
         columns[f"_text{i}"] = F.when(schema == "STRING", as_string(value))
         columns[f"_n{i}"] = (
-            F.when(schema == "ARRAY", F.coalesce(F.size(_slot("list", i)), F.size("_items")))
+            F.when(
+                schema.startswith("ARRAY"),
+                F.coalesce(
+                    F.array_size(_slot("list", i)),
+                    F.when(is_item_slot(i), F.array_size("_items")),
+                    F.array_size(as_list(value)),
+                ),
+            )
             .when(schema == "STRING", F.length(as_string(value)))
-            .when(schema.startswith("OBJECT"), F.size(as_object(value)))
+            .when(schema.startswith("OBJECT"), key_count(as_object(value)))
         )
         columns[f"_typed{i}"] = F.when(rule(i, "element") == "str", F.forall(_slot("list", i), is_string))
     # A text is walked by character and an object by key, as Python does; a
     # number or boolean, on which Python fails, counts as an empty list.
     none = F.lit(None).cast("map<string,variant>")
     item_value = F.col("_item_value")
-    walked = F.when(is_string(item_value), F.length(as_string(item_value))).otherwise(F.size(as_object(item_value)))
+    walked = F.when(is_string(item_value), F.length(as_string(item_value))).otherwise(key_count(as_object(item_value)))
     columns["members"] = F.coalesce(F.col("_items"), F.array_repeat(none, F.coalesce(walked, F.lit(0))))
     # ``str()`` of the values that should be texts and are not.
     columns["_odd_texts"] = F.transform(F.array(*odd_texts), python_repr)

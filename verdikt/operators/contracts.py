@@ -175,6 +175,37 @@ def choice_rule() -> tuple[Column, Column]:
     return names, _by_task({t: r.allowed for t, r in rules.items()}, "array<string>")
 
 
+def _members(names: dict[str, str], sql_type: str) -> Column:
+    whens = " ".join(f"WHEN '{t}' THEN try_variant_get(answer, '$[0].{n}', '{sql_type}')" for t, n in names.items())
+    return F.expr(f"CASE task {whens} END" if whens else f"CAST(null AS {sql_type})")
+
+
+def _names(i: int, wanted) -> dict[str, str]:
+    fields = {t: c.fields[i] for t, c in CONTRACTS.items() if i < len(c.fields)}
+    return {t: r.name for t, r in fields.items() if wanted(t, r)}
+
+
+def member_value(i: int) -> Column:
+    """The ``i``-th field of the row's answer."""
+    return _members(_names(i, lambda t, r: True), "variant")
+
+
+def member_list(i: int) -> Column:
+    """The same as a list, where the contract wants a list other than the items."""
+    return _members(_names(i, lambda t, r: r.want == "list" and r.name != CONTRACTS[t].item_list), "array<variant>")
+
+
+def is_item_slot(i: int) -> Column:
+    """Whether the ``i``-th field of the row's task is its item list."""
+    tasks = list(_names(i, lambda t, r: r.name == CONTRACTS[t].item_list))
+    return F.col("task").isin(tasks) if tasks else F.lit(False)
+
+
+def item_objects() -> Column:
+    """The item list as maps, null for each member that is no object."""
+    return _members({t: c.item_list for t, c in CONTRACTS.items() if c.item_list}, "array<map<string,variant>>")
+
+
 def item_list() -> Column:
     """Name of the row's item list, or null."""
     return _by_task({t: c.item_list for t, c in CONTRACTS.items()}, "string")

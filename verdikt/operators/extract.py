@@ -183,8 +183,9 @@ find_in_text = find_in_text.asNondeterministic()
 def extract_json(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``extract`` (the mode), ``doc`` (JSON text) and ``answer``.
 
-    ``answer`` maps the object's keys to VARIANT values. ``doc`` keeps key
-    order, which a variant does not.
+    ``answer`` is a VARIANT list whose first member is the object: taking the
+    object out would encode it anew. ``doc`` keeps key order, which a variant
+    does not.
     """
     text = F.col("_text")
     exact = _is_exact(F.col("_whole"))
@@ -211,18 +212,19 @@ def extract_json(df: DataFrame, raw: str = "raw") -> DataFrame:
         "doc",
         F.when(exact & opens_object, text).when(fenced, F.col("_body")).otherwise(F.col("_found.doc")),
     )
-    members = "map<string,variant>"
-    df = df.withColumn(
-        "answer",
-        F.when(exact & opens_object, F.try_variant_get("_whole", "$[0]", members))
-        .when(fenced, F.try_variant_get("_fence", "$[0]", members))
-        .otherwise(F.try_variant_get(F.try_parse_json(F.col("_found.doc")), "$", members)),
-    )
+    found = F.try_parse_json(F.concat(F.lit("["), F.col("_found.doc"), F.lit("]")))
+    whole = F.when(exact & opens_object, F.col("_whole")).when(fenced, F.col("_fence")).otherwise(found)
+    df = df.withColumn("answer", F.when(F.col("doc").isNotNull(), whole))
     lost = F.col("_mode").isin(EMITTED) & F.col("answer").isNull()
     df = df.withColumn("extract", F.when(lost, F.lit("unparseable")).otherwise(F.col("_mode")))
     return df.drop("_text", "_whole", "_body", "_fence", "_found", "_mode")
 
 
+def answer_object() -> Column:
+    """The object found, as a map of its top-level keys."""
+    return F.try_variant_get("answer", "$[0]", "map<string,variant>")
+
+
 def extract_modes(df: DataFrame, by: str = "run") -> DataFrame:
     """Answers per extraction mode."""
     return df.groupBy(by, "extract").agg(F.count(F.lit(1)).alias("n"))

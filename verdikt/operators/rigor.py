@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from verdikt.functions.text import bind, python_repr, quoted, strip
-from verdikt.functions.variants import as_object, as_objects, as_string, is_string, truthy
+from verdikt.functions.variants import as_object, as_objects, as_string, is_string, key_count, truthy
 from verdikt.operators.checks import ratio
 from verdikt.operators.contracts import PRIORITY, slot_of
 
@@ -140,8 +140,8 @@ def _steps_of(case: Column) -> Column:
     value = F.element_at(case, "steps")
     none = F.lit(None).cast("map<string,variant>")
     by_char = F.when(is_string(value), F.array_repeat(none, F.length(as_string(value))))
-    by_key = F.array_repeat(none, F.size(as_object(value)))
-    return F.coalesce(as_objects(value), by_char, F.when(as_object(value).isNotNull(), by_key), F.array())
+    by_key = F.array_repeat(none, key_count(as_object(value)))
+    return F.coalesce(as_objects(value), by_char, by_key, F.array())
 
 
 def qe_cases(suites: Column) -> Column:

@@ -12,10 +12,10 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdikt.functions.variants import as_string
+from verdikt.functions.variants import key_count
 from verdikt.operators import checks, corpus, quantize, rollup
 from verdikt.operators.contracts import contract_table
-from verdikt.operators.extract import extract_json, extract_modes
+from verdikt.operators.extract import answer_object, extract_json, extract_modes
 from verdikt.operators.resume import score_pending
 from verdikt.operators.score import examine, score
 from verdikt.plans.completions import COLUMNS, RUNS, completions, derive
@@ -96,7 +96,7 @@ def contract_rules(spark, sf_dir):
 def extract_answers(spark, sf_dir):
     """Mode and number of keys found, per answer."""
     df = extract_json(completions(spark, sf_dir))
-    return df.select("run", "row_id", "extract", F.when(F.col("answer").isNotNull(), F.size("answer")).alias("n_keys"))
+    return df.select("run", "row_id", "extract", key_count(answer_object()).alias("n_keys"))
 
 
 @query
@@ -109,7 +109,7 @@ def modes_by_run(spark, sf_dir):
 def event_properties(spark, sf_dir):
     """B2 and C6 on ``events``: every property text is one JSON object."""
     events = spread(table(spark, sf_dir, "events").select("event_id", "event_type", F.col("props").alias("raw")), "event_id")
-    k = as_string(F.element_at("answer", "k")).cast("bigint")
+    k = F.try_variant_get("answer", "$[0].k", "bigint")
     return extract_json(events).groupBy("event_type", "extract").agg(
         F.count(F.lit(1)).alias("n"), F.sum(k).alias("sum_k")
     )
