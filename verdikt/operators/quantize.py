@@ -20,12 +20,15 @@ BLOCK = 64
 
 def blocks(df: DataFrame, vector: str, size: int = BLOCK) -> DataFrame:
     """One row per block of a vector, as doubles; the last may be short."""
+    rest = [c for c in df.columns if c != vector]
+    df = df.withColumn(vector, F.col(vector).cast("array<double>"))
     last = F.ceil(F.size(vector) / size).cast("int") - 1
     starts = F.when(F.size(vector) > 0, F.sequence(F.lit(0), last))
-    rest = [c for c in df.columns if c != vector]
-    exploded = df.select(*rest, vector, F.explode(starts).alias("block"))
-    weights = F.slice(F.col(vector).cast("array<double>"), F.col("block") * size + 1, F.lit(size))
-    return exploded.select(*rest, "block", weights.alias("w"))
+    # The vector is cut inside its row, so no row carries it whole per block.
+    cut = F.transform(
+        starts, lambda b: F.struct(b.alias("block"), F.slice(vector, b * size + 1, F.lit(size)).alias("w"))
+    )
+    return df.select(*rest, F.inline(cut))
 
 
 def absmax(weights: Column) -> Column:
