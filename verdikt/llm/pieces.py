@@ -27,6 +27,8 @@ SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 SETTLED = [(0, 0x377), (0x384, 0x52F), (0x2000, 0x2063), (0x20A0, 0x20B1), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5)]
 #: Pieces whose ids are kept; beyond it the cache starts anew.
 CACHED = 2_000_000
+#: Pieces to a call of the library.
+CALL = 4096
 
 
 def _classes() -> np.ndarray:
@@ -117,7 +119,9 @@ class Pieces:
         return start
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        ids: list[list[int]] = []
+        for k in range(0, len(texts), CALL):
+            ids += [e.ids for e in self.library.encode_batch_fast(texts[k : k + CALL], add_special_tokens=False)]
         count = np.fromiter(map(len, ids), np.int64, len(ids))
         first = len(self.flat) + np.cumsum(count) - count
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, count.sum())])

@@ -9,7 +9,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdikt.llm import decontaminate, jaccard, wavelet
+from verdikt.llm import ann, decontaminate, jaccard, suffixes, urls, wavelet
 from verdikt.llm.store import scratch
 
 
@@ -17,6 +17,40 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    found = ann.neighbours(vectors, vectors.where("vec_id % 100 = 0"), 10, "vec_id", "embedding")
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+#: The rules that the contract of op2 gives.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judged(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixes.without_repeats(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    return left.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
@@ -45,6 +79,9 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest_vectors": op1_nearest_vectors,
+    "op2_url_filter": op2_url_filter,
+    "op5_repeated_bytes": op5_repeated_bytes,
     "op6_decontamination": op6_decontamination,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_token_files": op8_token_files,

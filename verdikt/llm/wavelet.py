@@ -38,6 +38,8 @@ from verdikt.llm.pieces import encoder
 
 STEP = 4096
 SHARD_BYTES = 16 << 20
+#: Bytes of text that are encoded together.
+CHUNK = 1 << 20
 #: A shard that its range made larger is written in parts of so many tokens.
 PART_TOKENS = 1 << 24
 #: Ones in a byte.
@@ -192,7 +194,7 @@ def write_tokens(
         def flushed() -> pa.RecordBatch:
             return _row(arrow, shard, part, pa.concat_arrays(ids), np.concatenate(lengths), np.concatenate(tokens))
 
-        for batch in tx.chunks(batches, "text"):
+        for batch in tx.chunks(batches, "text", CHUNK):
             codes, bounds = pieces.encode(batch.column("text"))
             ids.append(batch.column("id"))
             lengths.append(np.diff(bounds) + 1)
@@ -212,12 +214,17 @@ def write_tokens(
 
 
 def read_shards(spark: SparkSession, path: str, id_type: T.DataType | None = None) -> DataFrame:
-    """The shards as written, with ``start``, the tokens of all shards before."""
-    shards = spark.read.schema(_schema(id_type or T.LongType())).parquet(path)
+    """The shards as written."""
+    return spark.read.schema(_schema(id_type or T.LongType())).parquet(path)
+
+
+def _placed(rows: DataFrame, shards: DataFrame, column: str) -> DataFrame:
+    """Adds to a place inside its shard the tokens of all shards before."""
     # One row per shard of some megabytes: this order is over the shards alone.
-    place = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.select("shard", "part", F.coalesce(F.sum("n").over(place), F.lit(0)).alias("start"))
-    return shards.join(starts, ["shard", "part"])
+    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = shards.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    placed = rows.join(starts, ["shard", "part"])
+    return placed.withColumn(column, F.col(column) + F.col("_before")).drop("shard", "part", "_before")
 
 
 def _wavelet(row: dict) -> WaveletMatrix:
@@ -227,14 +234,16 @@ def _wavelet(row: dict) -> WaveletMatrix:
 
 
 def per_shard(shards: DataFrame, make: Callable[[dict, WaveletMatrix], Iterator[tuple]], schema: T.StructType) -> DataFrame:
-    """Rows that ``make`` reads out of each shard's wavelet matrix."""
+    """Rows that ``make`` reads out of each shard's wavelet matrix; ``shard``
+    and ``part`` stand before them."""
+    schema = T.StructType([shards.schema["shard"], shards.schema["part"], *schema.fields])
     arrow = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                rows = list(make(row, _wavelet(row)))
+                rows = [(row["shard"], row["part"], *x) for x in make(row, _wavelet(row))]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
@@ -253,9 +262,9 @@ def read_tokens(shards: DataFrame) -> DataFrame:
     def make(row: dict, wm: WaveletMatrix) -> Iterator[tuple]:
         ids, bounds = wm.decode(), _bounds(row)
         for k, doc in enumerate(row["ids"]):
-            yield doc, int(row["start"] + bounds[k]), ids[bounds[k] : bounds[k + 1]].astype(np.int32)
+            yield doc, int(bounds[k]), ids[bounds[k] : bounds[k + 1]].astype(np.int32)
 
-    return per_shard(shards, make, schema)
+    return _placed(per_shard(shards, make, schema), shards, "start")
 
 
 def token_digests(shards: DataFrame) -> DataFrame:
@@ -267,9 +276,9 @@ def token_digests(shards: DataFrame) -> DataFrame:
         ids, bounds = memoryview(wm.decode().astype("<u4")).cast("B"), _bounds(row)
         for k, doc in enumerate(row["ids"]):
             a, b = int(bounds[k]), int(bounds[k + 1])
-            yield doc, row["start"] + a, b - a, zlib.crc32(ids[4 * a : 4 * b])
+            yield doc, a, b - a, zlib.crc32(ids[4 * a : 4 * b])
 
-    return per_shard(shards, make, schema)
+    return _placed(per_shard(shards, make, schema), shards, "start")
 
 
 def occurrences(shards: DataFrame, token: int) -> DataFrame:
@@ -277,6 +286,6 @@ def occurrences(shards: DataFrame, token: int) -> DataFrame:
     schema = T.StructType().add("position", T.LongType())
 
     def make(row: dict, wm: WaveletMatrix) -> Iterator[tuple]:
-        return ((row["start"] + at,) for at in wm.occurrences(token))
+        return ((at,) for at in wm.occurrences(token))
 
-    return per_shard(shards, make, schema)
+    return _placed(per_shard(shards, make, schema), shards, "position")
