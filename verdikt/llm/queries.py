@@ -9,7 +9,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdikt.llm import ann, decontaminate, jaccard, suffixes, urls, wavelet
+from verdikt.llm import ann, decontaminate, jaccard, language, lm, mixing, suffixes, surrogates, urls, wavelet
 from verdikt.llm.store import scratch
 
 
@@ -39,6 +39,22 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decided = mixing.copies(_table(spark, sf_dir, "documents"))
+    each = decided.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    taken = (F.col("copies") * F.col("size")).cast("long").alias("taken")
+    return each.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken, "copies")
+
+
+#: Stands for a secret that a caller keeps; results depend on it.
+PII_KEY = "surrogate key of the registered query"
+
+
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replaced(docs, PII_KEY)
+
+
 def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = suffixes.without_repeats(_table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
@@ -78,13 +94,30 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_digests(shards).withColumnRenamed("id", "doc_id")
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = _table(spark, sf_dir, "labels").groupBy("doc_id").agg((F.max("quality") == 1).alias("good"))
+    models = lm.count(docs.join(good, "doc_id", "left"), F.col("good"))
+    return lm.score(docs, models).withColumnRenamed("id", "doc_id")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.identify(docs, language.train(docs))
+    return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_vectors": op1_nearest_vectors,
     "op2_url_filter": op2_url_filter,
+    "op3_source_mix": op3_source_mix,
+    "op4_surrogates": op4_surrogates,
     "op5_repeated_bytes": op5_repeated_bytes,
     "op6_decontamination": op6_decontamination,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_token_files": op8_token_files,
+    "op9_lm_scores": op9_lm_scores,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {}
