@@ -103,7 +103,7 @@ def _first_match(low: str) -> str:
 def _label(low: str) -> str:
     return (
         f"CASE WHEN {_is_exact(low)} THEN concat('empty-field:', {low}) "
-        f"ELSE concat('filler:', substring({_first_match(low)}, 1, 24)) END"
+        f"ELSE concat('filler:', {_first_match(low)}) END"
     )
 
 

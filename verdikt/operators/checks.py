@@ -228,10 +228,6 @@ def clean_score(hits: Column) -> Column:
     return F.greatest(F.lit(0.0), 1.0 - 0.25 * F.size(hits))
 
 
-def clean_notes(hits: Column) -> Column:
-    return F.slice(hits, 1, 4)
-
-
 def filler_scan(df: DataFrame, text: str) -> DataFrame:
     """E5: the same detector over a plain text column; one row per hit.
 

@@ -48,15 +48,21 @@ def first_per_task(df: DataFrame, order: list[str]) -> DataFrame:
     return df.groupBy("task").agg(first).select("task", "row.*")
 
 
-def split_manifest(df: DataFrame, key: list[str], text: str) -> DataFrame:
-    """A4: rows per split and task, with a mark of the content.
+def split_manifest(df: DataFrame, fields: list[Column]) -> DataFrame:
+    """A4: rows per split and task, with a mark of all their fields.
 
-    The mark is the XOR of a hash per row, so it needs no order and no row
-    leaves its partition whole.
+    The mark sums two parts of a hash per row, so it needs no order, equal rows
+    do not cancel out, and no row leaves its partition whole. Each field goes
+    into the hash with its length, so that fields cannot run into each other.
     """
-    row_hash = F.sha2(F.concat_ws("|", *key, text), 256)
-    number = F.conv(F.substring(row_hash, 1, 15), 16, 10).cast("bigint")
-    return df.groupBy("split", "task").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(number).alias("mark"))
+
+    def told(field: Column) -> Column:
+        text = field.cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    row_hash = F.sha2(F.concat(*map(told, fields)), 256)
+    parts = [F.sum(F.conv(F.substring(row_hash, at, 15), 16, 10).cast("decimal(38,0)")).cast("string") for at in (1, 16)]
+    return df.groupBy("split", "task").agg(F.count(F.lit(1)).alias("n"), F.concat_ws("-", *parts).alias("mark"))
 
 
 # Rendering and lengths

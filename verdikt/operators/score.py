@@ -14,7 +14,6 @@ from verdikt.operators.extract import EMITTED, extract_json
 # Fixed values.
 WEIGHTS = {"schema": 0.30, "enums": 0.20, "rigor": 0.35, "clean": 0.15}
 METRICS = ["emitted", "schema", "enums", "rigor", "clean", "score"]
-MAX_NOTES = 8
 
 CHECKED = ["schema_outcomes", "enum_outcomes", "rigor_result", "filler_hits"]
 
@@ -40,8 +39,11 @@ def examine(df: DataFrame, raw: str = "raw") -> DataFrame:
     )
 
 
-def score(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """Score ``task``, ``raw`` rows; other columns but the text pass through."""
+def score(df: DataFrame, raw: str = "raw", max_notes: int | None = None) -> DataFrame:
+    """Score ``task``, ``raw`` rows; other columns but the text pass through.
+
+    All notes are kept; ``max_notes`` asks for the first ones only.
+    """
     df = examine(df, raw)
     emitted = F.col("extract").isin(EMITTED)
 
@@ -64,8 +66,8 @@ def score(df: DataFrame, raw: str = "raw") -> DataFrame:
         checks.failures(F.col("schema_outcomes")),
         checks.failures(F.col("enum_outcomes")),
         F.col("rigor_result.notes"),
-        checks.clean_notes(F.col("filler_hits")),
+        F.col("filler_hits"),
     )
     missing = F.array(F.concat(F.lit("extract:"), F.col("extract")))
-    notes = F.when(emitted, F.slice(notes, 1, MAX_NOTES)).otherwise(missing)
+    notes = F.when(emitted, notes if max_notes is None else F.slice(notes, 1, max_notes)).otherwise(missing)
     return df.withColumns({"score": total, "notes": notes}).drop(*CHECKED)

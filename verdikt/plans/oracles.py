@@ -247,7 +247,7 @@ scored AS (
     CASE WHEN found THEN clean_value ELSE 0 END AS clean,
     CASE WHEN found THEN 0.30 * schema_value + 0.20 * enum_value + 0.35 * rigor_value + 0.15 * clean_value ELSE 0 END AS score,
     CASE WHEN found
-      THEN list_slice(list_concat(schema_notes, enum_notes, rigor_notes, list_slice(hits, 1, 4)), 1, 8)
+      THEN list_concat(schema_notes, enum_notes, rigor_notes, hits)
       ELSE ['extract:' || extract] END AS notes
   FROM parts
 )"""
@@ -329,6 +329,7 @@ def _scoring() -> dict[str, str]:
         "pending_scores": _scored(
             f"SELECT run, row_id, task, extract, {_round('score')} FROM scored WHERE status <> 'F' OR run = '{RUNS[1]}'"
         ),
+        "resumed_scores": _scored(f"SELECT run, row_id, task, extract, {_round('score')} FROM scored"),
         "scores_by_task": _rolled(f"SELECT run, task, n, {_round(*RATES)} FROM by_task"),
         "scores_overall": _rolled(f"SELECT run, n, {_round(*RATES)} FROM overall"),
         "scores_by_slice": _rolled(f"SELECT run, slice, n, {_round(*RATES)} FROM by_slice"),
@@ -342,6 +343,11 @@ def _scoring() -> dict[str, str]:
               round(a.score / greatest(b.score, 1e-9), 9) AS ratio
               FROM by_task b JOIN by_task a USING (task) WHERE b.run = '{RUNS[0]}' AND a.run = '{RUNS[1]}'"""
         ),
+        "overall_gain": _rolled(
+            f"""SELECT 'overall' AS scope, round(b.score, 9) AS before, round(a.score, 9) AS after,
+              round(a.score - b.score, 9) AS gain, round(a.score / greatest(b.score, 1e-9), 9) AS ratio
+              FROM overall b, overall a WHERE b.run = '{RUNS[0]}' AND a.run = '{RUNS[1]}'"""
+        ),
         "task_run_matrix": _rolled(
             f"""SELECT task, {", ".join(f"round(max(score) FILTER (run = '{r}'), 9) AS {r}" for r in RUNS)}
               FROM by_task GROUP BY task"""
@@ -395,9 +401,9 @@ def _tables() -> dict[str, str]:
               count(*) AS runs, string_agg(run, ',' ORDER BY run) AS names
               FROM (SELECT run, count(*) AS n_rows FROM answers GROUP BY run) GROUP BY n_rows"""
         ),
-        "raw_sink": _answers(
-            """SELECT run, task, slice, new_tokens >= cap - 1 AS hit_cap, count(*) AS n, sum(new_tokens)::BIGINT AS tokens,
-              true AS cut FROM answers GROUP BY ALL"""
+        "raw_sink": _scored(
+            """SELECT run, task, slice, extract, new_tokens >= cap - 1 AS hit_cap, count(*) AS n,
+              sum(new_tokens)::BIGINT AS tokens FROM checked GROUP BY ALL"""
         ),
         "upserted_runs": _answers(
             f"""SELECT run, task, count(*) AS n,
@@ -428,7 +434,8 @@ def _fillers() -> dict[str, str]:
           JOIN (VALUES {cases}) h(i, rule, label) ON doc_id % {size} = i GROUP BY ALL""",
         "filler_in_conversations": f"""
           SELECT role, rule, label, count(*) AS n FROM (
-            SELECT role, CASE WHEN turn = 7 THEN {size} ELSE (conv_id + turn) % {size} END AS i FROM conversations)
+            SELECT role, (conv_id + turn) % {size} AS i FROM conversations
+            UNION ALL SELECT role, {size} FROM conversations WHERE turn = 7)
           JOIN (VALUES {cases}, ({size}, 'exact', 'empty-field:n/a')) h(i, rule, label) USING (i) GROUP BY ALL""",
     }
 
@@ -472,6 +479,13 @@ WITH chats AS (
 lengths AS (SELECT *, {LENGTHS} FROM chats)"""
 
 
+def _mark(first: int) -> str:
+    return f"sum(('0x' || substr(h, {first}, 15))::BIGINT)::VARCHAR"
+
+
+_fields = " || ".join(f"length({c}::VARCHAR) || ':' || {c}" for c in ("conv_id", "turn", "system", "body", "answer"))
+
+
 def _corpora() -> dict[str, str]:
     windows = " UNION ALL ".join(
         f"SELECT task, count(*) AS n, {w} AS \"window\", round(avg(CASE WHEN n_total <= {w} OR {w} - n_fixed >= {LEAST_BUDGET} "
@@ -483,7 +497,7 @@ def _corpora() -> dict[str, str]:
     pieces = "regexp_extract_all(body, '\\s*\\S+')"
     head, tail = f"((budget - {mark}) // 2)", f"(budget - {mark} - (budget - {mark}) // 2)"
     return {
-        "split_files": f"{CHATS} SELECT split, task, count(*) AS n, sum(length(answer))::BIGINT AS target_chars FROM chats WHERE split IN ('train', 'val') GROUP BY split, task",
+        "split_files": f"{CHATS} SELECT split, task, count(*) AS n, sum(length(answer))::BIGINT AS target_chars FROM chats GROUP BY split, task",
         "eval_set": f"""{CHATS}
           SELECT conv_id, turn, task, 'real' AS slice, answer AS target FROM chats WHERE split = 'test_real'
           UNION ALL SELECT conv_id, turn, task, 'gen', answer FROM (
@@ -492,8 +506,7 @@ def _corpora() -> dict[str, str]:
         "smoke_set": f"""{CHATS} SELECT conv_id, turn, task, answer AS target FROM chats
           QUALIFY row_number() OVER (PARTITION BY task ORDER BY conv_id, turn) = 1""",
         "corpus_manifest": f"""{CHATS} SELECT split, task, count(*) AS n,
-          bit_xor(('0x' || substr(sha256(conv_id || '|' || turn || '|' || answer), 1, 15))::BIGINT) AS mark
-          FROM chats GROUP BY split, task""",
+          {_mark(1)} || '-' || {_mark(16)} AS mark FROM (SELECT *, sha256({_fields}) AS h FROM chats) GROUP BY split, task""",
         "rendered_chats": f"""{CHATS} SELECT conv_id, turn, md5({_turns(SYSTEM, USER, ANSWER)}) AS text_md5,
           md5({_turns(SYSTEM, USER)} || '<|assistant|>' || chr(10)) AS prompt_md5 FROM chats""",
         "chat_lengths": f"{CHATS} SELECT conv_id, turn, n_total, n_fixed, n_target FROM lengths",

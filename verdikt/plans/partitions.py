@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+#: Unset by default. A session that reads small files in one partition (tests,
+#: the bench) sets it to the number of partitions its inputs should have.
+INPUT_PARTITIONS = "spark.verdikt.input.partitions"
+
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a table with fewer partitions than cores one partition per core.
+    """Deal the rows over as many partitions as the session asks for, if it does.
 
-    Scoring is heavy per row, and a small table arrives in one partition. A
-    large table already has more splits than cores and is left alone, so no
-    shuffle is added at scale. Keys should be unique, so no partition is hot.
+    Keys should be unique, so that no partition is hot. Without the setting the
+    partitions of the source stay and nothing is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    wanted = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(wanted), *keys) if wanted else df

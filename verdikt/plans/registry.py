@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import lru_cache
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from verdikt.functions.variants import key_count
 from verdikt.operators import checks, corpus, quantize, rollup
 from verdikt.operators.contracts import contract_table
 from verdikt.operators.extract import answer_object, extract_json, extract_modes
-from verdikt.operators.resume import score_pending
+from verdikt.operators.resume import resumed, score_pending
 from verdikt.operators.score import examine, score
 from verdikt.plans.completions import COLUMNS, RUNS, completions, derive
 from verdikt.plans.corpora import KEY, chat_corpus, document_corpus, split
@@ -45,17 +45,14 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*cells)
 
 
-@lru_cache(maxsize=8)
 def _examined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return examine(completions(spark, sf_dir))
 
 
-@lru_cache(maxsize=8)
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(completions(spark, sf_dir))
 
 
-@lru_cache(maxsize=8)
 def _sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.task_sums(_scored(spark, sf_dir))
 
@@ -195,11 +192,12 @@ def filler_in_documents(spark, sf_dir):
 
 @query
 def filler_in_conversations(spark, sf_dir):
-    """E5 over every turn; some turns are replaced by an exact padding value."""
+    """E5 over every turn; beside some turns stands an exact padding value."""
     turns = table(spark, sf_dir, "conversations")
-    text = F.when(F.col("turn") == 7, F.lit(" N/A ")).otherwise(_marked("text", F.col("conv_id") + F.col("turn")))
+    whole = _marked("text", F.col("conv_id") + F.col("turn"))
+    padded = F.when(F.col("turn") == 7, F.array(whole, F.lit(" N/A "))).otherwise(F.array(whole))
     return (
-        checks.filler_scan(turns.select("role", text.alias("text")), "text")
+        checks.filler_scan(turns.select("role", F.explode(padded).alias("text")), "text")
         .groupBy("role", "rule", "label")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -256,6 +254,13 @@ def run_scores(spark, sf_dir):
     return rounded(rollup.run_table(materialize(_sums(spark, sf_dir))))
 
 
+@query
+def overall_gain(spark, sf_dir):
+    """H5: gain of the tuned run over all tasks."""
+    overall = rollup.overall(_sums(spark, sf_dir)).withColumn("scope", F.lit("overall"))
+    return rounded(rollup.compare_runs(overall, *RUNS, on="scope"))
+
+
 @query
 def run_gains(spark, sf_dir):
     """H5: gain of the tuned run per task."""
@@ -314,9 +319,10 @@ def raw_sink(spark, sf_dir):
     """A5: raw answers written by run and read back."""
     path = _work(spark, "raw")
     sinks.write_raw(completions(spark, sf_dir), path)
-    written = spark.read.parquet(path)
-    return written.groupBy("run", "task", "slice", "hit_cap").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("new_tokens").alias("tokens"), F.max(F.length("raw") <= 24000).alias("cut")
+    # What was stored is whole: it is extracted again as the answer was.
+    written = extract_json(spark.read.parquet(path))
+    return written.groupBy("run", "task", "slice", "extract", "hit_cap").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("new_tokens").alias("tokens")
     )
 
 
@@ -343,6 +349,19 @@ def pending_scores(spark, sf_dir):
     return rounded(scored.select("run", "row_id", "task", "extract", "score"))
 
 
+@query
+def resumed_scores(spark, sf_dir):
+    """Saved scores, read back from their sink, beside newly made ones are all."""
+    answers = completions(spark, sf_dir)
+    columns = ["run", "row_id", "task", "extract", "score"]
+    path = _work(spark, "saved")
+    sinks.replace_runs(score(answers.where("status = 'F'")).select(*columns), path)
+    n_rows = answers.groupBy("run").agg(F.count(F.lit(1)).alias("n_rows"))
+    saved = n_rows.withColumn("n_rows", F.col("n_rows") - F.when(F.col("run") == RUNS[1], 1).otherwise(0))
+    done = spark.read.parquet(path).select(*columns)
+    return rounded(resumed(answers, done, saved, lambda df: score(df)))
+
+
 @query
 def streamed_scores(spark, sf_dir):
     """The stream's result is the batch's result."""
@@ -350,17 +369,12 @@ def streamed_scores(spark, sf_dir):
     schema = table(spark, sf_dir, "orders").schema
     # A pattern, because a stream's plain path has to be a folder.
     source = spark.readStream.schema(schema).parquet(f"{sf_dir}/orders.parque[t]")
-    answers = derive(spread_stream(source.select(*COLUMNS)))
+    answers = derive(spread(source.select(*COLUMNS), "o_orderkey"))
     score_stream(answers, f"{work}/scored", f"{work}/checkpoint").awaitTermination()
     df = read_scored(spark, f"{work}/scored").drop("batch", "chars")
     return rounded(df.withColumn("notes", F.array_join("notes", "; ")))
 
 
-def spread_stream(stream: DataFrame) -> DataFrame:
-    """A stream's batches follow its files; spread them over the session's cores."""
-    return stream.repartition(stream.sparkSession.sparkContext.defaultParallelism, "o_orderkey")
-
-
 # Corpora
 
 
@@ -378,10 +392,10 @@ def split_files(spark, sf_dir):
     folder = _work(spark, "corpus")
     df = chat_corpus(spark, sf_dir).withColumn("teacher", F.lit("none"))
     schema = f"conv_id bigint, turn bigint, split string, task string, messages {jsonl.MESSAGES}"
-    for name in ["train", "val"]:
-        split(df, name).write.json(f"{folder}/{name}.jsonl")
-    parts = [jsonl.read_split(spark, folder, name, schema) for name in ["train", "val", "absent"]]
-    read = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    jsonl.write_splits(df, folder)
+    names = ["train", "val", "test_real", "test_gen", "absent"]
+    parts = [jsonl.read_split(spark, folder, name, schema, jsonl.PARTED) for name in names]
+    read = reduce(DataFrame.unionByName, parts)
     target = F.sum(F.length(corpus.content(F.col("messages"), 2)))
     return read.groupBy("split", "task").agg(F.count(F.lit(1)).alias("n"), target.alias("target_chars"))
 
@@ -404,8 +418,8 @@ def smoke_set(spark, sf_dir):
 @query
 def corpus_manifest(spark, sf_dir):
     """A4."""
-    df = chat_corpus(spark, sf_dir).withColumn("target", corpus.content(F.col("messages"), 2))
-    return corpus.split_manifest(df, KEY, "target")
+    fields = [F.col(c) for c in KEY] + [corpus.content(F.col("messages"), i) for i in range(3)]
+    return corpus.split_manifest(chat_corpus(spark, sf_dir), fields)
 
 
 @query

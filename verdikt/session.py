@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -30,6 +31,7 @@ def local_session(cores: int | str = "*", memory: str = "8g", partitions: int =
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
+        .config("spark.verdikt.input.partitions", str(partitions))
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
@@ -53,6 +55,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Rows of a side that may be sent to every task: some megabytes.
+FEW = 100_000
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """A side of a join: broadcast if it is counted to be small, else as it is."""
+    return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute a small table once, in the shared folder, for several uses."""
     context = df.sparkSession.sparkContext

@@ -25,13 +25,23 @@ def read_or_empty(spark: SparkSession, read, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def read_split(spark: SparkSession, folder: str, name: str, schema: str = CORPUS) -> DataFrame:
+def read_split(spark: SparkSession, folder: str, name: str, schema: str = CORPUS, layout: str = "{}.jsonl") -> DataFrame:
     """A1: a split of a corpus; a missing file is an empty split.
 
     Only the declared columns are parsed. A malformed line stops the read.
+    ``layout`` tells where a split lies; ``write_splits`` uses ``PARTED``.
     """
     reader = spark.read.schema(schema).option("mode", "FAILFAST")
-    return read_or_empty(spark, lambda: reader.json(f"{folder}/{name}.jsonl"), schema)
+    read = read_or_empty(spark, lambda: reader.json(f"{folder}/{layout.format(name)}"), schema)
+    return read.withColumn("split", F.lit(name)) if layout == PARTED else read
+
+
+PARTED = "split={}"
+
+
+def write_splits(df: DataFrame, folder: str) -> None:
+    """All splits of a corpus as JSON lines, in one pass over it."""
+    df.write.partitionBy("split").json(folder)
 
 
 def explode_results(df: DataFrame, document: Column) -> DataFrame:

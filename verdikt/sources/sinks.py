@@ -5,31 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: raw answers are kept up to this many characters.
-RAW_CHARS = 24000
-
 
 def replace_runs(df: DataFrame, path: str, by: str = "run") -> None:
     """Write these runs over their own partitions, keep all others."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def raw_answers(completions: DataFrame) -> DataFrame:
+def raw_answers(completions: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Answers are kept whole, so that they can be scored again; ``max_chars``
+    asks for a short form."""
+    raw = F.col("raw") if max_chars is None else F.substring("raw", 1, max_chars)
     return completions.select(
         "run",
         "row_id",
         "task",
         "slice",
-        F.substring("raw", 1, RAW_CHARS).alias("raw"),
+        raw.alias("raw"),
         "new_tokens",
         "cap",
         (F.col("new_tokens") >= F.col("cap") - 1).alias("hit_cap"),
     )
 
 
-def write_raw(completions: DataFrame, path: str) -> None:
+def write_raw(completions: DataFrame, path: str, max_chars: int | None = None) -> None:
     """A5: raw answers with slice, tokens and cap flag."""
-    replace_runs(raw_answers(completions), path)
+    replace_runs(raw_answers(completions, max_chars), path)
 
 
 def nested_results(tasks: DataFrame, overall: DataFrame, slices: DataFrame, modes: DataFrame) -> DataFrame:
