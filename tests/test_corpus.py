@@ -64,3 +64,25 @@ def test_stream_equals_batch_and_rescoring_is_idempotent(spark, tmp_path):
     expected = first.unionByName(more.where("row_id > 4"))
     columns = ["row_id", "task", "extract", "score", "chars"]
     assert sorted(got.select(*columns).collect()) == sorted(score(expected).select(*columns).collect())
+
+
+def test_manifest_marks_whole_rows(spark):
+    def marks(rows):
+        df = chats(spark, rows).withColumn("split", F.lit("train"))
+        fields = [F.col("row_id")] + [corpus.content(F.col("messages"), i) for i in range(3)]
+        return [(r.n, r.mark) for r in corpus.split_manifest(df, fields).collect()]
+
+    base = [(1, "plan", "s", "u", "a"), (2, "plan", "s", "v", "b")]
+    assert marks(base) == marks(base[::-1])
+    assert marks(base) != marks([(1, "plan", "s", "other", "a"), base[1]])
+    assert marks([(1, "plan", "s", "u", "a")]) != marks([(1, "plan", "su", "", "a")])
+    assert marks(base + base[:1] * 2)[0][1] not in {marks(base)[0][1], "0-0"}
+
+
+def test_raw_answers_are_kept_whole(spark):
+    from verdikt.sources import sinks
+
+    row = ("a", 1, "bug", "gen", "x" * 30000, 10, 20)
+    df = spark.createDataFrame([row], "run string, row_id bigint, task string, slice string, raw string, new_tokens int, cap int")
+    assert len(sinks.raw_answers(df).first().raw) == 30000
+    assert len(sinks.raw_answers(df, max_chars=24).first().raw) == 24

@@ -142,3 +142,25 @@ def _col(name):
     from pyspark.sql import functions as F
 
     return F.col(name)
+
+
+def test_filters_reach_the_scan_through_the_scorer(spark, tmp_path):
+    rows = [("a", 1, "plan", "{}"), ("b", 2, "bug", 'see {"title": 1}'), ("b", 3, "plan", "")]
+    spark.createDataFrame(rows, "run string, row_id bigint, task string, raw string").write.partitionBy("run").parquet(str(tmp_path / "in"))
+    scored_frame = score(spark.read.parquet(str(tmp_path / "in")))
+    by_run = scored_frame.where("run = 'b'").groupBy("run").avg("score")
+    plan = by_run._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(run" in plan and plan.count("ArrowEvalPython") == 1
+    plan = scored_frame.where("row_id = 2")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(row_id,2)" in plan
+    plan = scored_frame.where("score < 0.5 AND extract = 'embedded'")._jdf.queryExecution().executedPlan().toString()
+    assert len(plan) < 200_000 and plan.count("ArrowEvalPython") == 1
+    assert [r.row_id for r in scored_frame.where("extract = 'embedded'").collect()] == [2]
+
+
+def test_all_notes_are_kept_unless_fewer_are_asked_for(spark):
+    body = {"summary": "todo", "actions": [{"title": "", "detail": ""}] * 12, "x": ["tbd", "n/a", "lorem ipsum", "coming soon", "fixme"]}
+    df = spark.createDataFrame([("custom", json.dumps(body))], "task string, raw string")
+    notes = score(df).first().notes
+    assert len(notes) > 25 and sum(n.startswith(("empty-field:", "filler:")) for n in notes) >= 5
+    assert score(df, max_notes=3).first().notes == notes[:3]

@@ -175,11 +175,6 @@ def find_in_text(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([_find(t) for t in texts], columns=["mode", "doc"])
 
 
-# Marked as non-deterministic, though it is not, so that the optimizer neither
-# repeats it nor pushes a filter on its result below it.
-find_in_text = find_in_text.asNondeterministic()
-
-
 def extract_json(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``extract`` (the mode), ``doc`` (JSON text) and ``answer``.
 
@@ -216,8 +211,13 @@ def extract_json(df: DataFrame, raw: str = "raw") -> DataFrame:
     whole = F.when(exact & opens_object, F.col("_whole")).when(fenced, F.col("_fence")).otherwise(found)
     df = df.withColumn("answer", F.when(F.col("doc").isNotNull(), whole))
     lost = F.col("_mode").isin(EMITTED) & F.col("answer").isNull()
-    df = df.withColumn("extract", F.when(lost, F.lit("unparseable")).otherwise(F.col("_mode")))
-    return df.drop("_text", "_whole", "_body", "_fence", "_found", "_mode")
+    mode = F.when(lost, F.lit("unparseable")).otherwise(F.col("_mode"))
+    # One row in a list, taken apart again: a filter on what was found stays
+    # above this step and cannot repeat the extraction, while one on the other
+    # columns passes through it, down to the scan.
+    made = ["_text", "_whole", "_body", "_fence", "_found", "_mode", "doc", "answer"]
+    kept = [c for c in df.columns if c not in [*made, "extract"]]
+    return df.select(*kept, F.inline(F.array(F.struct(mode.alias("extract"), "doc", "answer"))))
 
 
 def answer_object() -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdikt.functions import filler
-from verdikt.functions.text import settled
 from verdikt.operators import checks, rigor
 from verdikt.operators.contracts import known_task
 from verdikt.operators.extract import EMITTED, extract_json
@@ -30,7 +29,7 @@ def examine(df: DataFrame, raw: str = "raw") -> DataFrame:
     df = df.withColumn("_strings", checks.walked_strings())
     return df.select(
         *kept,
-        settled(F.col("extract")).alias("extract"),
+        "extract",
         "chars",
         checks.schema_outcomes().alias("schema_outcomes"),
         checks.enum_outcomes().alias("enum_outcomes"),
@@ -50,18 +49,18 @@ def score(df: DataFrame, raw: str = "raw", max_notes: int | None = None) -> Data
     def when_emitted(value):
         return F.when(emitted, value).otherwise(F.lit(0.0))
 
-    df = df.withColumns(
-        {
-            "emitted": emitted.cast("int"),
-            "schema": when_emitted(checks.passed_share(F.col("schema_outcomes"))),
-            "enums": when_emitted(checks.passed_share(F.col("enum_outcomes"))),
-            "rigor": when_emitted(F.col("rigor_result.value")),
-            "clean": when_emitted(checks.clean_score(F.col("filler_hits"))),
-        }
-    )
+    parts = {
+        "schema": checks.passed_share(F.col("schema_outcomes")),
+        "enums": checks.passed_share(F.col("enum_outcomes")),
+        "rigor": F.col("rigor_result.value"),
+        "clean": checks.clean_score(F.col("filler_hits")),
+    }
+    found = F.struct(emitted.cast("int").alias("emitted"), *[when_emitted(v).alias(name) for name, v in parts.items()])
     total = F.lit(0.0)
     for name, weight in WEIGHTS.items():
         total = total + F.lit(weight) * F.col(name)
+    # As in the extraction: a filter on a score stays above its making.
+    df = df.select(*[c for c in df.columns if c not in METRICS], F.inline(F.array(found))).withColumn("score", total)
     notes = F.concat(
         checks.failures(F.col("schema_outcomes")),
         checks.failures(F.col("enum_outcomes")),
@@ -70,4 +69,4 @@ def score(df: DataFrame, raw: str = "raw", max_notes: int | None = None) -> Data
     )
     missing = F.array(F.concat(F.lit("extract:"), F.col("extract")))
     notes = F.when(emitted, notes if max_notes is None else F.slice(notes, 1, max_notes)).otherwise(missing)
-    return df.withColumns({"score": total, "notes": notes}).drop(*CHECKED)
+    return df.withColumn("notes", notes).drop(*CHECKED)
