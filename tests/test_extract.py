@@ -1,7 +1,10 @@
 import json
+import random
+import time
 
 import pytest
 
+from verdikt.operators import extract
 from verdikt.operators.extract import _closing_braces, extract_json
 
 CASES = [
@@ -83,3 +86,30 @@ def test_unknown_task_stops_the_job(spark):
     df = spark.createDataFrame([("nope", "{}")], "task string, raw string")
     with pytest.raises(Exception, match="unknown task: nope"):
         score(df).collect()
+
+
+def test_longest_fragment_against_a_literal_scan():
+    def literal(residue, begin):
+        best, length = None, 0
+        enough = (len(residue.text) - begin) * extract.ENOUGH
+        for i, at in enumerate(residue.marks):
+            if at < begin or residue.text[at] != "{" or residue.closing[i + 1] < 0:
+                continue
+            end = residue.marks[residue.closing[i + 1]] + 1
+            if end - at > length:
+                best, length = at, end - at
+            if length > enough:
+                break
+        return None if best is None else residue.text[best : best + length]
+
+    r = random.Random(1)
+    for _ in range(3000):
+        text = "".join(r.choices('{}"\\a {}', k=r.randint(0, 30)))
+        residue, begin = extract._Residue(text), r.randint(0, len(text))
+        assert residue._fragment(begin) == literal(residue, begin), (text, begin)
+
+
+def test_many_envelopes_take_linear_time():
+    began = time.process_time()
+    assert extract._find('"input": {x ' * 8000) == ("unparseable", None)
+    assert time.process_time() - began < 3

@@ -13,6 +13,7 @@ import re
 import sys
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cached_property
 
 import pandas as pd
 from pyspark.cloudpickle import register_pickle_by_value
@@ -53,9 +54,7 @@ def _finite(number: str) -> float:
     return value if math.isfinite(value) else math.copysign(1.5, value)
 
 
-def _loads(text: str):
-    # JSON has no NaN or infinity; a float with an equally long text stands in.
-    return json.loads(text, parse_constant=_finite, parse_float=_finite)
+BLANK_END = re.compile(r"[ \t\n\r]*\Z")
 
 
 def _closing_braces(text: str) -> tuple[list[int], list[int]]:
@@ -85,44 +84,86 @@ def _closing_braces(text: str) -> tuple[list[int], list[int]]:
     return marks, outside
 
 
+class _Longest:
+    """First of the longest numbers, and first number over a limit, from any
+    place on: tables of maxima over spans of 1, 2, 4 ... numbers."""
+
+    def __init__(self, numbers: list[int]):
+        self.levels = [numbers]
+        while 2 * len(self.levels[-1]) > len(numbers) and len(numbers) >= 2 ** len(self.levels):
+            last, half = self.levels[-1], 2 ** (len(self.levels) - 1)
+            self.levels.append([max(a, b) for a, b in zip(last, last[half:], strict=False)])
+        self.ahead, best = [0] * (len(numbers) + 1), 0
+        for i in range(len(numbers) - 1, -1, -1):
+            self.ahead[i] = best = max(best, numbers[i])
+
+    def first_over(self, i: int, limit: float) -> int:
+        """The first place from ``i`` on whose number is over ``limit``, which
+        has to be below ``ahead[i]``."""
+        for level in range(len(self.levels) - 1, -1, -1):
+            maxima = self.levels[level]
+            while i < len(maxima) and maxima[i] <= limit:
+                i += 2**level
+        return i
+
+
 class _Residue:
     """The full rule order over one text; suffixes share one brace table."""
 
     def __init__(self, text: str):
         self.text = text
         self.marks, self.closing = _closing_braces(text)
+        self.last_fence = text.rfind("```")
+        # JSON has no NaN or infinity; a float with an equally long text stands in.
+        self.decoder = json.JSONDecoder(parse_constant=_finite, parse_float=_finite)
         self.envelopes = {
             key: [m.span() for m in re.finditer(rf'"{key}"\s*:\s*\{{', text)] for key in ENVELOPE_KEYS
         }
 
+    def _value_from(self, begin: int):
+        """The one JSON value from ``begin`` to the text's end."""
+        if not begin:
+            return self.decoder.decode(self.text)
+        value, end = self.decoder.raw_decode(self.text, begin)
+        if not BLANK_END.match(self.text, end):
+            raise ValueError("more than one value")
+        return value
+
+    @cached_property
+    def _lengths(self) -> _Longest:
+        """How long the balanced fragment is that starts at each mark, or 0."""
+        lengths = [0] * len(self.marks)
+        for i, at in enumerate(self.marks):
+            if self.text[at] == "{" and self.closing[i + 1] >= 0:
+                lengths[i] = self.marks[self.closing[i + 1]] + 1 - at
+        return _Longest(lengths)
+
     def _fragment(self, begin: int) -> str | None:
-        best, length = None, 0
+        """The first fragment that is long enough, else the longest."""
+        i = bisect_left(self.marks, begin)
+        longest = self._lengths.ahead[i]
+        if not longest:
+            return None
         enough = (len(self.text) - begin) * ENOUGH
-        for i, at in enumerate(self.marks):
-            if at < begin or self.text[at] != "{" or self.closing[i + 1] < 0:
-                continue
-            end = self.marks[self.closing[i + 1]] + 1
-            if end - at > length:
-                best, length = at, end - at
-            if length > enough:
-                break
-        return None if best is None else self.text[best : best + length]
+        i = self._lengths.first_over(i, min(enough, longest - 1))
+        at = self.marks[i]
+        return self.text[at : at + self._lengths.levels[0][i]]
 
     def direct(self, begin: int):
         """Whole text, then fences, then the longest balanced fragment."""
-        text = self.text[begin:]
         try:
-            value = _loads(text)
+            value = self._value_from(begin)
             return (value, "clean") if isinstance(value, dict) else (None, "not-object")
         except (ValueError, RecursionError):
             pass
-        candidates = [(m.group(1).strip(), "fenced") for m in PY_FENCED.finditer(self.text, begin)]
+        fences = PY_FENCED.finditer(self.text, begin) if begin <= self.last_fence else ()
+        candidates = [(m.group(1).strip(), "fenced") for m in fences]
         fragment = self._fragment(begin)
         if fragment is not None:
             candidates.append((fragment, "embedded"))
         for candidate, mode in candidates:
             try:
-                value = _loads(candidate)
+                value = self.decoder.decode(candidate)
             except (ValueError, RecursionError):
                 continue
             if isinstance(value, dict):
