@@ -27,6 +27,10 @@ def _mark(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+#: Links that one task writes; tables of links shrink from round to round.
+PART = 500_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``links(a, b)``; the component is
     its least node. Links to itself are dropped, repeats do no harm. The number
@@ -35,7 +39,8 @@ def components(links: DataFrame) -> DataFrame:
     state = stored(ordered, "links")
     mark = _mark(state)
     while mark[0]:
-        state = stored(_small_star(_large_star(state)).distinct(), "links")
+        parts = mark[0] // PART + 1
+        state = stored(_small_star(_large_star(state.coalesce(parts))).distinct().coalesce(parts), "links")
         after = _mark(state)
         if after == mark:
             break

@@ -5,8 +5,8 @@
    nothing more.
 2. Classes are dealt into groups of similar ones: those with the same least
    hash, in blocks of at most about ``BLOCK``. Within a block all pairs are
-   compared in memory and a spanning forest of the links leaves the task, never
-   all pairs. One class per block and component then links the blocks of the
+   compared in memory and what leaves the task is one row for each class that
+   they join to a smaller one, never all pairs. One class per block and component then links the blocks of the
    same least hash.
 3. The token-group matrix says which groups hold a token. Two sets with Jaccard
    similarity t or more share at least ``SHARED`` of the first
@@ -36,15 +36,16 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdikt.llm import text as tx
 from verdikt.llm.components import components
+from verdikt.llm.rows import once, row_key, sent, without
 from verdikt.llm.store import stored
 
 #: Tokens that a pair must share among the first ones (see above).
-SHARED = 8
+SHARED = 20
 #: Classes that are compared with each other in one task.
 BLOCK = 256
 #: Classes that a token must have, as seen in single tasks, to come last. The
@@ -221,12 +222,10 @@ class _Forest:
             x = y
         return x
 
-    def join(self, x: int, y: int) -> bool:
+    def join(self, x: int, y: int) -> None:
         x, y = self.root(x), self.root(y)
-        if x == y:
-            return False
-        self.up[max(x, y)] = min(x, y)
-        return True
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, list]]:
@@ -264,8 +263,9 @@ def _overlaps(tokens: np.ndarray, owners: np.ndarray, many: int, query: np.ndarr
 
 
 def _compared(run: dict[str, list], share: Fraction) -> list[tuple[int, int]]:
-    """A spanning forest of the links of a block: queries with members, and
-    members with each other where no row is marked as a query."""
+    """Component labels that links of a block join, each with the least label
+    they are joined to: queries with members, and members with each other where
+    no row is marked as a query."""
     member = [k for k, q in enumerate(run["query"]) if not q]
     query = [k for k, q in enumerate(run["query"]) if q]
     inner = not query
@@ -277,7 +277,7 @@ def _compared(run: dict[str, list], share: Fraction) -> list[tuple[int, int]]:
     order = np.argsort(tokens, kind="stable")
     tokens, owners = tokens[order], owners[order]
     sizes = np.array([run["n"][k] for k in member])
-    forest, links = _Forest(), []
+    forest = _Forest()
     for place, k in enumerate(member if inner else query):
         n, label = run["n"][k], run["component"][k]
         both = _overlaps(tokens, owners, len(member), sets_[k] if inner else _unpack(run["tokens"][k]))
@@ -285,13 +285,13 @@ def _compared(run: dict[str, list], share: Fraction) -> list[tuple[int, int]]:
         if inner:
             linked[place:] = False
         for m in np.flatnonzero(linked).tolist():
-            if forest.join(label, run["component"][member[m]]):
-                links.append((run["class"][k], run["class"][member[m]]))
-    return links
+            forest.join(label, run["component"][member[m]])
+    return [(label, forest.root(label)) for label in forest.up]
 
 
 def _links(rows: DataFrame, share: Fraction) -> DataFrame:
-    """Compare rows ``block, class, component, n, tokens, query`` block by block."""
+    """Compare rows ``block, component, n, tokens, query`` block by block:
+    ``a, b``, a label and the least one that the block joins it to."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _runs(batches, "block"):
@@ -299,7 +299,7 @@ def _links(rows: DataFrame, share: Fraction) -> DataFrame:
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    rows = rows.select("block", "class", "component", "n", "tokens", "query")
+    rows = rows.select("block", "component", "n", "tokens", "query")
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(compare, "a long, b long")
 
 
@@ -310,10 +310,22 @@ def _blocks(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(many, key).withColumn("block", F.xxhash64(F.col(key), deal)).drop("_many")
 
 
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Sets ``component``: the class itself where no link has been found."""
-    joined = rows.join(labels.withColumnRenamed("node", "class"), "class", "left")
-    return joined.withColumn("component", F.coalesce("component", "class"))
+def _relabelled(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """``component`` replaced by what ``joined(a, b)`` joins it to, if anything."""
+    to = joined.select(F.col("a").alias("component"), F.col("b").alias("_to"))
+    return rows.join(to, "component", "left").withColumn("component", F.coalesce("_to", "component")).drop("_to")
+
+
+def _mixed(rows: DataFrame, kind: str) -> DataFrame:
+    """The rows of tokens that stand in more than one ``kind``."""
+    alike = Window.partitionBy("token")
+    rows = rows.withColumns({"_low": F.min(kind).over(alike), "_high": F.max(kind).over(alike)})
+    return rows.where("_low < _high").drop("_low", "_high")
+
+
+def _enough(n: Column, share: Fraction) -> Column:
+    """How many of its first tokens a set shares with any it links with."""
+    return F.least(F.lit(SHARED), F.ceil(n * share.numerator / share.denominator))
 
 
 def _opened(matrix: DataFrame, share: Fraction) -> DataFrame:
@@ -330,8 +342,7 @@ def _opened(matrix: DataFrame, share: Fraction) -> DataFrame:
     other = (F.col("u.c_low") != F.col("q.component")) | (F.col("u.c_high") != F.col("q.component"))
     shared = matrix.alias("q").join(unions.alias("u"), "token").where((F.col("q.block") < F.col("u.block")) & near & other)
     shared = shared.groupBy(F.col("q.class").alias("class"), F.col("u.block").alias("block"), F.col("q.n").alias("n"))
-    enough = F.least(F.lit(SHARED), F.ceil(F.col("n") * t - 1e-6))
-    return shared.agg(F.count("*").alias("both")).where(F.col("both") >= enough).select("class", "block")
+    return shared.agg(F.count("*").alias("both")).where(F.col("both") >= _enough(F.col("n"), share)).select("class", "block")
 
 
 def _meetings(opened: DataFrame, active: DataFrame) -> DataFrame:
@@ -355,38 +366,56 @@ def similar(docs: DataFrame, id_col: str, text_col: str, size: int = 5, share: F
     common = common_tokens(seen)
     classes = texts.where("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("token").alias("token"))
 
-    # Tokens of one class alone link nothing; most are.
-    alike = Window.partitionBy("token")
-    first = first_tokens(source, size, share, common).withColumns({"_low": F.min("class").over(alike), "_high": F.max("class").over(alike)})
-    first = stored(first.where("_low < _high").drop("_low", "_high"), "first")
+    # Tokens of one class alone link nothing; most are. Nor does a class with
+    # too few of the others.
+    first = stored(_mixed(first_tokens(source, size, share, common), "class").distinct(), "first")
+    may = first.groupBy("class", "n").agg(F.count("*").alias("both")).where(F.col("both") >= _enough(F.col("n"), share))
+    first = stored(_mixed(first.join(may.select("class"), "class", "left_semi"), "class"), "first")
 
     # Sets of the classes that may link, in blocks of the same least token.
-    dealt = _blocks(classes.join(first.select("class").distinct(), "class", "left_semi"), "token")
-    active = stored(sets(source.join(dealt.select("id", "class", "block", "n"), "id"), size), "active")
-    inner = active.withColumns({"component": F.col("class"), "query": F.lit(False)})
-    links = stored(_links(inner, share), "links")
-    labels = components(links)
+    may = first.groupBy("class", "n").agg(F.count("*").alias("both")).where(F.col("both") >= _enough(F.col("n"), share))
+    dealt = stored(_blocks(classes.join(may.select("class"), "class", "left_semi"), "token"), "dealt")
+    active = stored(sets(source.join(sent(dealt.select("id", "class", "block", "n")), "id"), size), "active")
+    crowded = dealt.groupBy("block").agg(F.count("*").alias("_many")).where("_many > 1").select("block")
+    inner = active.join(sent(crowded), "block", "left_semi").withColumns({"component": F.col("class"), "query": F.lit(False)})
+    # A class is in one block, so what a block joins are whole components yet.
+    own = dealt.select("class", "token", "block", F.col("class").alias("component"))
+    own = stored(_relabelled(own, _links(inner, share)), "own")
 
     # One class of each component in a block ties the blocks of a token.
-    heads = _labelled(active.join(dealt.select("class", "token"), "class"), labels)
-    heads = heads.withColumn("_rank", F.row_number().over(Window.partitionBy("block", "component").orderBy("class")))
-    heads = heads.where("_rank = 1").drop("_rank", "block")
-    several = heads.groupBy("token").agg(F.count_distinct("component").alias("_kinds")).where("_kinds > 1").select("token")
-    heads = _blocks(heads.join(several, "token", "left_semi"), "token").withColumn("query", F.lit(False))
-    links = stored(links.unionByName(_links(heads, share)), "links")
-    labels = components(links)
+    heads = own.withColumn("_rank", F.row_number().over(Window.partitionBy("block", "component").orderBy("class")))
+    heads = heads.where("_rank = 1").drop("_rank")
+    several = heads.groupBy("token").agg(F.count_distinct("block").alias("_blocks")).where("_blocks > 1").select("token")
+    heads = stored(_blocks(heads.drop("block").join(several, "token", "left_semi"), "token"), "heads")
+    tied = active.drop("block").join(sent(heads.select("class", "component", "block")), "class").withColumn("query", F.lit(False))
+    members = stored(_relabelled(own.drop("token"), _links(tied, share)), "members")
 
     # The matrix, without tokens that are in one component only.
-    members = stored(_labelled(dealt.select("class", "block"), labels), "members")
-    apart = Window.partitionBy("token")
-    matrix = first.join(members, "class").withColumns({"_low": F.min("component").over(apart), "_high": F.max("component").over(apart)})
-    matrix = stored(matrix.where("_low < _high").drop("_low", "_high").distinct(), "matrix")
+    matrix = stored(_mixed(first.join(members, "class"), "component"), "matrix")
     opened = stored(_opened(matrix, share), "opened")
-    meetings = _meetings(opened, active.join(members.select("class", "component"), "class"))
-    labels = components(links.unionByName(_links(meetings, share)))
+    needed = opened.select("class").unionByName(members.join(opened.select("block").distinct(), "block", "left_semi").select("class")).distinct()
+    needed = stored(needed.join(members.select("class", "component"), "class"), "needed")
+    meetings = _meetings(opened, active.join(sent(needed), "class"))
+    joined = components(_links(meetings, share)).select(F.col("node").alias("a"), F.col("component").alias("b"))
 
     # The least id of each component, for every text.
-    kinds = _labelled(classes.select("class", "id"), labels)
+    kinds = classes.select("class", "id").join(_relabelled(members.drop("block"), joined), "class", "left")
+    kinds = kinds.withColumn("component", F.coalesce("component", "class"))
     least = kinds.groupBy("component").agg(F.min("id").alias("least"))
     kinds = kinds.join(least, "component").select("class", "least")
     return texts.join(kinds, "class", "left").select("id", "n", F.coalesce("least", "id").alias("component"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, share: Fraction = Fraction(4, 5)) -> DataFrame:
+    """The rows of ``docs`` less all but one of each group of linked texts.
+
+    The row with the least id stays (of several texts with that id the one with
+    the least key). Texts without a word are linked with nothing and stay.
+    """
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key")).alias("row"), F.col(text_col).alias("text"))
+    found = stored(similar(keyed, "row", "text", size, share).where("n > 0"), "groups")
+    others = found.where(F.col("id") != F.col("component")).select("id.key")
+    repeated = found.where(F.col("id") == F.col("component")).groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id.key")
+    kept = without(docs, others, id_col, text_col)
+    repeated = stored(repeated, "repeated")
+    return kept if repeated.isEmpty() else once(kept, repeated, id_col, text_col)
