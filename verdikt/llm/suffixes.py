@@ -12,18 +12,17 @@ losing one, and the doubling runs on what is left:
    bytes alone, so equal windows have equal anchors at equal places. The starts
    of one anchor are consecutive and make one row, a run.
 2. Rank at ``GRAM`` bytes: runs are grouped by the anchor's string; a run whose
-   string is unique is unique.
-3. Rank pairs at the doubled offset: the string is paired with what follows it
-   (for starts near the anchor) and with what precedes it (for starts further
-   ahead); a start whose pair is unique is done.
-4. Rank past the threshold: runs whose whole windows are equal form a class.
-   Of two and more in a class every start repeats. Where different classes of
-   one string remain, one run of each sends the rank of its single starts at
-   the full length, and equal ranks are counted.
-
-Ranks are 64-bit fingerprints, grouped by Spark's sort-based aggregation, so
-equal strings are brought together without a global order. Only runs travel;
-text is moved twice, by its id.
+   string is unique is unique and goes.
+3. Rank pairs past the threshold: the string's rank is paired with the rank of
+   the whole that the run's windows cover. Runs with equal pairs form a class;
+   of two and more in a class every start repeats.
+4. Rank pairs at the threshold: where different classes of one string remain,
+   one run of each sends the rank of each start's full length, and equal ranks
+   are counted.
+
+Ranks are 64-bit fingerprints, brought together by Spark's shuffles and sorts,
+so equal strings meet without a global order. Only runs travel; text is moved
+twice, compressed and by its id.
 
 Defined results: null text is empty; a text shorter than the length keeps every
 byte; repeated rows repeat each other's bytes, so both lose what is long
@@ -39,13 +38,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from zstandard import ZstdCompressor, ZstdDecompressor
 
 from verdikt.llm import text as tx
 from verdikt.llm.pieces import expanded
 from verdikt.llm.store import stored
 
 LENGTH = 400
-GRAM = 64
+GRAM = 232
 #: Starts of one very long text that are looked at together.
 SPAN = 4 << 20
 _PLACE = np.uint64(28)  # bits of a place inside a span
@@ -83,20 +83,6 @@ class _Runs:
         self.whole = tx.span_hash(prefix, self.low, self.high + length)
         self.begin, self.end = offsets[self.text], offsets[self.text + 1]
 
-    def pairs(self, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ranks at the doubled offset: of the bytes after and before the anchor.
-
-        Starts at most ``reach`` before the anchor hold the first, the others
-        the second. Where a run has no such starts the rank is of no use.
-        """
-        reach = (length - gram) // 2
-        after = np.minimum(self.anchor + length - reach, self.end)
-        before = np.maximum(self.anchor + gram - (length - reach), self.begin)
-        return (
-            tx.span_hash(self.prefix, self.anchor, np.maximum(after, self.anchor)),
-            tx.span_hash(self.prefix, before, self.anchor + gram),
-        )
-
 
 def _spans(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """Bytes and offsets of a batch; a very long text in overlapping spans,
@@ -114,7 +100,20 @@ def _spans(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.
 def _chosen(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, mark, text``; the mark tells texts with the same id apart."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    return docs.select(F.col(id_col).alias("id"), F.hash(text).alias("mark"), text.alias("text"))
+
+
+def _packed(source: DataFrame) -> DataFrame:
+    """``id, mark, packed``: the text compressed, to be moved."""
+    kind = source.schema["id"].dataType.simpleString()
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = ZstdCompressor(level=1)
+        for batch in tx.chunks(batches, "text"):
+            packed = [codec.compress(t.as_buffer()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(packed, pa.binary())], names=["id", "mark", "packed"])
+
+    return source.mapInArrow(make, f"id {kind}, mark int, packed binary")
 
 
 def _i64(x: np.ndarray) -> pa.Array:
@@ -130,35 +129,33 @@ def _grams(source: DataFrame, length: int, gram: int) -> DataFrame:
     return source.select("text").mapInArrow(make, "gram long")
 
 
-_RUN = ["gram", "after", "before", "whole", "low", "high", "anchor"]
-
-
 def _runs(source: DataFrame, length: int, gram: int) -> DataFrame:
     kind = source.schema["id"].dataType.simpleString()
+    names = ["id", "mark", "gram", "whole", "low", "high"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tx.chunks(batches, "text"):
             for data, offsets, at in _spans(batch, length):
                 runs = _Runs(data, offsets, length, gram)
-                after, before = runs.pairs(length, gram)
                 own = batch.select(["id", "mark"]).take(pa.array(runs.text))
                 back = at - runs.begin
-                columns = [runs.gram, after, before, runs.whole, runs.low + back, runs.high + back, runs.anchor + back]
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *map(_i64, columns)], names=["id", "mark", *_RUN])
+                columns = [*own.columns, _i64(runs.gram), _i64(runs.whole), _i64(runs.low + back), _i64(runs.high + back)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return source.mapInArrow(make, f"id {kind}, mark long, " + ", ".join(f"{c} long" for c in _RUN))
+    return source.mapInArrow(make, f"id {kind}, mark int, gram long, whole long, low long, high long")
 
 
 def _ranks(texts: DataFrame, length: int) -> DataFrame:
-    """The rank at full length of each start in ``opens``, low to high."""
+    """The rank at full length of each start in ``opens``."""
     kind = texts.schema["id"].dataType.simpleString()
+    names = ["id", "mark", "start", "rank", "weight"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tx.chunks(batches, "text"):
-            for row in batch.to_pylist():
-                data = np.frombuffer(row["text"].encode(), np.uint8)
-                opens = np.array([(o["low"], o["high"], o["weight"]) for o in row["opens"]]).reshape(-1, 3)
-                opens = opens[np.argsort(opens[:, 0], kind="stable")]
+        codec = ZstdDecompressor()
+        for batch in batches:
+            for row in range(batch.num_rows):
+                data = np.frombuffer(codec.decompress(batch.column("packed")[row].as_buffer()), np.uint8)
+                opens = np.array([(o["low"], o["high"], o["weight"]) for o in batch.column("opens")[row].as_py()]).reshape(-1, 3)
                 for k in range(0, len(data), SPAN):  # bounded also for one very long text
                     inside = opens[(opens[:, 0] < k + SPAN) & (opens[:, 1] >= k)]
                     low, high = np.maximum(inside[:, 0], k), np.minimum(inside[:, 1], k + SPAN - 1)
@@ -168,13 +165,10 @@ def _ranks(texts: DataFrame, length: int) -> DataFrame:
                     prefix = tx.prefix_hash(data[k : k + SPAN + length])
                     rank = tx.span_hash(prefix, starts - k, starts - k + length)
                     weight = np.repeat(inside[:, 2], high - low + 1)
-                    n = len(starts)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row["id"]] * n, batch.column("id").type), pa.array([row["mark"]] * n, pa.int64()), _i64(starts), _i64(rank), _i64(weight)],
-                        names=["id", "mark", "start", "rank", "weight"],
-                    )
+                    own = batch.select(["id", "mark"]).take(pa.array(np.full(len(starts), row)))
+                    yield pa.RecordBatch.from_arrays([*own.columns, _i64(starts), _i64(rank), pa.array(weight.astype(np.int32))], names=names)
 
-    return texts.select("id", "mark", "text", "opens").mapInArrow(make, f"id {kind}, mark long, start long, rank long, weight long")
+    return texts.select("id", "mark", "packed", "opens").mapInArrow(make, f"id {kind}, mark int, start long, rank long, weight int")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -183,26 +177,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     shared = _grams(source, length, gram).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     runs = stored(_runs(source, length, gram).join(stored(shared, "grams"), "gram"), "runs")
 
-    # Equal whole windows: one class, of which one run stands for all.
-    classes = runs.groupBy("gram", "whole").agg(
-        F.count("*").alias("n"), F.min_by(F.struct("id", "mark", "low", "high", "anchor", "after", "before"), F.struct("id", "low")).alias("one")
-    )
-    classes = stored(classes.select("gram", "whole", "n", "one.*"), "classes")
+    # Equal whole windows: one class, of which any run stands for all.
+    one = [F.first(c).alias(c) for c in ("id", "mark", "low", "high")]
+    classes = stored(runs.groupBy("gram", "whole").agg(F.count("*").alias("n"), *one), "classes")
     same = runs.join(classes.where("n > 1").select("gram", "whole"), ["gram", "whole"], "left_semi")
 
-    # Of strings with several classes, the parts whose rank pair is shared.
-    reach = (length - gram) // 2
+    # Of strings with several classes, the starts of one run of each.
     several = classes.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")
-    sides = F.array(
-        F.struct(F.lit(0).alias("side"), F.col("after").alias("pair"), F.greatest("low", F.col("anchor") - reach).alias("a"), F.col("high").alias("b")),
-        F.struct(F.lit(1).alias("side"), F.col("before").alias("pair"), F.col("low").alias("a"), F.least("high", F.col("anchor") - reach - 1).alias("b")),
-    )
-    parts = classes.join(several, "gram", "left_semi").select("gram", "id", "mark", "n", F.inline(sides)).where("a <= b")
-    alike = parts.groupBy("gram", "side", "pair").agg(F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
-    opens = parts.join(alike, ["gram", "side", "pair"], "left_semi")
-    one = F.struct(F.col("a").alias("low"), F.col("b").alias("high"), F.least("n", F.lit(2)).alias("weight"))
-    opens = opens.groupBy("id", "mark").agg(F.collect_set(one).alias("opens"))
-    ranks = _ranks(source.join(opens, ["id", "mark"]), length)
+    opens = classes.join(several, "gram", "left_semi").groupBy("id", "mark")
+    opens = opens.agg(F.collect_set(F.struct("low", "high", F.least("n", F.lit(2)).cast("int").alias("weight"))).alias("opens"))
+    ranks = _ranks(_packed(source).join(opens, ["id", "mark"]), length)
     # A start of a repeated row is sent by each copy, but such rows have no
     # class of one run: its weight is 2 already.
     found = ranks.withColumn("total", F.sum("weight").over(Window.partitionBy("rank"))).where("total > 1 and weight = 1")
@@ -214,15 +198,16 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``id, n_bytes, spans, kept``: each text's removed spans (maximal, first
     byte and the one behind the last) and its remaining bytes."""
     source = _chosen(docs, id_col, text_col)
-    found = repeats(docs, id_col, text_col, length, gram).distinct()
-    covers = found.groupBy("id", "mark").agg(F.collect_list(F.struct("low", "high")).alias("covers"))
+    found = repeats(docs, id_col, text_col, length, gram)
+    covers = found.groupBy("id", "mark").agg(F.collect_set(F.struct("low", "high")).alias("covers"))
     kind = source.schema["id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tx.chunks(batches, "text"):
+        codec = ZstdDecompressor()
+        for batch in tx.chunks(batches, "packed"):
             sizes, spans, kept = [], [], []
-            for text, covers in zip(batch.column("text").to_pylist(), batch.column("covers").to_pylist(), strict=True):
-                data = text.encode()
+            for packed, covers in zip(batch.column("packed"), batch.column("covers").to_pylist(), strict=True):
+                data = codec.decompress(packed.as_buffer())
                 own = sorted((c["low"], c["high"] + length) for c in covers or ())
                 joined: list[list[int]] = []
                 for a, b in own:
@@ -241,5 +226,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             columns = [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n_bytes", "spans", "kept"])
 
-    joined = source.join(covers, ["id", "mark"], "left").select("id", "text", "covers")
+    joined = _packed(source).join(covers, ["id", "mark"], "left").select("id", "packed", "covers")
     return joined.mapInArrow(cut, f"id {kind}, n_bytes long, spans array<array<long>>, kept binary")
