@@ -175,11 +175,17 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> pa.Ta
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from the labelled texts that are not held out."""
     table = _sample(docs, id_col, text_col, lang_col)
-    columns = [table.column(c).to_pylist() for c in ("lang", "id", "buckets", "shares")]
+    rows = []
+    for batch in table.to_batches():
+        buckets, shares = batch.column("buckets"), batch.column("shares")
+        ends = buckets.offsets.to_numpy()
+        bucket, share = buckets.values.to_numpy(), shares.values.to_numpy()
+        for k, (lang, key) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("id").to_pylist(), strict=True)):
+            if ends[k] < ends[k + 1]:
+                rows.append((lang, key, bucket[ends[k] : ends[k + 1]], share[ends[k] : ends[k + 1]]))
     # In an order of their own, however the sample arrived.
-    rows = sorted(zip(*columns, strict=True))
-    rows = [(lang, np.array(b, np.int64), np.array(s, np.float32)) for lang, _, b, s in rows if b]
-    return fit(rows)
+    rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))
+    return fit([(lang, b, s) for lang, _, b, s in rows])
 
 
 def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
@@ -234,8 +240,8 @@ def _calibrated(model: Model, rows: list, place: dict[str, int]) -> Model:
     return model
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Adds ``lang_pred, score, rejected``; columns of these names are replaced."""
+def judgement(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
+    """``lang_pred, score, rejected`` of each row as one column."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
@@ -252,5 +258,16 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         gone = (score < sent.value.floor) | (np.array(names, object) == UNKNOWN)
         return pd.DataFrame({"lang_pred": names, "score": score, "rejected": gone.astype(bool)})
 
-    found = docs.withColumn("_found", judge(F.col(text_col).cast("string")))
+    return judge(F.col(text_col).cast("string"))
+
+
+def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Adds ``lang_pred, score, rejected``; columns of these names are replaced."""
+    found = docs.withColumn("_found", judgement(docs, model, text_col))
     return found.withColumns({c: F.col(f"_found.{c}") for c in ("lang_pred", "score", "rejected")}).drop("_found")
+
+
+def recognised(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not rejected."""
+    found = docs.withColumn("_found", judgement(docs, model, text_col))
+    return found.where(~F.col("_found.rejected")).drop("_found")
