@@ -3,11 +3,11 @@
 1. Each text becomes the set of its word shingles (hashes). Texts with the same
    set form a class; from here on only classes count, so exact copies cost
    nothing more.
-2. Classes are dealt into groups of similar ones: those with the same least
-   hash, in blocks of at most about ``BLOCK``. Within a block all pairs are
-   compared in memory and what leaves the task is one row for each class that
-   they join to a smaller one, never all pairs. One class per block and component then links the blocks of the
-   same least hash.
+2. Classes are dealt into groups of similar ones: each to that of its first
+   tokens that most classes have, in blocks of about ``BLOCK``. Within a block
+   all pairs are compared in memory and what leaves the task is one row for each
+   class that they join to a smaller one, never all pairs. One class per block
+   and component then links the blocks of the same token.
 3. The token-group matrix says which groups hold a token. Two sets with Jaccard
    similarity t or more share at least ``SHARED`` of the first
    ``n - ceil(t n) + SHARED`` tokens in any common order (all they must share,
@@ -110,8 +110,8 @@ def _chosen(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def overview(source: DataFrame, size: int, share: Fraction) -> DataFrame:
     """One narrow pass over the texts. Rows with ``many`` null are texts with
-    their class, set size and least token; the others are tokens that three or
-    more of a task's classes have among twice their first ones."""
+    their class and set size; the others are tokens that three or more of a
+    task's classes have among twice their first ones."""
     kind = source.schema["id"].dataType.simpleString()
     names = ["id", "class", "n", "token", "many"]
 
@@ -127,19 +127,19 @@ def overview(source: DataFrame, size: int, share: Fraction) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in tx.chunks(batches, "text"):
-            classes, counts, least = [], [], []
+            classes, counts = [], []
             id_type = batch.column("id").type
             for found in _shingles(batch.column("text"), size):
                 n = len(found)
                 counts.append(n)
                 classes.append(_class(found) if n else None)
-                least.append(int(found[0] >> np.uint64(16)) if n else None)
                 if n and classes[-1] not in seen:
                     seen.add(classes[-1])
                     held.append(found[: 2 * _first(n, share)] >> np.uint64(16))
                     total += len(held[-1])
-            columns = [batch.column("id"), pa.array(classes, pa.int64()), pa.array(counts, pa.int64()), pa.array(least, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(counts), pa.int64())], names=names)
+            none = pa.nulls(len(counts), pa.int64())
+            columns = [batch.column("id"), pa.array(classes, pa.int64()), pa.array(counts, pa.int64()), none, none]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
             if total > 2_000_000:
                 yield counted()
                 held, total, seen = [], 0, set()
@@ -317,10 +317,11 @@ def _relabelled(rows: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def _mixed(rows: DataFrame, kind: str) -> DataFrame:
-    """The rows of tokens that stand in more than one ``kind``."""
+    """The rows of tokens that stand in more than one ``kind``; ``many`` is how
+    many rows have the token."""
     alike = Window.partitionBy("token")
-    rows = rows.withColumns({"_low": F.min(kind).over(alike), "_high": F.max(kind).over(alike)})
-    return rows.where("_low < _high").drop("_low", "_high")
+    found = {"_low": F.min(kind).over(alike), "_high": F.max(kind).over(alike), "many": F.count("*").over(alike)}
+    return rows.drop("many").withColumns(found).where("_low < _high").drop("_low", "_high")
 
 
 def _enough(n: Column, share: Fraction) -> Column:
@@ -364,7 +365,7 @@ def similar(docs: DataFrame, id_col: str, text_col: str, size: int = 5, share: F
     seen = stored(overview(source, size, share), "overview")
     texts = seen.where("many is null").drop("many")
     common = common_tokens(seen)
-    classes = texts.where("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("token").alias("token"))
+    classes = texts.where("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"))
 
     # Tokens of one class alone link nothing; most are. Nor does a class with
     # too few of the others.
@@ -372,9 +373,13 @@ def similar(docs: DataFrame, id_col: str, text_col: str, size: int = 5, share: F
     may = first.groupBy("class", "n").agg(F.count("*").alias("both")).where(F.col("both") >= _enough(F.col("n"), share))
     first = stored(_mixed(first.join(may.select("class"), "class", "left_semi"), "class"), "first")
 
-    # Sets of the classes that may link, in blocks of the same least token.
-    may = first.groupBy("class", "n").agg(F.count("*").alias("both")).where(F.col("both") >= _enough(F.col("n"), share))
-    dealt = stored(_blocks(classes.join(may.select("class"), "class", "left_semi"), "token"), "dealt")
+    # Sets of the classes that may link, in blocks.
+    # A class goes where most of its like are: to the token that most have, the
+    # least of equals.
+    popular = F.least("many", F.lit((1 << 15) - 1)) * (1 << 48) - F.col("token")
+    may = first.groupBy("class", "n").agg(F.count("*").alias("both"), F.max_by("token", popular).alias("token"))
+    may = may.where(F.col("both") >= _enough(F.col("n"), share)).select("class", "token")
+    dealt = stored(_blocks(classes.join(may, "class"), "token"), "dealt")
     active = stored(sets(source.join(sent(dealt.select("id", "class", "block", "n")), "id"), size), "active")
     crowded = dealt.groupBy("block").agg(F.count("*").alias("_many")).where("_many > 1").select("block")
     inner = active.join(sent(crowded), "block", "left_semi").withColumns({"component": F.col("class"), "query": F.lit(False)})
