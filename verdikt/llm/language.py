@@ -19,6 +19,7 @@ Repeated rows get the same result. Other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -172,9 +173,9 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> pa.Ta
     return texts.mapInArrow(make, "id string, lang string, buckets array<int>, shares array<float>").toArrow()
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from the labelled texts that are not held out."""
-    table = _sample(docs, id_col, text_col, lang_col)
+def _learnt_from(table: pa.Table) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """Language, buckets and shares, in an order of their own, however the
+    sample arrived; the arrays are views of the table."""
     rows = []
     for batch in table.to_batches():
         buckets, shares = batch.column("buckets"), batch.column("shares")
@@ -183,9 +184,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for k, (lang, key) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("id").to_pylist(), strict=True)):
             if ends[k] < ends[k + 1]:
                 rows.append((lang, key, bucket[ends[k] : ends[k + 1]], share[ends[k] : ends[k + 1]]))
-    # In an order of their own, however the sample arrived.
-    rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))
-    return fit([(lang, b, s) for lang, _, b, s in rows])
+    rows.sort(key=lambda r: (r[0], r[1], zlib.crc32(r[2]), zlib.crc32(r[3])))
+    return [(lang, b, s) for lang, _, b, s in rows]
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Learn from the labelled texts that are not held out."""
+    model = fit(_learnt_from(_sample(docs, id_col, text_col, lang_col)))
+    pa.default_memory_pool().release_unused()  # the driver keeps the model only
+    return model
 
 
 def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
