@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdikt.llm import ann, decontaminate, jaccard, language, lm, mixing, suffixes, surrogates, urls, wavelet
+from verdikt.llm.rows import sent
 from verdikt.llm.store import scratch
 
 
@@ -97,7 +98,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     good = _table(spark, sf_dir, "labels").groupBy("doc_id").agg((F.max("quality") == 1).alias("good"))
-    models = lm.count(docs.join(good, "doc_id", "left"), F.col("good"))
+    models = lm.count(docs.join(sent(good.where("good")), "doc_id", "left"), F.col("good"))
     return lm.score(docs, models).withColumnRenamed("id", "doc_id")
 
 
@@ -120,4 +121,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = f"'{urls.UPPER}', '{urls.LOWER}'"
+_RULES = ", ".join(f"('{host}', '{path}', '{action}')" for host, path, action in URL_RULES)
+_OP2 = f"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_LOWER}) AS host,
+    regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+  FROM cut
+),
+fits AS (
+  SELECT page_id, max_by(h || p, length(h) * 1000 + length(p)) AS rule, max_by(action, length(h) * 1000 + length(p)) AS action
+  FROM parts JOIN (VALUES {_RULES}) r(h, p, action) ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  GROUP BY page_id
+)
+SELECT page_id, host, path, rule, coalesce(action, '{urls.DEFAULT}') AS verdict FROM parts LEFT JOIN fits USING (page_id)"""
+
+_WORDS = f"regexp_extract_all(translate(text, {_LOWER}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_W = decontaminate.WINDOW
+_OP6 = f"""
+WITH docs AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+items AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+windows AS (
+  SELECT item_id, unnest(CASE WHEN len(w) >= {_W} THEN list_transform(range(1, len(w) - {_W - 2}), lambda i: w[i:i + {_W - 1}])
+    WHEN len(w) > 0 THEN [w] ELSE [] END) AS g FROM items
+),
+sizes AS (SELECT DISTINCT len(g) AS n FROM windows),
+places AS (
+  SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: {{'i': i, 'g': w[i:i + n - 1]}})) AS e
+  FROM docs, sizes WHERE len(w) >= n
+),
+hits AS (SELECT doc_id, item_id, n, e.i AS i FROM places JOIN windows ON e.g = windows.g),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id
+),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS t
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(t, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op2_url_filter": _OP2, "op6_decontamination": _OP6}
