@@ -6,7 +6,8 @@ products with it. For a query and a radius R every array opens a window of
 ``WIDTH * R`` around the query's own projection; a vector that falls into the
 windows of at least ``threshold`` directions is verified with its exact
 distance. While fewer than k verified vectors lie within R, R grows by
-``GROWTH`` and the windows with it (virtual rehashing).
+``GROWTH`` and the windows with it (virtual rehashing). The vectors nearest
+along a few directions bound the k-th distance; R starts ``STEPS`` steps below.
 
 A vector within R falls into a window with the probability ``P_NEAR`` at least,
 so the number of its collisions is binomial and the threshold is the
@@ -35,9 +36,10 @@ from pyspark.sql import functions as F
 SHARD = 16_384
 #: Queries that meet a shard at a time.
 QUERIES = 2_048
-PROJECTIONS = 64
+PROJECTIONS = 48
 WIDTH = 2.0
 GROWTH = 1.2
+STEPS = 3
 MISSED = 0.005
 #: P(|N(0, 1)| <= WIDTH / 2): a vector at distance R falls into a window.
 P_NEAR = math.erf(WIDTH / 2 / math.sqrt(2))
@@ -61,55 +63,69 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 class _Index:
-    """One sorted array per direction over the vectors of a shard."""
+    """One sorted array per direction over the vectors of a shard.
+
+    The arrays stand one behind the other, each moved beyond the last, so that
+    one search finds the places of a query in all of them.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         self.ids, self.vectors = ids, vectors
-        rng = np.random.Generator(np.random.PCG64(vectors.shape[1]))
-        self.directions = rng.standard_normal((vectors.shape[1], PROJECTIONS))
+        n, size = vectors.shape
+        rng = np.random.Generator(np.random.PCG64(size))
+        self.directions = rng.standard_normal((size, PROJECTIONS))
         projected = (vectors @ self.directions).T
         order = np.argsort(projected, axis=1, kind="stable")
-        self.order = order.astype(np.int32)
-        self.sorted = np.take_along_axis(projected, order, 1)
+        self.order = order.ravel()
+        self.low, self.high = projected.min(), projected.max()
+        self.moved = np.arange(PROJECTIONS) * (self.high - self.low + 2) + 1
+        self.rows = np.arange(PROJECTIONS) * n
+        self.sorted = (np.take_along_axis(projected, order, 1) - self.low + self.moved[:, None]).ravel()
         self.least = threshold()
 
-    def _first_radius(self, at: np.ndarray, k: int) -> float:
-        """A radius that holds about k vectors in the windows' middle half."""
-        n = len(self.ids)
-        reach = []
-        for m in range(0, PROJECTIONS, 8):
-            place = int(np.searchsorted(self.sorted[m], at[m]))
-            low, high = max(place - k, 0), min(place + k, n - 1)
-            reach.append(max(at[m] - self.sorted[m, low], self.sorted[m, high] - at[m]))
-        return max(float(np.median(reach)), 1e-12)
+    def _places(self, at: np.ndarray, side: str) -> np.ndarray:
+        """Where each direction's value stands in its array."""
+        inside = np.clip(at, self.low - 0.5, self.high + 0.5) - self.low + self.moved
+        return np.searchsorted(self.sorted, inside, side)
+
+    def _far(self, places: np.ndarray, query: np.ndarray) -> np.ndarray:
+        return np.sqrt(((self.vectors[places] - query) ** 2).sum(1))
 
     def nearest(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and distances of the k nearest found, own id left out."""
         n = len(self.ids)
         at = query @ self.directions
-        counts = np.zeros(n, np.int16)
-        low = high = np.array([int(np.searchsorted(s, x)) for s, x in zip(self.sorted, at, strict=True)])
         seen = self.ids == own
         want = min(k, n - int(seen.sum()))
         found = np.full(n, np.inf)
-        radius = self._first_radius(at, k)
-        while want:
+        # The nearest along a few directions bound the distance of the k-th.
+        place = self._places(at, "left")[:8]
+        around = np.clip(place[:, None] + np.arange(-k, k + 1), self.rows[:8, None], self.rows[:8, None] + n - 1)
+        first = np.unique(self.order[around])
+        first = first[~seen[first]]
+        if len(first) < want:
+            first = np.flatnonzero(~seen)
+        found[first] = self._far(first, query)
+        seen[first] = True
+        bound = np.partition(found, want - 1)[want - 1] if want else 0.0
+        counts = np.zeros(n, np.int64)
+        low = high = self._places(at, "left")
+        for step in range(STEPS, -1, -1):
+            radius = bound / GROWTH**step
+            if not want:
+                break
             half = WIDTH / 2 * radius
-            new_low, new_high = low.copy(), high.copy()
-            for m in range(PROJECTIONS):
-                row, order = self.sorted[m], self.order[m]
-                new_low[m] = np.searchsorted(row, at[m] - half, "left")
-                new_high[m] = np.searchsorted(row, at[m] + half, "right")
-                # Only what the wider window adds.
-                counts[order[new_low[m] : min(low[m], new_high[m])]] += 1
-                counts[order[max(high[m], new_low[m]) : new_high[m]]] += 1
-            low, high = np.minimum(low, new_low), np.maximum(high, new_high)
+            wide_low = np.minimum(self._places(at - half, "left"), low)
+            wide_high = np.maximum(self._places(at + half, "right"), high)
+            # Only what the wider windows add.
+            parts = [*zip(wide_low.tolist(), low.tolist(), strict=True), *zip(high.tolist(), wide_high.tolist(), strict=True)]
+            counts += np.bincount(np.concatenate([self.order[a:b] for a, b in parts]), minlength=n)
+            low, high = wide_low, wide_high
             fresh = np.flatnonzero((counts >= self.least) & ~seen)
             seen[fresh] = True
-            found[fresh] = np.sqrt(((self.vectors[fresh] - query) ** 2).sum(1))
-            if np.count_nonzero(found <= radius) >= want or (low == 0).all() and (high == n).all():
+            found[fresh] = self._far(fresh, query)
+            if np.count_nonzero(found <= radius) >= want:
                 break
-            radius *= GROWTH
         best = np.flatnonzero(found < np.inf)
         best = best[np.lexsort((self.ids[best], found[best]))][:k]
         return self.ids[best], found[best]
