@@ -77,3 +77,51 @@ def test_query(spark, sf_dir):
     assert {r.doc_id: r.n_tokens for r in rows} == {k: len(words(t)) for k, t in texts.items()}
     mean = lambda own: sum(own) / len(own)
     assert mean([r.score for r in rows if r.score is not None and r.doc_id in good]) < mean([r.score for r in rows if r.score is not None and r.doc_id not in good])
+
+
+def check_against(spark, docs):
+    df = spark.createDataFrame(docs, "doc_id long, text string, good boolean").repartition(5)
+    models = lm.count(df, F.col("good"))
+    want = brute(docs)
+    rows = lm.score(df, models).collect()
+    assert len(rows) == len(docs)
+    for row in rows:
+        n, (target, background) = want[row.id]
+        assert row.n_tokens == n
+        assert row.target_loss == pytest.approx(target, rel=1e-9) and row.background_loss == pytest.approx(background, rel=1e-9)
+
+
+def test_every_word_has_its_own_counts(spark):
+    """40,000 words and 120,000 pairs: with 65,536 shared numbers a third of them met."""
+    r = random.Random(5)
+    docs = [(k, " ".join(f"w{r.randrange(40000)}" for _ in range(300)), k % 3 == 0) for k in range(400)]
+    check_against(spark, docs)
+
+
+def test_vocabulary_grows(spark, monkeypatch):
+    """More different words than WORDS: the vocabulary is all of them."""
+    docs = [(k, " ".join(f"w{k * 500 + i}" for i in range(1000)), k % 2 == 0) for k in range(160)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, good boolean")
+    models = lm.count(df, F.col("good"))
+    assert models.vocabulary == 80500
+    rows = lm.score(df, models).collect()
+    monkeypatch.setattr(lm, "WORDS", 80500)
+    want = brute(docs)
+    assert all([row.target_loss, row.background_loss] == pytest.approx(want[row.id][1], rel=1e-9) for row in rows)
+
+
+def test_many_blocks_and_buckets(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 500)
+    r = random.Random(6)
+    check_against(spark, [(k, " ".join(["the", *(f"w{r.randrange(300)}" for _ in range(40)), "the", "of"]), k % 3 == 0) for k in range(150)])
+
+
+def test_uncounted_words(spark):
+    counted = spark.createDataFrame([(1, "a b a b", True), (2, "a c", False)], "doc_id int, text string, good boolean")
+    other = spark.createDataFrame([(None, "x y"), (3, "a b"), (3, "a b"), (4, None)], "doc_id int, text string")
+    rows = lm.score(other, lm.count(counted, F.col("good"))).collect()
+    assert sorted((r.id or 0, r.n_tokens) for r in rows) == [(0, 2), (3, 2), (3, 2), (4, 0)]
+    own = -math.log(1 / (6 + lm.WORDS))
+    first = -math.log((1 - lm.MIX) / (6 + lm.WORDS))  # two texts begin, neither with x
+    assert next(r for r in rows if r.id is None).background_loss == pytest.approx((own + first) / 2)
