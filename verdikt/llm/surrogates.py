@@ -87,11 +87,15 @@ KINDS = {
 ANY = r"(?<![\p{L}\p{N}])(?=[\p{L}\p{N}._%+(-])(?:" + "|".join(KINDS.values()) + ")"
 
 
+#: What every secret without a digit holds.
+_LETTERS_ONLY = "AKIA|(?:gh[pos]|sk|pk|xox[abp])[_-]|[a-fA-F]{32}"
+
+
 def _hinted(text: Column) -> Column:
     """False only for texts without entities; plain searches, no pattern but
-    that for a digit."""
+    those for a digit and, in texts without all else, for secrets of letters."""
     titles = [text.contains(t) for names in TITLES.values() for t in names]
-    return text.rlike("[0-9]") | text.contains("@") | reduce(lambda a, b: a | b, titles)
+    return text.rlike("[0-9]") | text.contains("@") | reduce(lambda a, b: a | b, titles) | text.rlike(_LETTERS_ONLY)
 
 
 def entities(text: Column) -> Column:
