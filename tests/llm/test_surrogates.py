@@ -74,6 +74,22 @@ def test_secrets_of_letters_alone(spark):
         assert s not in alone and dated == alone + ", of 2024"
 
 
+def test_numbers_behind_other_scripts(spark):
+    """Scripts without blanks: numbers stand right behind a letter."""
+    numbers = ["4111111111111111", "4111 1111 1111 1111", "+86 138 0013 8000", "(212) 555-0101", "10.1.2.3", "123-45-6789"]
+    texts = [f"{before}{n}{after}" for n in numbers for before, after in (("卡号", "。"), ("カードは", "です"), ("번호", "입니다"), ("тел", ""), ("é", ""))]
+    out, n = run(spark, texts + numbers)
+    assert n == [1] * len(out)
+    for i, number in enumerate(numbers):
+        made = out[len(texts) + i]
+        for text, new in zip(texts[5 * i : 5 * i + 5], out[5 * i : 5 * i + 5]):
+            assert new == text.replace(number, made) != text
+    texts = ["тел+7 999 123-45-67иван@пример.рф", "x4111111111111111", "中文x1.2.3.4", "中" * 30000 + "x", "中7" * 10000]
+    out, n = run(spark, texts)
+    assert n == [2, 0, 0, 0, 0] and out[1:] == texts[1:]
+    assert re.fullmatch(r"тел\+7 [0-9]{3} [0-9]{3}-[0-9]{2}-[0-9]{2}[а-я]{4}@[а-я]{6}\.рф", out[0])
+
+
 def test_clean_and_odd_rows(spark):
     clean = [None, "", " ", "plain words 12 and 3.5, year 2024", "a@b", "x" * 50000, "@ @@ .com 1.2.3", "12345", "é ß — 中文 \U0001f600"]
     out, n = run(spark, clean + ["a 1.2.3.4" + "\n" * 3, "q " * 30000 + "x@y.zz"])

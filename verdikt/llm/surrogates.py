@@ -83,8 +83,14 @@ KINDS = {
     "card": r"(?<!\w)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)",
     "name": r"(?<![\p{L}\p{N}])(?:" + "|".join(_TITLE.values()) + r")\.? " + _NAME + "(?: " + _NAME + ")?",
 }
-#: No entity starts inside a word: most places are passed over at a glance.
-ANY = r"(?<![\p{L}\p{N}])(?=[\p{L}\p{N}._%+(-])(?:" + "|".join(KINDS.values()) + ")"
+#: Where a word starts, or the last entity ended.
+_START = r"(?:\G|(?<![\p{L}\p{N}]))"
+#: No entity starts inside a word: most places are passed over at a glance. Only
+#: numbers also follow letters that are not ASCII, as in scripts without blanks.
+ANY = (
+    f"(?:{_START}|" + r"(?<![0-9A-Za-z])(?=[0-9+(]))(?=[\p{L}\p{N}._%+(-])(?:"
+    + "|".join(_START + p if k == "email" else p for k, p in KINDS.items()) + ")"
+)
 
 
 #: What every secret without a digit holds.
