@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from verdikt.operators import corpus
+from verdikt.plans.corpora import chat_corpus
 from verdikt.sources import jsonl
 from verdikt.streaming.score_stream import read_scored, score_stream
 
@@ -86,3 +87,13 @@ def test_raw_answers_are_kept_whole(spark):
     df = spark.createDataFrame([row], "run string, row_id bigint, task string, slice string, raw string, new_tokens int, cap int")
     assert len(sinks.raw_answers(df).first().raw) == 30000
     assert len(sinks.raw_answers(df, max_chars=24).first().raw) == 24
+
+
+def test_chats_keep_repeated_rows_of_a_turn(spark, tmp_path):
+    turns = [(1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "a"), (1, 2, "assistant", "b"), (1, 2, "assistant", "b")]
+    turns += [(2, 1, "user", "q"), (2, 1, "user", "r"), (2, 2, "assistant", "a"), (3, 4, "assistant", None), (4, 1, "user", "open")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    rows = chat_corpus(spark, str(tmp_path)).collect()
+    assert sorted((r.conv_id, *[m.content for m in r.messages]) for r in rows) == [
+        (1, "s", "q", "a"), (1, "s", "q", "b"), (1, "s", "q", "b"), (2, "", "q", "a"), (2, "", "r", "a"), (3, "", "", ""),
+    ]

@@ -18,22 +18,15 @@ KEY = ["conv_id", "turn"]
 def chat_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per assistant turn: system text, preceding user turn, answer.
 
-    Turns are paired by an aggregate on (conversation, turn), so a hot
-    conversation spreads over all tasks and no conversation is ever collected.
-    The system text is one row per conversation; a join skewed by a hot
-    conversation is split by adaptive execution.
+    Turns are paired by a join on (conversation, turn), so a hot conversation
+    spreads over all tasks and no conversation is ever collected. Repeated rows
+    of a turn all stay. The system text is one row per conversation; a join
+    skewed by a hot conversation is split by adaptive execution.
     """
     turns = table(spark, sf_dir, "conversations")
-    pair = F.when(F.col("role") == "user", F.col("turn") + 1).otherwise(F.col("turn"))
-    paired = (
-        turns.where("role IN ('user', 'assistant')")
-        .groupBy("conv_id", pair.alias("turn"))
-        .agg(
-            F.max(F.when(F.col("role") == "user", F.col("text"))).alias("user"),
-            F.max(F.when(F.col("role") == "assistant", F.col("text"))).alias("answer"),
-        )
-        .where("answer IS NOT NULL")
-    )
+    answers = turns.where("role = 'assistant'").select(*KEY, F.col("text").alias("answer"))
+    users = turns.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("user"))
+    paired = answers.join(users, KEY, "left")
     system = turns.where("role = 'system'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("system"))
     return paired.join(system, "conv_id", "left").select(
         *KEY,
