@@ -86,6 +86,16 @@ def test_repeated_ids_and_empty(spark):
     assert got(jaccard.similar(df.limit(0), "doc_id", "text")) == []
 
 
+def test_rows_without_an_id(spark):
+    """A null id stands between two others, and among more like it."""
+    words = [f"x{k}" for k in range(40)]
+    docs = [(7, " ".join(words[4:])), (None, " ".join(words)), (5, " ".join(words[:-4]))]
+    docs += [(None, "p q r"), (None, "p q r"), (None, "other"), (None, None), (9, "alone")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = sorted(((r.id, r.n, r.component) for r in jaccard.similar(df, "doc_id", "text", 1, Fraction(9, 10)).collect()), key=str)
+    assert found == sorted([(7, 36, 5), (None, 40, 5), (5, 36, 5), (None, 3, None), (None, 3, None), (None, 1, None), (None, 0, None), (9, 1, 9)], key=str)
+
+
 def test_components(spark):
     links = [(1, 2), (3, 2), (4, 4), (5, 6), (7, 6), (8, 7), (9, 8), (9, 5), (3, 1), *((k, k + 1) for k in range(20, 60))]
     found = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))

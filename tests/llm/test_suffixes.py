@@ -58,6 +58,16 @@ def test_same_as_all_strings(spark, monkeypatch, length, gram, span, chunk):
     assert got(suffixes.without_repeats(df, length=length, gram=gram)) == brute(docs, length)
 
 
+def test_rows_without_an_id(spark):
+    """A null id is an id: such rows lose their repeats as their copies do."""
+    r = random.Random(8)
+    shared = ["".join(r.choices("abcdé", k=90)) for _ in range(3)]
+    docs = [(None, "x" + shared[0]), (1, "y" + shared[0]), (None, shared[1] + "p" + shared[2]), (None, "q" + shared[1]), (2, shared[2] + "w")]
+    docs += [(None, "alone " * 3), (None, None), (None, "q" + shared[1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert got(suffixes.without_repeats(df, length=40, gram=8)) == brute(docs, 40)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id int, text string")
     assert got(suffixes.without_repeats(df.limit(0))) == []

@@ -25,7 +25,8 @@ Sets are kept as 48-bit hashes, and a class is known by a 64-bit hash of its
 set. Defined results: null text and text without words have an empty set, link
 with nothing and are their own component; text with fewer words than a shingle
 is one shingle; repeated ids fall together only if their texts link (and then
-share the component's id anyway). Other columns are ignored.
+share the component's id anyway); a null id names a component only where there is
+no other. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -360,8 +361,20 @@ def _meetings(opened: DataFrame, active: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame, id_col: str, text_col: str, size: int = 5, share: Fraction = Fraction(4, 5)) -> DataFrame:
-    """``id, n, component``: set size, and the least id reachable by links."""
+    """``id, n, component``: set size, and the least id reachable by links; null
+    where only rows without an id are."""
     source = _chosen(docs, id_col, text_col)
+    if source.where("id is null").isEmpty():
+        return _similar(source, size, share)
+    # Rows are fetched by their id: those without get a mark of their text, and
+    # come after all others.
+    none = F.col("id").isNull()
+    key = F.struct(none.alias("none"), F.col("id").alias("id"), F.when(none, F.xxhash64("text")).alias("mark"))
+    found = _similar(source.withColumn("id", key), size, share)
+    return found.select(F.col("id")["id"].alias("id"), "n", F.col("component")["id"].alias("component"))
+
+
+def _similar(source: DataFrame, size: int, share: Fraction) -> DataFrame:
     seen = stored(overview(source, size, share), "overview")
     texts = seen.where("many is null").drop("many")
     common = common_tokens(seen)

@@ -24,7 +24,7 @@ Ranks are 64-bit fingerprints, brought together by Spark's shuffles and sorts,
 so equal strings meet without a global order. Only runs travel; text is moved
 twice, compressed and by its id.
 
-Defined results: null text is empty; a text shorter than the length keeps every
+Defined results: null text is empty; a null id is an id like any other; a text shorter than the length keeps every
 byte; repeated rows repeat each other's bytes, so both lose what is long
 enough. Removal is judged on the input. The kept bytes may no longer be valid
 UTF-8 and are returned as binary. Other columns are ignored.
@@ -98,9 +98,17 @@ def _spans(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.
 
 
 def _chosen(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, mark, text``; the mark tells texts with the same id apart."""
+    """``id, mark, text``; the mark tells texts with the same id apart (all rows
+    without an id have the same, so theirs is longer)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.hash(text).alias("mark"), text.alias("text"))
+    mark = F.when(F.col(id_col).isNull(), F.xxhash64(text)).otherwise(F.hash(text))
+    return docs.select(F.col(id_col).alias("id"), mark.alias("mark"), text.alias("text"))
+
+
+def _met(texts: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
+    """``texts`` with what was found for their id and mark; ids may be null."""
+    found = found.withColumnsRenamed({"id": "_id", "mark": "_mark"})
+    return texts.join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), how).drop("_id", "_mark")
 
 
 def _packed(source: DataFrame) -> DataFrame:
@@ -113,7 +121,7 @@ def _packed(source: DataFrame) -> DataFrame:
             packed = [codec.compress(t.as_buffer()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(packed, pa.binary())], names=["id", "mark", "packed"])
 
-    return source.mapInArrow(make, f"id {kind}, mark int, packed binary")
+    return source.mapInArrow(make, f"id {kind}, mark long, packed binary")
 
 
 def _i64(x: np.ndarray) -> pa.Array:
@@ -142,7 +150,7 @@ def _runs(source: DataFrame, length: int, gram: int) -> DataFrame:
                 columns = [*own.columns, _i64(runs.gram), _i64(runs.whole), _i64(runs.low + back), _i64(runs.high + back)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return source.mapInArrow(make, f"id {kind}, mark int, gram long, whole long, low long, high long")
+    return source.mapInArrow(make, f"id {kind}, mark long, gram long, whole long, low long, high long")
 
 
 def _ranks(texts: DataFrame, length: int) -> DataFrame:
@@ -168,7 +176,7 @@ def _ranks(texts: DataFrame, length: int) -> DataFrame:
                     own = batch.select(["id", "mark"]).take(pa.array(np.full(len(starts), row)))
                     yield pa.RecordBatch.from_arrays([*own.columns, _i64(starts), _i64(rank), pa.array(weight.astype(np.int32))], names=names)
 
-    return texts.select("id", "mark", "packed", "opens").mapInArrow(make, f"id {kind}, mark int, start long, rank long, weight int")
+    return texts.select("id", "mark", "packed", "opens").mapInArrow(make, f"id {kind}, mark long, start long, rank long, weight int")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -186,7 +194,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     several = classes.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")
     opens = classes.join(several, "gram", "left_semi").groupBy("id", "mark")
     opens = opens.agg(F.collect_set(F.struct("low", "high", F.least("n", F.lit(2)).cast("int").alias("weight"))).alias("opens"))
-    ranks = _ranks(_packed(source).join(opens, ["id", "mark"]), length)
+    ranks = _ranks(_met(_packed(source), opens), length)
     # A start of a repeated row is sent by each copy, but such rows have no
     # class of one run: its weight is 2 already.
     found = ranks.withColumn("total", F.sum("weight").over(Window.partitionBy("rank"))).where("total > 1 and weight = 1")
@@ -226,5 +234,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             columns = [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n_bytes", "spans", "kept"])
 
-    joined = _packed(source).join(covers, ["id", "mark"], "left").select("id", "packed", "covers")
+    joined = _met(_packed(source), covers, "left").select("id", "packed", "covers")
     return joined.mapInArrow(cut, f"id {kind}, n_bytes long, spans array<array<long>>, kept binary")
