@@ -61,6 +61,15 @@ def test_same_as_a_scan(spark, block_words):
     assert got(d.contamination(left, right, block_words=block_words)) == brute(docs, items)
 
 
+@pytest.mark.parametrize("block_words", [1 << 20, 8])
+def test_items_without_an_id(spark, block_words):
+    """A null item id meets another item's in one document."""
+    left = spark.createDataFrame([(1, "one two three four, five six"), (2, "five six"), (3, "none")], "doc_id long, text string")
+    items = [(None, "one two"), (8, "three four"), (None, "five six"), (3, "two three")]
+    found = d.contamination(left, spark.createDataFrame(items, "item_id int, text string"), block_words=block_words)
+    assert sorted((r.id, r.n_hit, r["items"]) for r in found.collect()) == [(1, 6, [3, 8, None]), (2, 2, [None]), (3, 0, [])]
+
+
 def test_chunks_do_not_matter(spark, monkeypatch):
     docs, items = cases()
     left = spark.createDataFrame(docs, "doc_id long, text string").repartition(1)

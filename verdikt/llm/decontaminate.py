@@ -10,7 +10,8 @@ is shuffled and a phrase that many documents share is no hot key.
 
 Defined results: null text and text without words have no words and are never
 hit; a benchmark item without words has no window; repeated documents are
-judged one by one; repeated items count once per item id. Other columns of the
+judged one by one; repeated items count once per item id, of which
+a null is one (named last). Other columns of the
 inputs are ignored, whatever their names. Empty tables give empty results, an
 empty benchmark gives documents without hits.
 """
@@ -238,7 +239,7 @@ def search(segments: DataFrame, blocks: list, item_type: T.DataType, slop: int =
                 kind = batch.column("ids").type.value_type
                 for k in range(batch.num_rows):
                     row = batch.slice(k, 1).to_pylist()[0]
-                    out = [(i, f"{row['segment']}/{n}", w, h, s, sorted(x)) for n, (i, w, h, s, x) in enumerate(_judged(row, block.value, slop))]
+                    out = [(i, f"{row['segment']}/{n}", w, h, s, sorted(x, key=lambda i: (i is None, i))) for n, (i, w, h, s, x) in enumerate(_judged(row, block.value, slop))]
                     columns = list(zip(*out, strict=True)) or [[]] * len(names)
                     kinds = [kind, pa.string(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(item)]
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=names)
