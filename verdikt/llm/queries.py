@@ -6,10 +6,10 @@ from collections.abc import Callable
 from fractions import Fraction
 
 from public_tokenizers import path as tokenizer_path
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdikt.llm import ann, decontaminate, jaccard, language, lm, mixing, suffixes, surrogates, urls, wavelet
+from verdikt.llm import ann, decontaminate, jaccard, language, lm, merkle, mixing, suffixes, surrogates, urls, wavelet
 from verdikt.llm.rows import sent
 from verdikt.llm.store import scratch
 
@@ -108,6 +108,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def _decimal_crc(id_col: str) -> Column:
+    return F.crc32(F.col(id_col).cast("string").cast("binary"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    lowered = {"text": F.translate("text", urls.UPPER, urls.LOWER)}
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    leaves = merkle.tree(docs, columns, "source", "doc_id", lowered, _decimal_crc("doc_id") % 5 == 0)
+    return merkle.proven(leaves).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_vectors": op1_nearest_vectors,
     "op2_url_filter": op2_url_filter,
@@ -119,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_lm_scores": op9_lm_scores,
     "op10_language_id": op10_language_id,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 _LOWER = f"'{urls.UPPER}', '{urls.LOWER}'"
@@ -165,4 +178,63 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
   sha256(coalesce(t, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op2_url_filter": _OP2, "op6_decontamination": _OP6}
+
+
+def _leaf(text: str) -> str:
+    values = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(concat(" + ", ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + "))"
+
+
+#: CRC-32 of an id's digits: fixed values of that checksum, bit by bit.
+_CRC = """xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+    lambda c, b: list_reduce(range(8), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)), xor(c, b)), 4294967295), 4294967295)"""
+
+
+def _levels(name: str, leaves: str) -> str:
+    """Nodes of all levels, and the digests before and behind each of them."""
+    return f"""
+{name} AS (
+  SELECT 0 AS level, part, place AS p, n, digest AS d FROM {leaves}
+  UNION ALL
+  SELECT level + 1, part, p // 16, (n + 15) // 16, sha256(string_agg(d, '' ORDER BY p)) FROM {name} WHERE n > 1
+  GROUP BY level, part, p // 16, n
+),
+{name}_way AS (
+  SELECT a.level, a.part, a.p, coalesce(string_agg(b.d, '' ORDER BY b.p) FILTER (b.p < a.p), '') AS l,
+    coalesce(string_agg(b.d, '' ORDER BY b.p) FILTER (b.p > a.p), '') AS r
+  FROM {name} a JOIN {name} b ON a.level = b.level AND a.part = b.part AND a.p // 16 = b.p // 16 WHERE a.n > 1
+  GROUP BY a.level, a.part, a.p
+)"""
+
+
+_OP12 = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('=' || source, '-') AS part, {_leaf("text")} AS digest,
+    CASE WHEN {_CRC} % 5 = 0 THEN {_leaf(f"translate(text, {_LOWER})")} ELSE {_leaf("text")} END AS changed FROM documents
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, digest) - 1 AS place,
+    count(*) OVER (PARTITION BY part) AS n FROM leaves
+),{_levels("low", "placed")},
+subroots AS (
+  SELECT part AS source, '' AS part, d AS digest, row_number() OVER (ORDER BY part) - 1 AS place, count(*) OVER () AS n
+  FROM low WHERE n = 1
+),{_levels("high", "subroots")},
+steps AS (
+  SELECT doc_id, changed, place, p.part, w.level, w.l, w.r
+  FROM placed p JOIN low_way w ON w.part = p.part AND w.p = place // (16 ** level)::BIGINT
+  UNION ALL
+  SELECT doc_id, changed, p.place, p.part, 100 + w.level, w.l, w.r
+  FROM placed p JOIN subroots s ON s.source = p.part JOIN high_way w ON w.p = s.place // (16 ** level)::BIGINT
+),
+ways AS (
+  SELECT part, place, string_agg(l || r, '' ORDER BY level) AS siblings, list(l || '|' || r ORDER BY level) AS way FROM steps GROUP BY ALL
+),
+ends AS (
+  SELECT p.doc_id, p.digest AS leaf, s.digest AS subroot, (SELECT d FROM high WHERE n = 1) AS root, coalesce(siblings, '') AS siblings,
+    list_reduce(coalesce(way, []), lambda v, w: sha256(split_part(w, '|', 1) || v || split_part(w, '|', 2)), p.changed) AS folded_root
+  FROM placed p JOIN subroots s ON s.source = p.part LEFT JOIN ways w ON w.part = p.part AND w.place = p.place
+)
+SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, folded_root, folded_root = root AS verified FROM ends"""
+
+ORACLES: dict[str, str] = {"op2_url_filter": _OP2, "op6_decontamination": _OP6, "op12_merkle_manifest": _OP12}
