@@ -9,7 +9,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdikt.llm import ann, decontaminate, jaccard, language, lm, merkle, mixing, suffixes, surrogates, urls, wavelet
+from verdikt.llm import ann, decontaminate, jaccard, language, lm, merkle, mixing, spotsigs, suffixes, surrogates, urls, wavelet
 from verdikt.llm.rows import sent
 from verdikt.llm.store import scratch
 
@@ -120,6 +120,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proven(leaves).withColumnRenamed("id", "doc_id")
 
 
+def op13_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.beside_edits(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_vectors": op1_nearest_vectors,
     "op2_url_filter": op2_url_filter,
@@ -132,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scores": op9_lm_scores,
     "op10_language_id": op10_language_id,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_spot_signatures": op13_spot_signatures,
 }
 
 _LOWER = f"'{urls.UPPER}', '{urls.LOWER}'"
