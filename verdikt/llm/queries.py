@@ -9,7 +9,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdikt.llm import ann, decontaminate, jaccard, language, lm, merkle, mixing, spotsigs, suffixes, surrogates, urls, wavelet
+from verdikt.llm import ann, decontaminate, jaccard, language, lm, merkle, mixing, runs, spotsigs, suffixes, surrogates, urls, wavelet
 from verdikt.llm.rows import sent
 from verdikt.llm.store import scratch
 
@@ -112,6 +112,39 @@ def _decimal_crc(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary"))
 
 
+def _periodic_ends(docs: DataFrame) -> DataFrame:
+    """The contract's texts: a tenth of them repeat a stretch up to their end."""
+    h = _decimal_crc("doc_id")
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    # One row in a list: what follows reads the words instead of finding them again.
+    cut = docs.select("doc_id", "text", F.inline(F.array(F.struct(words.alias("w"), F.floor(h / 10).alias("g")))))
+    n = F.size("w")
+    cut = cut.withColumn("a", F.when(n > 0, F.col("g") % n).cast("int"))
+    cut = cut.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    times = F.ceil((n - F.col("a")) / F.col("p")).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), times))
+    made = F.array_join(F.slice(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), F.lit(1), n), " ")
+    return cut.select("doc_id", F.when(F.col("p").isNotNull(), made).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.repeated(_periodic_ends(_table(spark, sf_dir, "documents")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r.length).alias("n"), r.start.alias("s"), r.period.alias("q"))))
+    line = F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]))
+    lines = F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, F.lit("\n")).otherwise(F.lit("")))
+    found = found.withColumn("best", longest)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.s").alias("start"),
+        (-F.col("best.n")).alias("length"),
+        F.col("best.q").alias("period"),
+        F.expr("(1000 * -best.n) div best.q").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     lowered = {"text": F.translate("text", urls.UPPER, urls.LOWER)}
@@ -135,6 +168,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_lm_scores": op9_lm_scores,
     "op10_language_id": op10_language_id,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_spot_signatures": op13_spot_signatures,
 }
