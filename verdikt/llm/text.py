@@ -6,6 +6,7 @@ functions look at the bytes of a bounded chunk of them at a time.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,6 +36,19 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back to the system.
+
+    Workers serve one task after another, of other stages as well, and what the
+    allocators keep counts against the executor.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column one after the other, and n + 1 offsets.
 

@@ -41,7 +41,7 @@ SHARD_BYTES = 16 << 20
 #: Bytes of text that are encoded together.
 CHUNK = 1 << 20
 #: A shard that its range made larger is written in parts of so many tokens.
-PART_TOKENS = 1 << 24
+PART_TOKENS = 1 << 22
 #: Ones in a byte.
 ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.uint32)
 
@@ -188,6 +188,7 @@ def write_tokens(
     arrow = _arrow(schema)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.release()
         pieces, shard = encoder(made.value), TaskContext.get().partitionId()
         ids, lengths, tokens, held, part = [], [], [], 0, 0
 
@@ -205,6 +206,8 @@ def write_tokens(
                 ids, lengths, tokens, held, part = [], [], [], 0, part + 1
         if ids:
             yield flushed()
+            ids, lengths, tokens = [], [], []
+        tx.release()
 
     # The row number splits an id that a large share of the rows has.
     ordered = chosen.withColumn("_row", F.monotonically_increasing_id())
