@@ -50,14 +50,17 @@ def test_same_as_words(spark):
     df = spark.createDataFrame([(*d, 3, "s") for d in docs], "doc_id long, text string, good boolean, block int, score string").repartition(5)
     models = lm.count(df, F.col("good"))
     want = brute(docs)
-    for row in lm.score(df, models).collect():
-        n, (target, background) = want[row.id]
-        assert row.n_tokens == n
-        if not n:
-            assert row.target_loss is row.background_loss is row.score is None
-        else:
-            assert row.target_loss == pytest.approx(target, rel=1e-6) and row.background_loss == pytest.approx(background, rel=1e-6)
-            assert row.score == pytest.approx(target - background, abs=1e-6)
+    for found in (lm.score(df, models), lm.scored(df, F.col("good"))):
+        rows = found.collect()
+        assert sorted(r.id for r in rows) == sorted(want)
+        for row in rows:
+            n, (target, background) = want[row.id]
+            assert row.n_tokens == n
+            if not n:
+                assert row.target_loss is row.background_loss is row.score is None
+            else:
+                assert row.target_loss == pytest.approx(target, rel=1e-6) and row.background_loss == pytest.approx(background, rel=1e-6)
+                assert row.score == pytest.approx(target - background, abs=1e-6)
 
 
 def test_repeats_and_empty(spark):
@@ -68,6 +71,8 @@ def test_repeats_and_empty(spark):
     assert none.words.sum() == 0
     scores = {r.id: r.score for r in lm.score(df, lm.count(df, F.lit(False))).collect()}
     assert scores[1] > 0 and lm.score(df.limit(0), none).collect() == []
+    assert {r.id: r.score for r in lm.scored(df, F.lit(False)).collect()} == scores
+    assert lm.scored(df.limit(0), F.col("good")).collect() == []
 
 
 def test_query(spark, sf_dir):
@@ -83,12 +88,13 @@ def check_against(spark, docs):
     df = spark.createDataFrame(docs, "doc_id long, text string, good boolean").repartition(5)
     models = lm.count(df, F.col("good"))
     want = brute(docs)
-    rows = lm.score(df, models).collect()
-    assert len(rows) == len(docs)
-    for row in rows:
-        n, (target, background) = want[row.id]
-        assert row.n_tokens == n
-        assert row.target_loss == pytest.approx(target, rel=1e-9) and row.background_loss == pytest.approx(background, rel=1e-9)
+    for found in (lm.score(df, models), lm.scored(df, F.col("good"))):
+        rows = found.collect()
+        assert sorted(r.id for r in rows) == sorted(d[0] for d in docs)
+        for row in rows:
+            n, (target, background) = want[row.id]
+            assert row.n_tokens == n
+            assert row.target_loss == pytest.approx(target, rel=1e-9) and row.background_loss == pytest.approx(background, rel=1e-9)
 
 
 def test_every_word_has_its_own_counts(spark):
@@ -117,6 +123,23 @@ def test_many_blocks_and_buckets(spark, monkeypatch):
     check_against(spark, [(k, " ".join(["the", *(f"w{r.randrange(300)}" for _ in range(40)), "the", "of"]), k % 3 == 0) for k in range(150)])
 
 
+def test_a_block_read_by_several_tasks(spark, monkeypatch, tmp_path):
+    """Answers belong to what one task read of a block, wherever it was cut."""
+    whole = lm.stored
+
+    def cut(df, name, *rest):
+        table = whole(df, name, *rest)
+        return table.repartitionByRange(7, "block", "row").sortWithinPartitions("block", "row") if name == "blocks" else table
+
+    monkeypatch.setattr(lm, "stored", cut)
+    r = random.Random(8)
+    docs = [(k, " ".join(f"w{r.randrange(200)}" for _ in range(k % 30)) or "w0", k % 3 == 0) for k in range(150)]
+    df = spark.createDataFrame([*docs, *[(k, None, True) for k in range(150, 160)]], "doc_id long, text string, good boolean")
+    want = {r.id: r.score or 0.0 for r in lm.score(df, lm.count(df, F.col("good"))).collect()}
+    got = {r.id: r.score or 0.0 for r in lm.scored(df, F.col("good")).collect()}
+    assert got == pytest.approx(want, rel=1e-9) and len(want) == 160
+
+
 def test_uncounted_words(spark):
     counted = spark.createDataFrame([(1, "a b a b", True), (2, "a c", False)], "doc_id int, text string, good boolean")
     other = spark.createDataFrame([(None, "x y"), (3, "a b"), (3, "a b"), (4, None)], "doc_id int, text string")

@@ -13,7 +13,11 @@ Counts are summed in each block of texts, then by bucket. To be scored, texts
 are dealt to blocks of some megabytes; a block asks each bucket for its
 different keys once, and the answers meet its texts again. So a very common
 word or bigram is one key per block, a task holds a bucket or a block's
-answers, and their size does not grow with the corpus. A document's score is
+answers, and their size does not grow with the corpus. Where the texts to be
+scored are those that are counted (``scored``), a block's counts are its
+question as well: the bucket that sums them answers at once, without keys, for
+the block finds the same sorted keys in its texts again; an answer is a bit a
+key, and the counts of those keys that stand elsewhere or in the target. A document's score is
 its mean loss per word under the target model less that under the background
 model: below 0 it is more like the target.
 
@@ -124,6 +128,20 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts[:, order], first, axis=1)
 
 
+def _rare(values: np.ndarray, usual: int) -> tuple[bytes, bytes]:
+    """Which values are not the usual one, a bit each, and those values."""
+    other = values != usual
+    return np.packbits(other).tobytes(), _packed(values[other])
+
+
+def _whole(bits: pa.Scalar, others: pa.Scalar, n: int, usual: int) -> np.ndarray:
+    values = np.full(n, usual, np.int64)
+    other = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=n).view(bool)
+    if other.any():
+        values[other] = _unpacked(others)
+    return values
+
+
 def _different(keys: np.ndarray) -> np.ndarray:
     """Different keys, sorted; faster than the hash table of ``np.unique``."""
     keys = np.sort(keys)
@@ -253,19 +271,22 @@ def _losses(column: pa.Array, keys: np.ndarray, counts: np.ndarray, words: np.nd
 
 def _in_blocks(source: DataFrame) -> DataFrame:
     """``source`` with ``block``: texts of about ``BLOCK_BYTES`` that a task
-    read one after the other. Stored, so that every reader sees one deal."""
+    read one after the other, and ``row``, their number in it. Stored, so that
+    every reader sees one deal."""
     limit = BLOCK_BYTES
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size = 0, limit
+        block, row, size = 0, 0, limit
         for batch in tx.chunks(batches, "text"):
             if size >= limit:
-                block, size = int.from_bytes(os.urandom(8), "big") >> 1, 0
+                block, row, size = int.from_bytes(os.urandom(8), "big") >> 1, 0, 0
             size += batch.column("text").nbytes
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), block)), batch.column("id"), batch.column("text")], names=["block", "id", "text"])
+            place = [pa.array(np.full(len(batch), block)), pa.array(np.arange(row, row + len(batch)))]
+            row += len(batch)
+            yield pa.RecordBatch.from_arrays([*place, *batch.columns], names=["block", "row", *batch.schema.names])
 
-    kind = source.schema["id"].dataType.simpleString()
-    return stored(source.mapInArrow(deal, f"block long, id {kind}, text string"), "blocks")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
+    return stored(source.mapInArrow(deal, f"block long, row long, {fields}"), "blocks")
 
 
 def _answers(texts: DataFrame, models: Models) -> DataFrame:
@@ -286,9 +307,7 @@ def _answers(texts: DataFrame, models: Models) -> DataFrame:
                 yield from asked(at, held)
                 held = []
             at = block
-            hashed, bounds = _hashes(rows.column("text"))
-            each = _different(hashed)
-            held += [_words(each), _ends(each), _different(_pairs(_before(hashed, bounds), hashed))]
+            held.append(_asked([rows.column("text")]))
         if held:
             yield from asked(at, held)
 
@@ -314,6 +333,151 @@ def _answers(texts: DataFrame, models: Models) -> DataFrame:
     return met.mapInArrow(answer, "block long, keys binary, target binary, background binary")
 
 
+SCORES = "n_tokens long, target_loss double, background_loss double, score double"
+
+
+def _scored(ids: pa.Array, n_tokens: np.ndarray, losses: np.ndarray) -> pa.RecordBatch:
+    means = losses / np.maximum(n_tokens, 1)
+    values = [pa.array(v, pa.float64(), mask=n_tokens == 0) for v in (means[0], means[1], means[0] - means[1])]
+    names = ["id", "n_tokens", "target_loss", "background_loss", "score"]
+    return pa.RecordBatch.from_arrays([ids, pa.array(n_tokens, pa.int64()), *values], names=names)
+
+
+def _kinds(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Keys of all words, pairs and ends; where the texts' words begin; which
+    texts have any."""
+    hashed, bounds = _hashes(column)
+    full = bounds[:-1] < bounds[1:]
+    return [_words(hashed), _pairs(_before(hashed, bounds), hashed), _ends(hashed[bounds[1:][full] - 1])], bounds, full
+
+
+def _asked(columns: list[pa.Array]) -> np.ndarray:
+    """All keys that texts are scored by, sorted: a word is asked for as an end
+    as well, wherever it stands."""
+    found = []
+    for column in columns:
+        hashed, bounds = _hashes(column)
+        each = _different(hashed)
+        found += [_words(each), _ends(each), _different(_pairs(_before(hashed, bounds), hashed))]
+    return _different(np.concatenate(found))
+
+
+def scored(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The scores of all documents under the models counted from them.
+
+    The same rows as ``score(docs, count(docs, target))``, with one exchange of
+    keys instead of two.
+    """
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
+    size = source.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = -(-size // BUCKET_BYTES) or 1
+    texts = _in_blocks(source)
+
+    def counted(block: int, first: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, marked, rows = [], [], 0
+        for batch in held:
+            kinds, bounds, full = _kinds(batch.column("text"))
+            mark = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
+            own = np.repeat(mark, np.diff(bounds))
+            every += kinds
+            marked += [k[m] for k, m in zip(kinds, (own, own, mark[full]), strict=True)]
+            rows += len(batch)
+        keys = _asked([b.column("text") for b in held])
+        many, few = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        for counts, found in ((many, every), (few, marked)):
+            own, times = np.unique(np.concatenate(found), return_counts=True)
+            counts[np.searchsorted(keys, own)] = times
+        found = [(b, block, first, first + rows, _packed_keys(keys[at]), *_rare(few[at], 0), *_rare(many[at], 1)) for b, at in _parts(keys, buckets)]
+        if found:
+            yield _table(found, bucket=pa.int64(), **_PLACE, keys=pa.binary(), **_COUNTS)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, first, held = None, 0, []
+        for block, rows in _runs(tx.chunks(batches, "text"), "block"):
+            # What a task reads of a block, if a block is read by several.
+            if held and block != at:
+                yield from counted(at, first, held)
+                held = []
+            if not held:
+                at, first = block, rows.column("row")[0].as_py()
+            held.append(rows)
+        if held:
+            yield from counted(at, first, held)
+
+    def answered(bucket: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = []
+        for batch in held:
+            for block, first, stop, packed, *rest in zip(*(batch.column(c) for c in (*_PLACE, "keys", *_COUNTS)), strict=True):
+                keys = _unpacked_keys(packed)
+                counts = np.stack([_whole(rest[0], rest[1], len(keys), 0), _whole(rest[2], rest[3], len(keys), 1)])
+                asked.append((block.as_py(), first.as_py(), stop.as_py(), keys, counts))
+        keys, counts = _summed(np.concatenate([a[3] for a in asked]), np.concatenate([a[4] for a in asked], axis=1))
+        sums = [int(n) for kind in (WORD, PAIR, END) for n in counts[:, keys & _KIND == kind].sum(1)]
+        rows = [(bucket, None, None, None, None, None, None, None, None, [*sums, int(np.sum(keys & _KIND == WORD))])]
+        for block, first, stop, own, _ in asked:
+            found = counts[:, np.searchsorted(keys, own)]
+            rows.append((bucket, block, first, stop, len(own), *_rare(found[0], 0), *_rare(found[1], 1), None))
+        yield _table(rows, bucket=pa.int64(), **_PLACE, n=pa.int64(), **_COUNTS, sums=pa.list_(pa.int64()))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for bucket, rows in _runs(batches, "bucket"):
+            if held and bucket != at:
+                yield from answered(at, held)
+                held = []
+            at = bucket
+            held.append(rows)
+        if held:
+            yield from answered(at, held)
+
+    place, counts = "block long, first long, stop long", "target_at binary, target binary, background_at binary, background binary"
+    asked = texts.select("block", "row", "text", "target").mapInArrow(ask, f"bucket long, {place}, keys binary, {counts}")
+    answers = stored(_by_bucket(asked, buckets).mapInArrow(answer, f"bucket long, {place}, n long, {counts}, sums array<long>"), "answers")
+    sums = answers.where("block is null").agg(*[F.coalesce(F.sum(F.col("sums")[k]), F.lit(0)) for k in range(7)]).first()
+    words, pairs, many = np.array(sums[:6], np.int64).reshape(3, 2, 1)
+    vocabulary = max(sums[6], WORDS)
+
+    def finished(held: list[pa.RecordBatch], parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys = _asked([b.column("text") for b in held])
+        counts = np.concatenate([np.zeros((2, 0), np.int64), *[p[1] for p in sorted(parts, key=lambda p: p[0])]], axis=1)
+        for batch in held:
+            yield _scored(batch.column("id"), *_losses(batch.column("text"), keys, counts, words, many, vocabulary))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, parts = None, [], {}
+        for block, rows in _runs(tx.chunks(batches, "text"), "block"):
+            if block != at:
+                at, parts = block, {}
+            n = len(rows) - rows.column("first").null_count  # they come before the texts
+            for k in range(n):
+                own = {c: rows.column(c)[k] for c in ("bucket", "first", "stop", "n", *_COUNTS)}
+                size = own["n"].as_py()
+                found = np.stack([_whole(own["target_at"], own["target"], size, 0), _whole(own["background_at"], own["background"], size, 1)])
+                parts.setdefault((own["first"].as_py(), own["stop"].as_py()), []).append((own["bucket"].as_py(), found))
+            rows = rows.slice(n)
+            while len(rows):
+                row = rows.column("row")[0].as_py()
+                span = next((p for p in parts if p[0] <= row < p[1]), None)
+                if span is None:  # texts without a word are in no count
+                    span = (row, min([p[0] for p in parts if p[0] > row], default=row + len(rows)))
+                own = rows.slice(0, span[1] - row)
+                held.append(own)
+                if row + len(own) >= span[1]:
+                    yield from finished(held, parts.pop(span, []))
+                    held = []
+                rows = rows.slice(len(own))
+
+    met = texts.drop("target").unionByName(answers.where("block is not null").drop("sums"), allowMissingColumns=True)
+    met = met.repartition("block").sortWithinPartitions("block", F.col("first").isNull(), "row")
+    kind = texts.schema["id"].dataType.simpleString()
+    return met.mapInArrow(finish, f"id {kind}, {SCORES}")
+
+
+#: Where an answer belongs, and its counts: bits and the values that differ.
+_PLACE = {"block": pa.int64(), "first": pa.int64(), "stop": pa.int64()}
+_COUNTS = {"target_at": pa.binary(), "target": pa.binary(), "background_at": pa.binary(), "background": pa.binary()}
+
+
 def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_tokens, target_loss, background_loss, score``, means per word."""
     texts = _in_blocks(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
@@ -338,12 +502,8 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
                 counts = np.concatenate([h[1] for h in held], axis=1)
                 order, held = np.argsort(keys), []
                 keys, counts = keys[order], counts[:, order]
-            n_tokens, losses = _losses(rows.column("text"), keys, counts, words, many, vocabulary)
-            means = losses / np.maximum(n_tokens, 1)
-            values = [means[0], means[1], means[0] - means[1]]
-            columns = [pa.array(v, pa.float64(), mask=n_tokens == 0) for v in values]
-            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(n_tokens, pa.int64()), *columns], names=["id", "n_tokens", "target_loss", "background_loss", "score"])
+            yield _scored(rows.column("id"), *_losses(rows.column("text"), keys, counts, words, many, vocabulary))
 
-    met = texts.unionByName(_answers(texts, models), allowMissingColumns=True)
+    met = texts.drop("row").unionByName(_answers(texts, models), allowMissingColumns=True)
     met = met.repartition("block").sortWithinPartitions("block", F.col("keys").isNull())
-    return met.mapInArrow(make, f"id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    return met.mapInArrow(make, f"id {kind}, {SCORES}")

@@ -98,8 +98,8 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     good = _table(spark, sf_dir, "labels").groupBy("doc_id").agg((F.max("quality") == 1).alias("good"))
-    models = lm.count(docs.join(sent(good.where("good")), "doc_id", "left"), F.col("good"))
-    return lm.score(docs, models).withColumnRenamed("id", "doc_id")
+    marked = docs.join(sent(good.where("good")), "doc_id", "left")
+    return lm.scored(marked, F.col("good")).withColumnRenamed("id", "doc_id")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
