@@ -59,9 +59,9 @@ def test_replacing_one_run_keeps_the_others(spark, tmp_path):
     assert sorted((r.run, r.x) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 3)]
 
 
-def test_raw_answers_are_cut(spark):
+def test_raw_answers_are_cut_on_request(spark):
     df = spark.createDataFrame([("a", 1, "bug", "gen", "x" * 30_000, 99, 100)], "run string, row_id bigint, task string, slice string, raw string, new_tokens int, cap int")
-    row = sinks.raw_answers(df).first()
+    row = sinks.raw_answers(df, max_chars=24_000).first()
     assert len(row.raw) == 24_000 and row.hit_cap
 
 
