@@ -61,6 +61,11 @@ def _slot(name: str, i: int) -> Column:
     return F.col(f"_{name}{i}")
 
 
+def shown_at(path: Column) -> Column:
+    """How Python shows the value at a path, where a VARIANT would not."""
+    return F.try_element_at(F.col("shown"), path)
+
+
 def inspect_answer(df: DataFrame) -> DataFrame:
     """Fill the slots, and ``members``: the item list as maps.
 
@@ -107,7 +112,7 @@ def inspect_answer(df: DataFrame) -> DataFrame:
     # ``str()`` of the values that should be texts and are not.
     columns["_odd_texts"] = F.transform(F.array(*odd_texts), python_repr)
     df = df.withColumns(columns)
-    texts = {f"_text{i}": F.coalesce(_slot("text", i), F.get("_odd_texts", F.lit(i))) for i in SLOTS}
+    texts = {f"_text{i}": F.coalesce(_slot("text", i), shown_at(rule(i, "name")), F.get("_odd_texts", F.lit(i))) for i in SLOTS}
     return df.withColumns(texts)
 
 
@@ -184,8 +189,9 @@ def item_enum_outcomes() -> Column:
     def member(m: Column, i: Column) -> Column:
         value = F.element_at(m, key)
         ok = is_string(value) & F.array_contains(allowed, as_string(value))
-        shown = python_repr(F.to_json(value))
-        note = F.concat(F.lit("enum:"), _place(name, i), F.lit("."), key, F.lit("="), shown)
+        path = F.concat(_place(name, i), F.lit("."), key)
+        shown = F.coalesce(shown_at(path), python_repr(F.to_json(value)))
+        note = F.concat(F.lit("enum:"), path, F.lit("="), shown)
         return F.when(value.isNull(), F.lit(SKIP)).when(ok, F.lit(PASS)).otherwise(note)
 
     return F.when(key.isNotNull(), F.transform("members", member)).otherwise(F.array().cast("array<string>"))

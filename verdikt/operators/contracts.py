@@ -124,6 +124,12 @@ CONTRACTS: dict[str, Contract] = {
 }
 
 
+#: Fields that are shown as texts, and the keys of list members that are.
+SHOWN_FIELDS = frozenset(r.name for c in CONTRACTS.values() for r in c.fields if r.want == "str")
+SHOWN_MEMBERS = {
+    c.item_list: frozenset(r.name for r in c.items if r.allowed or r.name == "detail") for c in CONTRACTS.values() if c.item_list
+}
+
 MAX_FIELDS = max(len(c.fields) for c in CONTRACTS.values())
 
 

@@ -2,13 +2,12 @@
 
 Native first: the strict parse and the first code fence settle nearly every
 answer inside the JVM. Only the texts left over are sent, through one Arrow
-UDF, to Python; every other row carries a null across that boundary.
+UDF, to Python; every other row carries a null across that boundary. With them
+go answers with a value that a VARIANT would not show as Python does.
 """
 
 from __future__ import annotations
 
-import json
-import math
 import re
 import sys
 from bisect import bisect_left
@@ -22,6 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdikt.functions.text import SPACE_CLASS, strip
+from verdikt.operators import scan
+from verdikt.operators.contracts import SHOWN_FIELDS, SHOWN_MEMBERS
+from verdikt.operators.scan import Json
 
 EMITTED = ["clean", "fenced", "embedded", "tool-envelope"]
 # Keys that wrap an answer, in the order they are tried.
@@ -33,6 +35,12 @@ FENCED = rf"(?s)```(?:json|JSON)?[{SPACE_CLASS}]*(.*?)```"
 END_MARK = "~~end of answer~~"
 
 
+_names = "|".join(sorted(SHOWN_FIELDS.union(*SHOWN_MEMBERS.values())))
+#: A number or container where a text is wanted, a number too long for a
+#: VARIANT, or a key that may be one of those in other letters.
+ODD = rf'"(?:{_names})"[ \t\n\r]*+:[ \t\n\r]*+[-0-9\[{{]|[0-9]{{19}}|\\u00[4-7]'
+
+
 def parse_exactly(text: Column) -> Column:
     """Parse one JSON value with nothing after it.
 
@@ -49,14 +57,6 @@ def _is_exact(parsed: Column) -> Column:
     return F.coalesce(F.try_variant_get(parsed, "$[1]", "string") == END_MARK, F.lit(False))
 
 
-def _finite(number: str) -> float:
-    value = float(number.replace("Infinity", "inf"))
-    return value if math.isfinite(value) else math.copysign(1.5, value)
-
-
-BLANK_END = re.compile(r"[ \t\n\r]*\Z")
-
-
 def _closing_braces(text: str) -> tuple[list[int], list[int]]:
     """Positions of the special characters, and for each the index of the
     ``}`` that closes a scan entered there outside a string (-1: never).
@@ -108,37 +108,41 @@ class _Longest:
 
 
 class _Residue:
-    """The full rule order over one text; suffixes share one brace table."""
+    """The full rule order over one text; suffixes share one brace table, one
+    table of fences and what the scanner found."""
 
     def __init__(self, text: str):
         self.text = text
-        self.marks, self.closing = _closing_braces(text)
-        self.last_fence = text.rfind("```")
-        # JSON has no NaN or infinity; a float with an equally long text stands in.
-        self.decoder = json.JSONDecoder(parse_constant=_finite, parse_float=_finite)
+        self.json = Json(text)
+        self.fences = [m.start() for m in re.finditer("(?=```)", text)]
+        self.fenced: dict[int, tuple[int, int] | None] = {}
         self.envelopes = {
             key: [m.span() for m in re.finditer(rf'"{key}"\s*:\s*\{{', text)] for key in ENVELOPE_KEYS
         }
 
-    def _value_from(self, begin: int):
-        """The one JSON value from ``begin`` to the text's end."""
-        if not begin:
-            return self.decoder.decode(self.text)
-        value, end = self.decoder.raw_decode(self.text, begin)
-        if not BLANK_END.match(self.text, end):
-            raise ValueError("more than one value")
-        return value
+    @cached_property
+    def _braces(self) -> tuple[list[int], list[int]]:
+        return _closing_braces(self.text)
+
+    @property
+    def marks(self) -> list[int]:
+        return self._braces[0]
+
+    @property
+    def closing(self) -> list[int]:
+        return self._braces[1]
 
     @cached_property
     def _lengths(self) -> _Longest:
         """How long the balanced fragment is that starts at each mark, or 0."""
-        lengths = [0] * len(self.marks)
-        for i, at in enumerate(self.marks):
-            if self.text[at] == "{" and self.closing[i + 1] >= 0:
-                lengths[i] = self.marks[self.closing[i + 1]] + 1 - at
+        marks, closing = self._braces
+        lengths = [0] * len(marks)
+        for i, at in enumerate(marks):
+            if self.text[at] == "{" and closing[i + 1] >= 0:
+                lengths[i] = marks[closing[i + 1]] + 1 - at
         return _Longest(lengths)
 
-    def _fragment(self, begin: int) -> str | None:
+    def _fragment_span(self, begin: int) -> tuple[int, int] | None:
         """The first fragment that is long enough, else the longest."""
         i = bisect_left(self.marks, begin)
         longest = self._lengths.ahead[i]
@@ -147,27 +151,53 @@ class _Residue:
         enough = (len(self.text) - begin) * ENOUGH
         i = self._lengths.first_over(i, min(enough, longest - 1))
         at = self.marks[i]
-        return self.text[at : at + self._lengths.levels[0][i]]
+        return at, at + self._lengths.levels[0][i]
 
-    def direct(self, begin: int):
+    def _fragment(self, begin: int) -> str | None:
+        span = self._fragment_span(begin)
+        return None if span is None else self.text[slice(*span)]
+
+    def _is_object(self, begin: int, end: int) -> bool:
+        return self.text[begin : begin + 1] == "{" and self.json.end(begin) == end
+
+    def _fenced_object(self, begin: int) -> tuple[int, int] | None:
+        """The first object that fills a fence, fences being paired from
+        ``begin`` on; each fence is looked at once."""
+        passed, found = [], None
+        while True:
+            k = bisect_left(self.fences, begin)
+            if k == len(self.fences):
+                break
+            fence = self.fences[k]
+            if fence in self.fenced:
+                found = self.fenced[fence]
+                break
+            passed.append(fence)
+            first = PY_FENCE.match(self.text, fence).end()
+            close = self.text.find("```", first)
+            if close < 0:
+                break
+            last = close
+            while last > first and self.text[last - 1].isspace():
+                last -= 1
+            if self._is_object(first, last):
+                found = first, last
+                break
+            begin = close + 3
+        for fence in passed:
+            self.fenced[fence] = found
+        return found
+
+    def direct(self, begin: int) -> tuple[tuple[int, int] | None, str | None]:
         """Whole text, then fences, then the longest balanced fragment."""
-        try:
-            value = self._value_from(begin)
-            return (value, "clean") if isinstance(value, dict) else (None, "not-object")
-        except (ValueError, RecursionError):
-            pass
-        fences = PY_FENCED.finditer(self.text, begin) if begin <= self.last_fence else ()
-        candidates = [(m.group(1).strip(), "fenced") for m in fences]
-        fragment = self._fragment(begin)
-        if fragment is not None:
-            candidates.append((fragment, "embedded"))
-        for candidate, mode in candidates:
-            try:
-                value = self.decoder.decode(candidate)
-            except (ValueError, RecursionError):
-                continue
-            if isinstance(value, dict):
-                return value, mode
+        if self.json.end(begin) == len(self.text):
+            return ((begin, len(self.text)), "clean") if self.text[begin] == "{" else (None, "not-object")
+        span = self._fenced_object(begin)
+        if span is not None:
+            return span, "fenced"
+        span = self._fragment_span(begin)
+        if span is not None and self._is_object(*span):
+            return span, "embedded"
         return None, None
 
     def _next_envelope(self, key: str, begin: int) -> int | None:
@@ -175,10 +205,11 @@ class _Residue:
         i = bisect_left(spans, (begin, 0))
         return spans[i][1] - 1 if i < len(spans) else None
 
-    def find(self):
-        value, mode = self.direct(0)
+    def find(self) -> tuple[tuple[int, int] | None, str]:
+        """Where the object stands, and the mode."""
+        span, mode = self.direct(0)
         if mode is not None:
-            return value, mode
+            return span, mode
         # Depth first through the envelopes, each suffix looked at once.
         seen: set[int] = set()
         stack = [self._next_envelope(key, 0) for key in reversed(ENVELOPE_KEYS)]
@@ -187,37 +218,47 @@ class _Residue:
             if begin is None or begin in seen:
                 continue
             seen.add(begin)
-            value, mode = self.direct(begin)
-            if value:
-                return value, "tool-envelope"
+            span, mode = self.direct(begin)
+            if span is not None and next(self.json.members(span[0]), None):
+                return span, "tool-envelope"
             if mode is None:
                 stack.extend(self._next_envelope(key, begin) for key in reversed(ENVELOPE_KEYS))
         return None, "unparseable"
 
 
-PY_FENCED = re.compile(r"```(?:json|JSON)?\s*(.*?)```", re.S)
+PY_FENCE = re.compile(r"```(?:json|JSON)?\s*")
 
 
-def _find(text: str | None) -> tuple[str | None, str | None]:
+def _look(text: str | None) -> tuple[str | None, str | None, str | None, dict[str, str] | None]:
+    """Mode, JSON text, fields for a VARIANT, and how odd values are shown."""
     if text is None:
-        return None, None
-    value, mode = _Residue(text).find()
-    return mode, None if value is None else json.dumps(value)
+        return None, None, None, None
+    residue = _Residue(text)
+    span, mode = residue.find()
+    if span is None:
+        return mode, None, None, None
+    return mode, *residue.json.handed_over(*span, SHOWN_FIELDS, SHOWN_MEMBERS)
+
+
+def _find(text: str | None) -> tuple[str | None, str | None]:
+    return _look(text)[:2]
 
 
-FOUND = T.StructType([T.StructField("mode", T.StringType()), T.StructField("doc", T.StringType())])
+FOUND = T.StructType([T.StructField(name, T.StringType()) for name in ("mode", "doc", "fields")])
+FOUND = FOUND.add("shown", T.MapType(T.StringType(), T.StringType()))
 # Send the function itself to the workers, so they need no copy of the package.
 register_pickle_by_value(sys.modules[__name__])
+register_pickle_by_value(scan)
 
 
 @F.pandas_udf(FOUND)
 def find_in_text(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
-        yield pd.DataFrame([_find(t) for t in texts], columns=["mode", "doc"])
+        yield pd.DataFrame([_look(t) for t in texts], columns=["mode", "doc", "fields", "shown"])
 
 
 def extract_json(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """Add ``extract`` (the mode), ``doc`` (JSON text) and ``answer``.
+    """Add ``extract`` (the mode), ``doc`` (JSON text), ``answer`` and ``shown``.
 
     ``answer`` is a VARIANT list whose first member is the object: taking the
     object out would encode it anew. ``doc`` keeps key order, which a variant
@@ -236,7 +277,8 @@ def extract_json(df: DataFrame, raw: str = "raw") -> DataFrame:
     df = df.withColumn("_whole", F.when(text != "", parse_exactly(text)))
     df = df.withColumn("_body", F.when(~exact & ~may_be_json, first_fence).otherwise(F.lit("")))
     df = df.withColumn("_fence", F.when(F.col("_body").startswith("{"), parse_exactly(F.col("_body"))))
-    df = df.withColumn("_found", find_in_text(F.when((text != "") & ~exact & ~fenced, text)))
+    settled = (exact | fenced) & ~text.rlike(ODD)
+    df = df.withColumn("_found", find_in_text(F.when((text != "") & ~settled, text)))
     df = df.withColumn(
         "_mode",
         F.when(text == "", F.lit("empty"))
@@ -248,8 +290,10 @@ def extract_json(df: DataFrame, raw: str = "raw") -> DataFrame:
         "doc",
         F.when(exact & opens_object, text).when(fenced, F.col("_body")).otherwise(F.col("_found.doc")),
     )
-    found = F.try_parse_json(F.concat(F.lit("["), F.col("_found.doc"), F.lit("]")))
-    whole = F.when(exact & opens_object, F.col("_whole")).when(fenced, F.col("_fence")).otherwise(found)
+    fields = F.coalesce(F.col("_found.fields"), F.col("_found.doc"))
+    found = F.try_parse_json(F.concat(F.lit("["), fields, F.lit("]")))
+    whole = F.when(F.col("_found.fields").isNotNull(), found)
+    whole = whole.when(exact & opens_object, F.col("_whole")).when(fenced, F.col("_fence")).otherwise(found)
     df = df.withColumn("answer", F.when(F.col("doc").isNotNull(), whole))
     lost = F.col("_mode").isin(EMITTED) & F.col("answer").isNull()
     mode = F.when(lost, F.lit("unparseable")).otherwise(F.col("_mode"))
@@ -257,8 +301,8 @@ def extract_json(df: DataFrame, raw: str = "raw") -> DataFrame:
     # above this step and cannot repeat the extraction, while one on the other
     # columns passes through it, down to the scan.
     made = ["_text", "_whole", "_body", "_fence", "_found", "_mode", "doc", "answer"]
-    kept = [c for c in df.columns if c not in [*made, "extract"]]
-    return df.select(*kept, F.inline(F.array(F.struct(mode.alias("extract"), "doc", "answer"))))
+    kept = [c for c in df.columns if c not in [*made, "extract", "shown"]]
+    return df.select(*kept, F.inline(F.array(F.struct(mode.alias("extract"), "doc", "answer", F.col("_found.shown").alias("shown")))))
 
 
 def answer_object() -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from verdikt.functions.text import bind, python_repr, quoted, strip
 from verdikt.functions.variants import as_object, as_objects, as_string, is_string, key_count, truthy
-from verdikt.operators.checks import ratio
+from verdikt.operators.checks import ratio, shown_at
 from verdikt.operators.contracts import PRIORITY, slot_of
 
 # Fixed values.
@@ -64,6 +64,12 @@ def text_of(value: Column) -> Column:
     return F.when(value.isNull(), F.lit("")).otherwise(text)
 
 
+def member_text(m: Column, i: Column, name: str, key: str) -> Column:
+    """``str()`` of a value of the ``i``-th member of the list ``name``."""
+    path = F.concat(F.lit(f"{name}["), i.cast("string"), F.lit(f"].{key}"))
+    return F.coalesce(shown_at(path), text_of(F.element_at(m, key)))
+
+
 def plan() -> Column:
     def criteria(part: str) -> Column:
         return _field("plan", "acceptance_criteria", part)
@@ -113,9 +119,8 @@ def dev(changes: Column) -> Column:
 
 def review(findings: Column) -> Column:
     located = _count(findings, lambda m: truthy(F.element_at(m, "file")) & truthy(F.element_at(m, "issue")))
-    severities = F.array_sort(
-        F.array_distinct(F.transform(findings, lambda m: F.lower(text_of(F.element_at(m, "severity")))))
-    )
+    found = F.transform("members", lambda m, i: F.when(m.isNotNull(), F.lower(member_text(m, i, "findings", "severity"))))
+    severities = F.array_sort(F.array_compact(F.array_distinct(found)))
     verdict = F.upper(_text("review", "verdict"))
     grave = F.arrays_overlap(severities, F.array(F.lit("critical"), F.lit("major")))
     inconsistent = grave & ~verdict.isin("REQUEST CHANGES", "BLOCK")
@@ -238,10 +243,10 @@ def devops() -> Column:
 
 def custom(actions: Column) -> Column:
     n = F.size(actions)
-    full = _count(
-        actions,
-        lambda m: truthy(F.element_at(m, "title")) & (F.length(text_of(F.element_at(m, "detail"))) >= 30),
+    told = F.transform(
+        "members", lambda m, i: truthy(F.element_at(m, "title")) & (F.length(member_text(m, i, "actions", "detail")) >= 30)
     )
+    full = _count(told, lambda good: F.coalesce(good, F.lit(False)))
     return F.when(n == 0, _nothing("no-actions")).otherwise(_result([full / n], [_note(full < n, "thin-actions")]))
 
 
