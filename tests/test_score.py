@@ -164,3 +164,15 @@ def test_all_notes_are_kept_unless_fewer_are_asked_for(spark):
     notes = score(df).first().notes
     assert len(notes) > 25 and sum(n.startswith(("empty-field:", "filler:")) for n in notes) >= 5
     assert score(df, max_notes=3).first().notes == notes[:3]
+
+
+def test_rollups_render_no_notes(spark):
+    """Notes are columns of their own: what doesn't ask for them has none."""
+    from verdikt.plans import registry
+
+    def plan(name):
+        return registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+    texts = ["missing/empty", "wrongtype", "item:", "enum:", "filler:", "array:", "thin-ac", "bad-paths"]
+    assert not [t for t in texts if t in plan("scores_by_task")]
+    assert all(t in plan("score_answers") for t in texts)

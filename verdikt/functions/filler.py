@@ -136,9 +136,16 @@ def may_hold_hit(low_doc: str) -> Column:
     return F.expr(f"{_contains_any(low_doc, sum(NEEDLES, []) + HIDING)} OR {low_doc} RLIKE {_literal(QUOTED_EXACT)}")
 
 
-def hits_of(strings: str) -> Column:
-    """Distinct labels of the normalized strings that are padding, in order."""
-    return F.expr(f"array_distinct(transform(filter({strings}, s -> {_is_hit('s')}), s -> {_label('s')}))")
+def marks_of(strings: str) -> Column:
+    """The different finds in normalized strings, in order: the exact value, or
+    a blank and what a pattern matched."""
+    mark = f"CASE WHEN {_is_exact('s')} THEN s ELSE concat(' ', {_first_match('s')}) END"
+    return F.expr(f"array_distinct(transform(filter({strings}, s -> {_is_hit('s')}), s -> {mark}))")
+
+
+def labels_of(marks: str) -> Column:
+    """The notes of the finds."""
+    return F.expr(f"transform({marks}, m -> IF(startswith(m, ' '), concat('filler:', substr(m, 2)), concat('empty-field:', m)))")
 
 
 # Escapes that may hide a needle.

@@ -1,8 +1,9 @@
 """Contract checks on an extracted answer.
 
-Every check yields an outcome text: '-' when it does not apply, '' when it
-passes, a note when it fails. A score is the share of passes among the outcomes
-that apply, and the notes are the failures in order.
+The outcomes of a row are bit masks: which field checks apply and which pass,
+and a mask of the keys that hold for each member of the item list. Scores are
+counts of bits. Notes are rendered from the masks by columns of their own, so
+that a query that asks for none has none in its plan.
 
 A contract has at most six top-level fields. Each takes one slot of plain
 columns (value, kind, length, text), so that the field checks compile to JVM
@@ -19,11 +20,13 @@ from verdikt.functions.text import JSON_STRING, python_repr, quoted, settled, un
 from verdikt.functions.variants import as_list, as_object, as_string, is_string, key_count, kind_of, truthy
 from verdikt.operators.contracts import (
     MAX_FIELDS,
+    MAX_ITEM_NAMES,
     choice_rule,
     choice_slot,
     is_item_slot,
     item_choice,
     item_list,
+    item_name_slots,
     item_names,
     item_objects,
     member_list,
@@ -31,7 +34,6 @@ from verdikt.operators.contracts import (
     rule,
 )
 
-PASS, SKIP = "", "-"
 SLOTS = range(MAX_FIELDS)
 
 
@@ -40,20 +42,6 @@ def ratio(ok: Column, total: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(ok / total)
 
 
-def failures(outcomes: Column) -> Column:
-    return F.array_remove(outcomes, PASS)
-
-
-def passed_share(outcomes: Column) -> Column:
-    total = F.size(outcomes)
-    return ratio(total - F.size(failures(outcomes)), total)
-
-
-def _outcome(applies: Column, passes: Column, note: Column) -> Column:
-    passes = F.coalesce(passes, F.lit(False))
-    return F.when(~F.coalesce(applies, F.lit(False)), F.lit(SKIP)).when(passes, F.lit(PASS)).otherwise(note)
-
-
 # Looking at the answer
 
 
@@ -116,26 +104,28 @@ def inspect_answer(df: DataFrame) -> DataFrame:
     return df.withColumns(texts)
 
 
-# The checks themselves
+# The checks themselves: whether each applies, whether it passes, and its note
+
+Check = tuple[Column, Column, Column]
 
 
-def required_outcome(i: int) -> Column:
+def required_check(i: int) -> Check:
     """Present, not null, and not empty unless the list may be empty."""
     kind = _slot("kind", i)
     may_be_empty = (kind == "list") & (F.coalesce(rule(i, "min_len"), F.lit(1)) == 0)
     empty = F.coalesce(_slot("n", i) == 0, F.lit(False))
     missing = kind.isNull() | (kind == "NoneType") | (empty & ~may_be_empty)
-    return _outcome(rule(i, "required"), ~missing, F.concat(F.lit("missing/empty:"), rule(i, "name")))
+    return rule(i, "required"), ~missing, F.concat(F.lit("missing/empty:"), rule(i, "name"))
 
 
-def type_outcome(i: int) -> Column:
+def type_check(i: int) -> Check:
     """The JSON type, where the field is present and not null."""
     kind = _slot("kind", i)
     note = F.concat(F.lit("wrongtype:"), rule(i, "name"), F.lit("="), kind)
-    return _outcome(kind != "NoneType", kind == rule(i, "want"), note)
+    return kind != "NoneType", kind == rule(i, "want"), note
 
 
-def list_outcome(i: int) -> Column:
+def list_check(i: int) -> Check:
     """Enough members, all of the wanted type."""
     n = _slot("n", i)
     all_objects = F.forall("members", lambda m: m.isNotNull())
@@ -144,72 +134,124 @@ def list_outcome(i: int) -> Column:
         F.lit("array:"), rule(i, "name"), F.lit(" n="), n.cast("string"), F.lit(" min="), rule(i, "min_len").cast("string")
     )
     applies = rule(i, "element").isNotNull() & (_slot("kind", i) == "list")
-    return _outcome(applies, (n >= rule(i, "min_len")) & typed, note)
+    return applies, (n >= rule(i, "min_len")) & typed, note
 
 
-def enum_outcome() -> Column:
-    """Value in its set, where the key is present at all.
+def field_checks() -> list[Check]:
+    """The checks of all fields, in note order; a check's place is its bit."""
+    return [check(i) for check in (required_check, type_check, list_check) for i in SLOTS]
 
-    A contract has at most one top-level field with a value set.
-    """
 
-    def pick(part: str) -> Column:
-        return F.get(F.array(*[_slot(part, i) for i in SLOTS]), choice_slot())
-
-    kind, text, (name, allowed) = pick("kind"), pick("text"), choice_rule()
-    shown = F.when(kind == "str", quoted(text)).otherwise(text)
-    note = F.concat(F.lit("enum:"), name, F.lit("="), shown)
-    return _outcome(kind.isNotNull(), (kind == "str") & F.array_contains(allowed, text), note)
+def _bits(conditions: list[Column]) -> Column:
+    total = F.lit(0).cast("long")
+    for k, condition in enumerate(conditions):
+        total = total + F.when(F.coalesce(condition, F.lit(False)), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
+    return total
 
 
 def _place(name: Column, i: Column) -> Column:
     return F.concat(name, F.lit("["), i.cast("string"), F.lit("]"))
 
 
-def item_outcomes() -> Column:
-    """C4: per member one outcome per key, or one failure if it is no object."""
-    name, keys = item_list(), item_names()
+def _choice(part: str) -> Column:
+    """Part of the slot of the one top-level field with a value set."""
+    return F.get(F.array(*[_slot(part, i) for i in SLOTS]), choice_slot())
 
-    def member(m: Column, i: Column) -> Column:
-        def per_key(key: Column) -> Column:
-            note = F.concat(F.lit("item:"), _place(name, i), F.lit("."), key)
-            return F.when(truthy(F.element_at(m, key)), F.lit(PASS)).otherwise(note)
 
-        not_object = F.array(F.concat(F.lit("item:"), _place(name, i), F.lit(" not-object")))
-        return F.when(m.isNull(), not_object).otherwise(F.transform(keys, per_key))
+#: Outcomes of a value set: nothing to check, a pass, a failure.
+NONE, PASSED, FAILED = 0, 1, 2
 
-    outcomes = F.flatten(F.transform("members", member))
-    return F.when(name.isNotNull(), outcomes).otherwise(F.array().cast("array<string>"))
 
+def _against(present: Column, passes: Column) -> Column:
+    passes = F.coalesce(passes, F.lit(False))
+    return F.when(~present, F.lit(NONE)).when(passes, F.lit(PASSED)).otherwise(F.lit(FAILED))
 
-def item_enum_outcomes() -> Column:
-    """The value sets inside the member objects, per key that is present."""
-    name, key, allowed = item_list(), item_choice("name", "string"), item_choice("allowed", "array<string>")
 
-    def member(m: Column, i: Column) -> Column:
+def check_masks() -> dict[str, Column]:
+    """The outcomes of an inspected answer.
+
+    ``_applies`` and ``_passes`` (C1-C3) have a bit per field check; ``_items``
+    (C4) is per member a bit for each key that holds, or -1 if it is no object;
+    ``_choice`` (C6) and ``_choices`` (C7, per member) are outcomes of value sets.
+    """
+    checks = field_checks()
+    applies = _bits([c[0] for c in checks])
+    passes = _bits([F.coalesce(c[0], F.lit(False)) & c[1] for c in checks])
+
+    def keys_held(m: Column) -> Column:
+        return _bits([truthy(F.element_at(m, name)) for name in item_name_slots()])
+
+    items = F.transform("members", lambda m: F.when(m.isNull(), F.lit(-1).cast("long")).otherwise(keys_held(m)))
+    kind, allowed = _choice("kind"), choice_rule()[1]
+    key, own = item_choice("name", "string"), item_choice("allowed", "array<string>")
+
+    def member_choice(m: Column) -> Column:
         value = F.element_at(m, key)
-        ok = is_string(value) & F.array_contains(allowed, as_string(value))
-        path = F.concat(_place(name, i), F.lit("."), key)
-        shown = F.coalesce(shown_at(path), python_repr(F.to_json(value)))
-        note = F.concat(F.lit("enum:"), path, F.lit("="), shown)
-        return F.when(value.isNull(), F.lit(SKIP)).when(ok, F.lit(PASS)).otherwise(note)
+        return _against(value.isNotNull(), is_string(value) & F.array_contains(own, as_string(value)))
+
+    none = F.array()
+    return {
+        "_applies": applies,
+        "_passes": passes,
+        "_held": F.when(item_list().isNotNull(), items).otherwise(none.cast("array<bigint>")),
+        "_choice": _against(kind.isNotNull(), (kind == "str") & F.array_contains(allowed, _choice("text"))),
+        "_choices": F.when(key.isNotNull(), F.transform("members", member_choice)).otherwise(none.cast("array<int>")),
+    }
+
+
+def _sum(values: Column, term) -> Column:
+    return F.aggregate(values, F.lit(0), lambda total, v: total + term(v))
+
+
+def check_counts() -> dict[str, Column]:
+    """Checks that apply and that pass, counted from the masks."""
+    held, choices = F.col("_held"), F.col("_choices")
+    keys = F.coalesce(F.array_size(item_names()), F.lit(0))
+    several = _sum(choices, lambda v: F.when(v == NONE, F.lit(0)).otherwise(F.lit(1)))
+    right = _sum(choices, lambda v: F.when(v == PASSED, F.lit(1)).otherwise(F.lit(0)))
+    return {
+        "schema_checks": F.bit_count("_applies") + _sum(held, lambda m: F.when(m < 0, F.lit(1)).otherwise(keys)),
+        "schema_passes": F.bit_count("_passes") + _sum(held, lambda m: F.when(m < 0, F.lit(0)).otherwise(F.bit_count(m))),
+        "enum_checks": (F.col("_choice") != NONE).cast("int") + several,
+        "enum_passes": (F.col("_choice") == PASSED).cast("int") + right,
+    }
+
+
+def schema_notes() -> Column:
+    """The failed schema checks of a row, in order."""
+    failed = F.col("_applies").bitwiseAND(F.bitwise_not("_passes"))
+    fields = [F.when(failed.bitwiseAND(1 << k) != 0, c[2]) for k, c in enumerate(field_checks())]
+    name, keys = item_list(), item_names()
 
-    return F.when(key.isNotNull(), F.transform("members", member)).otherwise(F.array().cast("array<string>"))
+    def member(m: Column, i: Column) -> Column:
+        def lacking(key: Column, k: Column) -> Column:
+            held = m.bitwiseAND(F.get(F.array(*[F.lit(1 << b) for b in range(MAX_ITEM_NAMES)]), k).cast("long")) != 0
+            return F.when(~held, F.concat(F.lit("item:"), _place(name, i), F.lit("."), key))
 
+        whole = F.array(F.concat(F.lit("item:"), _place(name, i), F.lit(" not-object")))
+        return F.when(m < 0, whole).otherwise(F.transform(keys, lacking))
 
-def _slots(outcome) -> Column:
-    return F.array(*[outcome(i) for i in SLOTS])
+    items = F.when(name.isNotNull(), F.flatten(F.transform("_held", member))).otherwise(F.array().cast("array<string>"))
+    return F.array_compact(F.concat(F.array(*fields), items))
 
 
-def schema_outcomes() -> Column:
-    """All schema outcomes of an inspected answer, in note order."""
-    outcomes = F.concat(_slots(required_outcome), _slots(type_outcome), _slots(list_outcome), item_outcomes())
-    return F.array_remove(outcomes, SKIP)
+def enum_notes() -> Column:
+    """The values outside their sets, in order.
 
+    A contract has at most one top-level field with a value set.
+    """
+    kind, text, (name, _) = _choice("kind"), _choice("text"), choice_rule()
+    shown = F.when(kind == "str", quoted(text)).otherwise(text)
+    top = F.when(F.col("_choice") == FAILED, F.concat(F.lit("enum:"), name, F.lit("="), shown))
+    listed, key = item_list(), item_choice("name", "string")
+
+    def member(outcome: Column, i: Column) -> Column:
+        value = F.element_at(F.get("members", i), key)
+        path = F.concat(_place(listed, i), F.lit("."), key)
+        shown = F.coalesce(shown_at(path), python_repr(F.to_json(value)))
+        return F.when(outcome == FAILED, F.concat(F.lit("enum:"), path, F.lit("="), shown))
 
-def enum_outcomes() -> Column:
-    """All enum outcomes of an inspected answer, in note order."""
-    return F.array_remove(F.concat(F.array(enum_outcome()), item_enum_outcomes()), SKIP)
+    return F.array_compact(F.concat(F.array(top), F.transform("_choices", member)))
 
 
 # Placeholder text
@@ -231,6 +273,7 @@ def walked_strings(doc: str = "doc", low_doc: str = "_low_doc") -> Column:
 
 
 def clean_score(hits: Column) -> Column:
+    """E4, from the different hits or their marks."""
     return F.greatest(F.lit(0.0), 1.0 - 0.25 * F.size(hits))
 
 

@@ -131,6 +131,7 @@ SHOWN_MEMBERS = {
 }
 
 MAX_FIELDS = max(len(c.fields) for c in CONTRACTS.values())
+MAX_ITEM_NAMES = max(len(c.items) for c in CONTRACTS.values())
 
 
 def _sql(value) -> str:
@@ -222,6 +223,12 @@ def item_names() -> Column:
     return _by_task({t: tuple(r.name for r in c.items) or None for t, c in CONTRACTS.items()}, "array<string>")
 
 
+def item_name_slots() -> list[Column]:
+    """The same keys one by one, null where the row's task has fewer."""
+    tasks = {t: [r.name for r in c.items] for t, c in CONTRACTS.items()}
+    return [_by_task({t: n[k] for t, n in tasks.items() if k < len(n)}, "string") for k in range(MAX_ITEM_NAMES)]
+
+
 def item_choice(part: str, sql_type: str) -> Column:
     """Name or value set of the one key with a value set in each member."""
     values = {}

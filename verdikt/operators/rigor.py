@@ -1,7 +1,8 @@
 """Task-specific rigor: the mean of a few components, plus notes.
 
 Each function reads the slots of an inspected answer and its member objects, and
-returns ``struct<value double, notes array<string>>``.
+returns two columns, the value and the notes, so that either can do without the
+other.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from verdikt.functions.text import bind, python_repr, quoted, strip
+from verdikt.functions.text import python_repr, quoted, strip
 from verdikt.functions.variants import as_object, as_objects, as_string, is_string, key_count, truthy
 from verdikt.operators.checks import ratio, shown_at
 from verdikt.operators.contracts import PRIORITY, slot_of
@@ -46,16 +47,20 @@ def _note(condition: Column, note: Column | str) -> Column:
     return F.when(condition, F.lit(note) if isinstance(note, str) else note).otherwise(F.lit(""))
 
 
-def _result(parts: list[Column], notes: list[Column]) -> Column:
+Result = tuple[Column, Column]
+
+
+def _result(parts: list[Column], notes: list[Column]) -> Result:
     total = parts[0]
     for part in parts[1:]:
         total = total + part
-    kept = F.array_remove(F.array(*notes), "")
-    return F.struct((total / len(parts)).cast("double").alias("value"), kept.alias("notes"))
+    return (total / len(parts)).cast("double"), F.array_remove(F.array(*notes), "")
 
 
-def _nothing(note: str) -> Column:
-    return F.struct(F.lit(0.0).alias("value"), F.array(F.lit(note)).alias("notes"))
+def _unless(nothing: Column, note: str, result: Result) -> Result:
+    """No credit and one note where there is nothing to look at."""
+    value, notes = result
+    return F.when(nothing, F.lit(0.0)).otherwise(value), F.when(nothing, F.array(F.lit(note))).otherwise(notes)
 
 
 def text_of(value: Column) -> Column:
@@ -70,7 +75,7 @@ def member_text(m: Column, i: Column, name: str, key: str) -> Column:
     return F.coalesce(shown_at(path), text_of(F.element_at(m, key)))
 
 
-def plan() -> Column:
+def plan() -> Result:
     def criteria(part: str) -> Column:
         return _field("plan", "acceptance_criteria", part)
 
@@ -90,7 +95,7 @@ def plan() -> Column:
     )
 
 
-def dev(changes: Column) -> Column:
+def dev(changes: Column) -> Result:
     paths = F.transform(changes, lambda m: F.element_at(m, "path"))
 
     def relative(path: Column) -> Column:
@@ -114,10 +119,10 @@ def dev(changes: Column) -> Column:
             _note(~commit.rlike(COMMIT_TYPES), "non-conventional-commit"),
         ],
     )
-    return F.when(n == 0, _nothing("no-changes")).otherwise(scored)
+    return _unless(n == 0, "no-changes", scored)
 
 
-def review(findings: Column) -> Column:
+def review(findings: Column) -> Result:
     located = _count(findings, lambda m: truthy(F.element_at(m, "file")) & truthy(F.element_at(m, "issue")))
     found = F.transform("members", lambda m, i: F.when(m.isNotNull(), F.lower(member_text(m, i, "findings", "severity"))))
     severities = F.array_sort(F.array_compact(F.array_distinct(found)))
@@ -155,19 +160,8 @@ def qe_cases(suites: Column) -> Column:
     return F.filter(F.flatten(lists), lambda c: c.isNotNull())
 
 
-def qe(suites: Column, cases: Column) -> Column:
-    n = F.size(cases)
-    ids_right = F.size(
-        F.filter(
-            F.transform(
-                cases,
-                lambda c, i: text_of(F.element_at(c, "id"))
-                == F.concat(F.lit("TC-"), F.when(i < 999, F.lpad((i + 1).cast("string"), 3, "0")).otherwise((i + 1).cast("string"))),
-            ),
-            lambda same: same,
-        )
-    )
-    # Per case: number of steps, and of steps that pair an action with a result.
+def step_counts(cases: Column) -> Column:
+    """Over all cases: steps, and steps that pair an action with a result."""
     steps = F.transform(
         F.transform(cases, _steps_of),
         lambda s: F.struct(
@@ -178,11 +172,25 @@ def qe(suites: Column, cases: Column) -> Column:
             ).alias("paired"),
         ),
     )
-    total = F.aggregate(
+    return F.aggregate(
         steps,
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("paired")),
         lambda a, s: F.struct((a["n"] + s["n"]).alias("n"), (a["paired"] + s["paired"]).alias("paired")),
     )
+
+
+def qe(suites: Column, cases: Column) -> Result:
+    n = F.size(cases)
+    ids_right = F.size(
+        F.filter(
+            F.transform(
+                cases,
+                lambda c, i: text_of(F.element_at(c, "id"))
+                == F.concat(F.lit("TC-"), F.when(i < 999, F.lpad((i + 1).cast("string"), 3, "0")).otherwise((i + 1).cast("string"))),
+            ),
+            lambda same: same,
+        )
+    )
     traced = _count(cases, lambda c: truthy(F.element_at(c, "covers_ac")))
     ranked = _count(
         cases,
@@ -195,32 +203,29 @@ def qe(suites: Column, cases: Column) -> Column:
         lambda s: F.when(is_string(F.element_at(s, "category")), as_string(F.element_at(s, "category"))),
     )
     breadth = F.size(F.array_intersect(categories, F.array(*[F.lit(c) for c in COVERED])))
-    return F.when(n == 0, _nothing("no-cases")).otherwise(
-        bind(
-            total,
-            lambda t: _result(
-                [
-                    ids_right / n,
-                    F.when(t["n"] == 0, F.lit(0.0)).otherwise(t["paired"] / t["n"]),
-                    traced / n,
-                    ranked / n,
-                    F.least(F.lit(1.0), breadth / 4),
-                    F.when(n.between(12, 22), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(n - 16) / 16)),
-                ],
-                [
-                    _note(ids_right < n, "ids-not-contiguous"),
-                    _note(
-                        t["paired"] < t["n"],
-                        F.concat(F.lit("unpaired-steps:"), (t["n"] - t["paired"]).cast("string")),
-                    ),
-                    _note(traced < n * 0.8, "weak-traceability"),
-                ],
+    t = F.col("_steps")
+    scored = _result(
+        [
+            ids_right / n,
+            F.when(t["n"] == 0, F.lit(0.0)).otherwise(t["paired"] / t["n"]),
+            traced / n,
+            ranked / n,
+            F.least(F.lit(1.0), breadth / 4),
+            F.when(n.between(12, 22), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(n - 16) / 16)),
+        ],
+        [
+            _note(ids_right < n, "ids-not-contiguous"),
+            _note(
+                t["paired"] < t["n"],
+                F.concat(F.lit("unpaired-steps:"), (t["n"] - t["paired"]).cast("string")),
             ),
-        )
+            _note(traced < n * 0.8, "weak-traceability"),
+        ],
     )
+    return _unless(n == 0, "no-cases", scored)
 
 
-def bug() -> Column:
+def bug() -> Result:
     expected, actual = _text("bug", "expected"), _text("bug", "actual")
     same = strip(expected) == strip(actual)
     return _result(
@@ -233,7 +238,7 @@ def bug() -> Column:
     )
 
 
-def devops() -> Column:
+def devops() -> Result:
     thin = F.length(_text("devops", "rollback")) < 40
     return _result(
         [_step(_length("devops", "steps") >= 3, 0.5), _step(~thin), _step(_length("devops", "checks") >= 2, 0.5)],
@@ -241,24 +246,30 @@ def devops() -> Column:
     )
 
 
-def custom(actions: Column) -> Column:
+def custom(actions: Column) -> Result:
     n = F.size(actions)
     told = F.transform(
         "members", lambda m, i: truthy(F.element_at(m, "title")) & (F.length(member_text(m, i, "actions", "detail")) >= 30)
     )
     full = _count(told, lambda good: F.coalesce(good, F.lit(False)))
-    return F.when(n == 0, _nothing("no-actions")).otherwise(_result([full / n], [_note(full < n, "thin-actions")]))
+    return _unless(n == 0, "no-actions", _result([full / n], [_note(full < n, "thin-actions")]))
 
 
-def rigor_inputs() -> dict[str, Column]:
-    """The member objects, and for test plans the flattened cases."""
+def rigor_inputs() -> list[dict[str, Column]]:
+    """The member objects, and for test plans the flattened cases and their
+    steps; each step's columns build on those before."""
     objects = F.filter("members", lambda m: m.isNotNull())
     none = F.array().cast("array<map<string,variant>>")
-    return {"_objects": objects, "_cases": F.when(F.col("task") == "qe", qe_cases(objects)).otherwise(none)}
+    return [
+        {"_objects": objects},
+        {"_cases": F.when(F.col("task") == "qe", qe_cases(F.col("_objects"))).otherwise(none)},
+        {"_steps": step_counts(F.col("_cases"))},
+    ]
 
 
-def rigor_result() -> Column:
-    """F8: the task's rigor, from an inspected answer and its rigor inputs."""
+def rigor_result() -> Result:
+    """F8: the task's rigor and its notes, from an inspected answer and its
+    rigor inputs."""
     objects = F.col("_objects")
     by_task = {
         "plan": plan(),
@@ -269,7 +280,11 @@ def rigor_result() -> Column:
         "devops": devops(),
         "custom": custom(objects),
     }
-    result = F.when(F.lit(False), by_task["plan"])
-    for task, value in by_task.items():
-        result = result.when(F.col("task") == task, value)
-    return result
+
+    def chosen(part: int) -> Column:
+        result = F.when(F.lit(False), by_task["plan"][part])
+        for task, parts in by_task.items():
+            result = result.when(F.col("task") == task, parts[part])
+        return result
+
+    return chosen(0), chosen(1)

@@ -14,27 +14,33 @@ from verdikt.operators.extract import EMITTED, extract_json
 WEIGHTS = {"schema": 0.30, "enums": 0.20, "rigor": 0.35, "clean": 0.15}
 METRICS = ["emitted", "schema", "enums", "rigor", "clean", "score"]
 
-CHECKED = ["schema_outcomes", "enum_outcomes", "rigor_result", "filler_hits"]
+COUNTS = ["schema_checks", "schema_passes", "enum_checks", "enum_passes"]
+CHECKED = [*COUNTS, "schema_notes", "enum_notes", "rigor_value", "rigor_notes", "filler_marks"]
 
 
 def examine(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Extract each answer and run every check.
 
-    Adds ``extract``, ``chars`` and the columns named in ``CHECKED``.
+    Adds ``extract``, ``chars`` and the columns named in ``CHECKED``. The notes
+    cost nothing where they are not asked for.
     """
     kept = [c for c in df.columns if c != raw]
     df = df.withColumns({"chars": F.length(F.coalesce(F.col(raw), F.lit(""))), "task": known_task(F.col("task"))})
-    df = checks.inspect_answer(extract_json(df, raw))
-    df = df.withColumns(rigor.rigor_inputs() | {"_low_doc": F.lower("doc")})
-    df = df.withColumn("_strings", checks.walked_strings())
+    df = checks.inspect_answer(extract_json(df, raw)).withColumn("_low_doc", F.lower("doc"))
+    for step in rigor.rigor_inputs():
+        df = df.withColumns(step)
+    df = df.withColumn("_strings", checks.walked_strings()).withColumns(checks.check_masks())
+    value, notes = rigor.rigor_result()
     return df.select(
         *kept,
         "extract",
         "chars",
-        checks.schema_outcomes().alias("schema_outcomes"),
-        checks.enum_outcomes().alias("enum_outcomes"),
-        rigor.rigor_result().alias("rigor_result"),
-        filler.hits_of("_strings").alias("filler_hits"),
+        *[count.alias(name) for name, count in checks.check_counts().items()],
+        checks.schema_notes().alias("schema_notes"),
+        checks.enum_notes().alias("enum_notes"),
+        value.alias("rigor_value"),
+        notes.alias("rigor_notes"),
+        filler.marks_of("_strings").alias("filler_marks"),
     )
 
 
@@ -50,10 +56,10 @@ def score(df: DataFrame, raw: str = "raw", max_notes: int | None = None) -> Data
         return F.when(emitted, value).otherwise(F.lit(0.0))
 
     parts = {
-        "schema": checks.passed_share(F.col("schema_outcomes")),
-        "enums": checks.passed_share(F.col("enum_outcomes")),
-        "rigor": F.col("rigor_result.value"),
-        "clean": checks.clean_score(F.col("filler_hits")),
+        "schema": checks.ratio(F.col("schema_passes"), F.col("schema_checks")),
+        "enums": checks.ratio(F.col("enum_passes"), F.col("enum_checks")),
+        "rigor": F.col("rigor_value"),
+        "clean": checks.clean_score(F.col("filler_marks")),
     }
     found = F.struct(emitted.cast("int").alias("emitted"), *[when_emitted(v).alias(name) for name, v in parts.items()])
     total = F.lit(0.0)
@@ -61,12 +67,7 @@ def score(df: DataFrame, raw: str = "raw", max_notes: int | None = None) -> Data
         total = total + F.lit(weight) * F.col(name)
     # As in the extraction: a filter on a score stays above its making.
     df = df.select(*[c for c in df.columns if c not in METRICS], F.inline(F.array(found))).withColumn("score", total)
-    notes = F.concat(
-        checks.failures(F.col("schema_outcomes")),
-        checks.failures(F.col("enum_outcomes")),
-        F.col("rigor_result.notes"),
-        F.col("filler_hits"),
-    )
+    notes = F.concat("schema_notes", "enum_notes", "rigor_notes", filler.labels_of("filler_marks"))
     missing = F.array(F.concat(F.lit("extract:"), F.col("extract")))
     notes = F.when(emitted, notes if max_notes is None else F.slice(notes, 1, max_notes)).otherwise(missing)
     return df.withColumn("notes", notes).drop(*CHECKED)

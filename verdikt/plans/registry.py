@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdikt.functions import filler
 from verdikt.functions.variants import key_count
 from verdikt.operators import checks, corpus, quantize, rollup
 from verdikt.operators.contracts import contract_table
@@ -118,15 +119,14 @@ def event_properties(spark, sf_dir):
 @query
 def schema_checks(spark, sf_dir):
     """Passes and checks per answer."""
-    outcomes = F.col("schema_outcomes")
     df = _examined(spark, sf_dir).where("extract IN ('clean', 'fenced', 'embedded', 'tool-envelope')")
     return rounded(
         df.select(
             "run",
             "row_id",
-            F.size(outcomes).alias("checks"),
-            F.array_join(checks.failures(outcomes), "; ").alias("notes"),
-            checks.passed_share(outcomes).alias("schema"),
+            F.col("schema_checks").alias("checks"),
+            F.array_join("schema_notes", "; ").alias("notes"),
+            checks.ratio(F.col("schema_passes"), F.col("schema_checks")).alias("schema"),
         )
     )
 
@@ -134,15 +134,14 @@ def schema_checks(spark, sf_dir):
 @query
 def enum_checks(spark, sf_dir):
     """C6-C8."""
-    outcomes = F.col("enum_outcomes")
     df = _examined(spark, sf_dir).where("extract IN ('clean', 'fenced', 'embedded', 'tool-envelope')")
     return rounded(
         df.select(
             "run",
             "row_id",
-            F.size(outcomes).alias("checks"),
-            F.array_join(checks.failures(outcomes), "; ").alias("notes"),
-            checks.passed_share(outcomes).alias("enums"),
+            F.col("enum_checks").alias("checks"),
+            F.array_join("enum_notes", "; ").alias("notes"),
+            checks.ratio(F.col("enum_passes"), F.col("enum_checks")).alias("enums"),
         )
     )
 
@@ -151,14 +150,14 @@ def enum_checks(spark, sf_dir):
 def rigor_checks(spark, sf_dir):
     """F1-F8."""
     df = _examined(spark, sf_dir).where("extract IN ('clean', 'fenced', 'embedded', 'tool-envelope')")
-    notes = F.array_join("rigor_result.notes", "; ")
-    return rounded(df.select("run", "row_id", "task", F.col("rigor_result.value").alias("rigor"), notes.alias("notes")))
+    notes = F.array_join("rigor_notes", "; ")
+    return rounded(df.select("run", "row_id", "task", F.col("rigor_value").alias("rigor"), notes.alias("notes")))
 
 
 @query
 def placeholder_checks(spark, sf_dir):
     """E1-E4."""
-    hits = F.col("filler_hits")
+    hits = filler.labels_of("filler_marks")
     df = _examined(spark, sf_dir).where("extract IN ('clean', 'fenced', 'embedded', 'tool-envelope')")
     return rounded(
         df.select("run", "row_id", F.array_join(hits, "; ").alias("hits"), checks.clean_score(hits).alias("clean"))
