@@ -509,6 +509,20 @@ def _corpora() -> dict[str, str]:
           {_mark(1)} || '-' || {_mark(16)} AS mark FROM (SELECT *, sha256({_fields}) AS h FROM chats) GROUP BY split, task""",
         "rendered_chats": f"""{CHATS} SELECT conv_id, turn, md5({_turns(SYSTEM, USER, ANSWER)}) AS text_md5,
           md5({_turns(SYSTEM, USER)} || '<|assistant|>' || chr(10)) AS prompt_md5 FROM chats""",
+        "whole_chats": """
+          WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, md5(coalesce(text, '')) AS tie,
+              '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '</s>' || chr(10) AS piece FROM conversations
+          ),
+          placed AS (
+            SELECT *, coalesce(sum(strlen(piece)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, tie
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // 4096 AS segment,
+              lead(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, tie) AS follows FROM turns
+          )
+          SELECT conv_id, segment, count(*) AS n_turns, count(*) FILTER (role = 'user') AS n_user,
+            count(*) FILTER (role = 'user' AND follows IS DISTINCT FROM 'assistant') AS n_open, sum(length(piece))::BIGINT AS n_chars,
+            md5(string_agg(piece, '' ORDER BY turn NULLS FIRST, role, tie)) AS text_md5
+          FROM placed GROUP BY conv_id, segment""",
         "chat_lengths": f"{CHATS} SELECT conv_id, turn, n_total, n_fixed, n_target FROM lengths",
         "document_lengths": f"{DOCS} SELECT doc_id, n_total, n_fixed, n_target FROM lengths",
         "fitted_chats": f"{CHATS} SELECT conv_id, turn, decision, budget FROM fitted",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from verdikt.functions import filler
 from verdikt.functions.variants import key_count
-from verdikt.operators import checks, corpus, quantize, rollup
+from verdikt.operators import chats, checks, corpus, quantize, rollup
 from verdikt.operators.contracts import contract_table
 from verdikt.operators.extract import answer_object, extract_json, extract_modes
 from verdikt.operators.resume import resumed, score_pending
@@ -432,6 +432,19 @@ def rendered_chats(spark, sf_dir):
     )
 
 
+#: Bytes of a segment of ``whole_chats``.
+CHAT_SEGMENT = 4096
+
+
+@query
+def whole_chats(spark, sf_dir):
+    """I1 over every turn of every conversation, the unanswered ones included."""
+    df = chats.chat_segments(table(spark, sf_dir, "conversations"), size=CHAT_SEGMENT)
+    return df.select(
+        "conv_id", "segment", "n_turns", "n_user", "n_open", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5")
+    )
+
+
 @query
 def chat_lengths(spark, sf_dir):
     """I2."""
