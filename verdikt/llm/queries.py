@@ -65,6 +65,8 @@ def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
         removed.alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        # What is left as text; a cut inside a character leaves a replacement mark.
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
     )
 
 
