@@ -26,7 +26,7 @@ SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 #: Blocks whose characters have kept their class over the versions of Unicode.
 SETTLED = [(0, 0x377), (0x384, 0x52F), (0x2000, 0x2063), (0x20A0, 0x20B1), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5)]
 #: Pieces whose ids are kept; beyond it the cache starts anew.
-CACHED = 1_000_000
+CACHED = 2_000_000
 #: Pieces to a call of the library.
 CALL = 4096
 
