@@ -401,6 +401,17 @@ def _tables() -> dict[str, str]:
               count(*) AS runs, string_agg(run, ',' ORDER BY run) AS names
               FROM (SELECT run, count(*) AS n_rows FROM answers GROUP BY run) GROUP BY n_rows"""
         ),
+        "results_file": _scored(
+            f"""SELECT run, 'mode' AS part, extract AS name, count(*)::VARCHAR AS value FROM scored GROUP BY run, extract
+              UNION ALL SELECT run, 'hit_cap', task, (count(*) FILTER (new_tokens >= cap - 1))::VARCHAR || '/' || count(*)::VARCHAR
+              FROM answers GROUP BY run, task HAVING count(*) FILTER (new_tokens >= cap - 1) > 0
+              UNION ALL SELECT run, 'overall', 'n', count(*)::VARCHAR FROM answers GROUP BY run
+              UNION ALL SELECT run, 'condition', 'n_rows', count(*)::VARCHAR FROM answers GROUP BY run
+              UNION ALL SELECT run, 'condition', name, value FROM (VALUES
+                ('{RUNS[0]}', 'eval_dtype', 'bfloat16'), ('{RUNS[0]}', 'four_bit', 'false'), ('{RUNS[0]}', 'greedy', 'true'), ('{RUNS[0]}', 'cap_of', '{caps}'),
+                ('{RUNS[1]}', 'eval_dtype', 'float16'), ('{RUNS[1]}', 'four_bit', 'true'), ('{RUNS[1]}', 'greedy', 'true'), ('{RUNS[1]}', 'cap_of', '{caps}')
+              ) v(run, name, value)"""
+        ),
         "raw_sink": _scored(
             """SELECT run, task, slice, extract, new_tokens >= cap - 1 AS hit_cap, count(*) AS n,
               sum(new_tokens)::BIGINT AS tokens FROM checked GROUP BY ALL"""

@@ -313,6 +313,28 @@ def results_roundtrip(spark, sf_dir):
     return rounded(jsonl.explode_results(nested, F.col("document")))
 
 
+#: Runs made under unequal conditions.
+UNEQUAL = [(RUNS[0], "bfloat16", False, True), (RUNS[1], "float16", True, True)]
+
+
+@query
+def results_file(spark, sf_dir):
+    """A results file written and read back, with modes, capped answers
+    and conditions; every run's score on all tasks stands beside them."""
+    path, answers = _work(spark, "results"), completions(spark, sf_dir)
+    cells = materialize(rollup.task_sums(_scored(spark, sf_dir), "extract"))
+    sums, modes = rollup.cell_sums(cells), rollup.mode_counts(cells)
+    nested = sinks.nested_results(rollup.by_task(sums), rollup.overall(sums), rollup.by_slice(sums), modes)
+    settings = spark.createDataFrame(UNEQUAL, "run string, eval_dtype string, four_bit boolean, greedy boolean")
+    documents = sinks.results_documents(nested, modes, rollup.hit_cap(answers), rollup.conditions(answers, settings))
+    sinks.write_results(documents, path)
+    scores, more = jsonl.read_whole_results(spark, path)
+    overall = scores.where("scope = 'overall'").select(
+        "run", F.lit("overall").alias("part"), F.lit("n").alias("name"), F.col("n").cast("string").alias("value")
+    )
+    return more.unionByName(overall)
+
+
 @query
 def raw_sink(spark, sf_dir):
     """A5: raw answers written by run and read back."""

@@ -57,6 +57,30 @@ def explode_results(df: DataFrame, document: Column) -> DataFrame:
     return scoped.select("run", "scope", F.explode("cells").alias("name", "m")).select("run", "scope", "name", "m.*")
 
 
+MORE = (
+    "extract_modes map<string, bigint>, hit_cap map<string, struct<hits: bigint, `of`: bigint>>, "
+    "conditions struct<eval_dtype: string, four_bit: boolean, greedy: boolean, cap_of: string, n_rows: bigint>"
+)
+
+
+def read_whole_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Files of ``sinks.write_results``, a line per run: the scores as rows,
+    and ``run, part, name, value`` of the modes, the capped answers and the
+    conditions. Only what is asked for is parsed."""
+    lines = spark.read.schema("run string, document string, more string").option("mode", "FAILFAST").json(path)
+    more = lines.select("run", F.from_json("more", MORE).alias("m")).select("run", "m.*")
+
+    def rows(entries: Column, part: str) -> DataFrame:
+        return more.select("run", F.lit(part).alias("part"), F.explode(entries).alias("name", "value"))
+
+    modes = rows(F.transform_values("extract_modes", lambda k, n: n.cast("string")), "mode")
+    caps = rows(F.transform_values("hit_cap", lambda k, c: F.concat_ws("/", c["hits"].cast("string"), c["of"].cast("string"))), "hit_cap")
+    names = ["eval_dtype", "four_bit", "greedy", "cap_of", "n_rows"]
+    values = F.array(*[F.col(f"conditions.{n}").cast("string") for n in names])
+    settings = rows(F.map_from_arrays(F.array(*map(F.lit, names)), values), "condition")
+    return explode_results(lines, F.col("document")), modes.unionByName(caps).unionByName(settings)
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """A results file, one JSON document of a few kilobytes per run."""
     return explode_results(spark.read.text(path, wholetext=True), F.col("value"))

@@ -49,3 +49,23 @@ def nested_results(tasks: DataFrame, overall: DataFrame, slices: DataFrame, mode
     )
     document = F.struct("tasks", "overall", "extract_modes", "by_slice")
     return parts.select("run", F.to_json(F.map_from_arrays(F.array("run"), F.array(document))).alias("document"))
+
+
+def results_documents(nested: DataFrame, modes: DataFrame, capped: DataFrame, conditions: DataFrame) -> DataFrame:
+    """``nested_results`` with nothing left out: the answers that ran into
+    their cap by task, and the conditions a run was made under."""
+
+    def as_map(df: DataFrame, name: str, value, alias: str) -> DataFrame:
+        entries = F.collect_list(F.struct(F.col(name), value))
+        return df.groupBy("run").agg(F.map_from_entries(F.array_sort(entries)).alias(alias))
+
+    caps = as_map(capped, "task", F.struct("hits", F.col("of")), "hit_cap")
+    settings = conditions.select("run", F.struct("eval_dtype", "four_bit", "greedy", "cap_of", "n_rows").alias("conditions"))
+    more = as_map(modes, "extract", F.col("n"), "extract_modes").join(settings, "run").join(caps, "run", "left")
+    extra = F.to_json(F.struct("extract_modes", "hit_cap", "conditions"))
+    return nested.join(more, "run").select("run", "document", extra.alias("more"))
+
+
+def write_results(documents: DataFrame, path: str) -> None:
+    """One line per run: its name, the scores' document, and the rest."""
+    documents.select(F.to_json(F.struct("run", "document", "more")).alias("value")).write.text(path)

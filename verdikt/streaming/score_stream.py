@@ -10,8 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from verdikt.operators.resume import KEY
 from verdikt.operators.score import score
-from verdikt.sources.jsonl import read_or_empty
-from verdikt.sources.sinks import replace_runs
+from verdikt.streaming import sink
 
 SCORED = (
     "run string, row_id bigint, task string, slice string, extract string, chars int, emitted int, "
@@ -20,33 +19,51 @@ SCORED = (
 INPUT = ["run", "row_id", "task", "slice", "raw"]
 
 
-def read_scored(spark: SparkSession, sink: str) -> DataFrame:
-    return read_or_empty(spark, lambda: spark.read.schema(SCORED).parquet(sink), SCORED)
+#: How long the stream itself remembers keys; the sink knows them for ever.
+REMEMBERED = "1 hour"
 
 
-def write_batch(sink: str) -> Callable[[DataFrame, int], None]:
-    """Each micro-batch owns one partition of the sink.
+def read_scored(spark: SparkSession, path: str) -> DataFrame:
+    return sink.rows_of(spark, path, SCORED)
 
-    A batch that is run again after a failure replaces its own partition.
-    """
+
+def write_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """Each micro-batch scores the keys that the sink doesn't hold yet."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        replace_runs(score(batch).withColumn("batch", F.lit(batch_id).cast("bigint")), sink, by="batch")
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        columns = [c.split()[0] for c in SCORED.split(", ")]
+
+        def scored(new: DataFrame) -> DataFrame:
+            return score(new).withColumn("batch", F.lit(batch_id).cast("bigint")).select(*columns)
+
+        # The stream's state and sources are read once, not at each look-up.
+        held = batch.persist()
+        try:
+            # A batch without rows only moves the watermark.
+            if not held.isEmpty():
+                sink.commit(held, path, query, batch_id, scored)
+        finally:
+            held.unpersist()
 
     return write
 
 
-def score_stream(answers: DataFrame, sink: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Start scoring a stream of answers into ``sink``.
+def score_stream(answers: DataFrame, path: str, checkpoint: str, remembered: str = REMEMBERED, **trigger) -> StreamingQuery:
+    """Start scoring a stream of answers into the sink ``path``.
 
-    The keys seen so far are kept in the stream's state, by key, so a batch
-    looks up its own keys and never reads the sink. Of two texts that come with
-    the same key, one is scored: the earlier batch's, or any within a batch.
+    A key is scored once, however often it comes. The stream's state drops keys
+    after ``remembered``, by the time of their arrival; a repeat that comes later
+    is found in the sink. Of two texts with the same key, one is scored: the
+    earlier batch's, or any within a batch.
     """
     return (
         answers.select(*INPUT)
-        .dropDuplicates(KEY)
-        .writeStream.foreachBatch(write_batch(sink))
+        .withColumn("_arrived", F.current_timestamp())
+        .withWatermark("_arrived", remembered)
+        .dropDuplicatesWithinWatermark(KEY)
+        .drop("_arrived")
+        .writeStream.foreachBatch(write_batch(path))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
