@@ -53,7 +53,8 @@ def rows_of(spark: SparkSession, path: str, schema: str, folders: list[str] | No
         folders = [r.folder for r in manifest(spark, path).where("folder is not null").collect()]
     if not folders:
         return spark.createDataFrame([], schema)
-    return _read(spark, f"{path}/data", folders, schema)
+    rows = _read(spark, f"{path}/data", folders, schema)
+    return rows.select(*spark.createDataFrame([], schema).columns)
 
 
 def _read(spark: SparkSession, path: str, folders: list[str], schema: str | None = None) -> DataFrame:
