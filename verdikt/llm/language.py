@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from verdikt.llm import text as tx
 from verdikt.llm.pieces import expanded
+from verdikt.llm.rows import free
 
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 16
@@ -270,11 +271,13 @@ def judgement(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Adds ``lang_pred, score, rejected``; columns of these names are replaced."""
-    found = docs.withColumn("_found", judgement(docs, model, text_col))
-    return found.withColumns({c: F.col(f"_found.{c}") for c in ("lang_pred", "score", "rejected")}).drop("_found")
+    judged = free(docs) + "judged"
+    found = docs.withColumn(judged, judgement(docs, model, text_col))
+    return found.withColumns({c: F.col(f"{judged}.{c}") for c in ("lang_pred", "score", "rejected")}).drop(judged)
 
 
 def recognised(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not rejected."""
-    found = docs.withColumn("_found", judgement(docs, model, text_col))
-    return found.where(~F.col("_found.rejected")).drop("_found")
+    judged = free(docs) + "judged"
+    found = docs.withColumn(judged, judgement(docs, model, text_col))
+    return found.where(~F.col(f"{judged}.rejected")).drop(judged)

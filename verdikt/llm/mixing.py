@@ -32,6 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdikt.llm.rows import free
 from verdikt.llm.store import stored
 
 MOST = 3
@@ -245,11 +246,11 @@ def copies(
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
     """The rows of ``docs`` as often as they are taken, with their columns."""
     decided = copies(docs, id_col, text_col, source_col, seed).where("copies > 0")
-    decided = decided.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("size").alias("_size"), "copies")
-    decided = decided.withColumnRenamed("copies", "_copies")
-    rows = docs.withColumns(
-        {"_key": source_key(F.col(source_col)), "_size": word_count(F.col(text_col).cast("string"))}
-    ).withColumn("_id", F.col(id_col))
-    same = rows["_id"].eqNullSafe(decided["_id"]) & (rows["_key"] == decided["_key"]) & (rows["_size"] == decided["_size"])
-    joined = rows.join(decided, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return joined.select(*[rows[c] for c in docs.columns])
+    x = free(docs)
+    decided = decided.select(F.struct("id", "key", "size", "copies").alias(f"{x}decided"))
+    own = F.struct(F.col(id_col).alias("id"), source_key(F.col(source_col)).alias("key"), word_count(F.col(text_col).cast("string")).alias("size"))
+    same = F.col(f"{x}own.id").eqNullSafe(F.col(f"{x}decided.id"))
+    same &= (F.col(f"{x}own.key") == F.col(f"{x}decided.key")) & (F.col(f"{x}own.size") == F.col(f"{x}decided.size"))
+    joined = docs.withColumn(f"{x}own", own).join(decided, same)
+    joined = joined.withColumn(f"{x}copy", F.explode(F.sequence(F.lit(1), F.col(f"{x}decided.copies"))))
+    return joined.drop(f"{x}own", f"{x}decided", f"{x}copy")

@@ -30,6 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdikt.llm.rows import free
 from verdikt.llm.store import stored
 
 #: Rounds of drawing again; each leaves a vanishing share of the last.
@@ -282,30 +283,30 @@ def _distinct(found: DataFrame, key: str) -> DataFrame:
 
 def replaced(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with surrogates in its text, and ``n_entities``."""
-    text = F.col(text_col)
-    rows = docs.withColumn("_found", entities(text))
-    forms = rows.where(F.size("_found") > 0).select(F.explode("_found").alias("entity")).select(canonical(F.col("entity")).alias("form"))
+    text, x = F.col(text_col), free(docs)
+    seen, tries, mark = f"{x}found", f"{x}again", f"{x}mark"
+    rows = docs.withColumn(seen, entities(text))
+    forms = rows.where(F.size(seen) > 0).select(F.explode(seen).alias("entity")).select(canonical(F.col("entity")).alias("form"))
     again = stored(_distinct(forms, key).where("attempt > 0").select("form", "attempt"), "again")
     if again.isEmpty():
-        rows = rows.withColumn("_again", F.lit(None).cast("map<string,int>"))
+        rows = rows.withColumn(tries, F.lit(None).cast("map<string,int>"))
     else:
         # Texts that hold such an entity get its attempt by the text's hash.
-        rows = rows.withColumn("_mark", F.when(F.size("_found") > 0, F.xxhash64(text)))
-        held = rows.where(F.size("_found") > 0).select("_mark", F.explode("_found").alias("entity"))
-        held = held.select("_mark", canonical(F.col("entity")).alias("form")).distinct().join(again, "form")
-        held = held.groupBy("_mark").agg(F.map_from_entries(F.collect_list(F.struct("form", "attempt"))).alias("_again"))
-        rows = rows.join(held, "_mark", "left").drop("_mark")
+        rows = rows.withColumn(mark, F.when(F.size(seen) > 0, F.xxhash64(text)))
+        held = rows.where(F.size(seen) > 0).select(mark, F.explode(seen).alias("entity"))
+        held = held.select(mark, canonical(F.col("entity")).alias("form")).distinct().join(again, "form")
+        held = held.groupBy(mark).agg(F.map_from_entries(F.collect_list(F.struct("form", "attempt"))).alias(tries))
+        rows = rows.join(held, mark, "left").drop(mark)
 
     def made(entity: Column) -> Column:
         def laid(form: Column) -> Column:
-            attempt = F.coalesce(F.element_at(F.col("_again"), form), F.lit(0))
+            attempt = F.coalesce(F.element_at(F.col(tries), form), F.lit(0))
             return _let(surrogate(form, attempt, key), lambda other: _laid_out(entity, other))
 
         return _let(canonical(entity), laid)
 
     gaps = F.split(text, ANY, -1)
-    pieces = F.zip_with(gaps, F.transform("_found", made), lambda g, s: F.concat(g, F.coalesce(s, F.lit(""))))
-    whole = F.when(F.size("_found") > 0, F.array_join(pieces, "")).otherwise(text)
-    return rows.withColumns({text_col: whole, "n_entities": F.size("_found")}).select(
-        *[c for c in docs.columns if c != "n_entities"], F.when(text.isNull(), F.lit(0)).otherwise(F.col("n_entities")).alias("n_entities")
-    )
+    pieces = F.zip_with(gaps, F.transform(seen, made), lambda g, s: F.concat(g, F.coalesce(s, F.lit(""))))
+    whole = F.when(F.size(seen) > 0, F.array_join(pieces, "")).otherwise(text)
+    counted = F.when(text.isNull(), F.lit(0)).otherwise(F.size(seen))
+    return rows.withColumn(text_col, whole).drop("n_entities").withColumn("n_entities", counted).drop(seen, tries)

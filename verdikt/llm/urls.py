@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdikt.llm.rows import free
+
 TRIE_RULES = 200_000
 #: What a url that no rule fits gets.
 DEFAULT = "allow"
@@ -98,7 +100,7 @@ def _cleaned(rules: DataFrame) -> DataFrame:
     return rows.groupBy("host", "path").agg(F.max("action").alias("action"))
 
 
-def _by_trie(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def _by_trie(urls: DataFrame, rules: DataFrame, into: str) -> DataFrame:
     made = Trie(tuple(r) for r in rules.select("host", "path", "action").toLocalIterator())
     trie = urls.sparkSession.sparkContext.broadcast(made)
 
@@ -107,10 +109,10 @@ def _by_trie(urls: DataFrame, rules: DataFrame) -> DataFrame:
         found = [trie.value.find(h, p) or (None, None) for h, p in zip(hosts, paths, strict=True)]
         return pd.DataFrame(found, columns=["rule", "action"], dtype=object)
 
-    return urls.withColumn("_found", find("host", "path"))
+    return urls.withColumn(into, find("host", "path"))
 
 
-def _by_join(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def _by_join(urls: DataFrame, rules: DataFrame, into: str) -> DataFrame:
     """The same by joins on each url's host suffixes and path beginnings.
 
     Only path beginnings of lengths that rules have are tried, and each
@@ -129,7 +131,7 @@ def _by_join(urls: DataFrame, rules: DataFrame) -> DataFrame:
     best = F.max_by(
         F.struct(F.concat("_host", "_path").alias("rule"), "action"), F.struct(F.length("_host"), F.length("_path"))
     )
-    found = tried.join(known, ["_host", "_path"]).groupBy("host", "path").agg(best.alias("_found"))
+    found = tried.join(known, ["_host", "_path"]).groupBy("host", "path").agg(best.alias(into))
     return urls.join(found, ["host", "path"], "left")
 
 
@@ -142,6 +144,7 @@ def judged(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: st
     urls = pages.withColumns({"host": host, "path": path})
     rules = _cleaned(rules)
     few = rules.limit(trie_rules + 1).count() <= trie_rules
-    found = (_by_trie if few else _by_join)(urls, rules)
-    added = {"rule": F.col("_found.rule"), "verdict": F.coalesce("_found.action", F.lit(default))}
-    return found.withColumns(added).drop("_found")
+    match = free(pages) + "match"
+    found = (_by_trie if few else _by_join)(urls, rules, match)
+    added = {"rule": F.col(f"{match}.rule"), "verdict": F.coalesce(F.col(f"{match}.action"), F.lit(default))}
+    return found.withColumns(added).drop(match)
