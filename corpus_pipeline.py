@@ -25,8 +25,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts of which a twentieth or more is in benchmark windows go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    keyed = docs.withColumn("_key", row_key("doc_id", "text"))
-    found = decontaminate.contamination(keyed, items, id_col="_key")
+    keyed = docs.select(row_key("doc_id", "text").alias("key"), "text")
+    found = decontaminate.contamination(keyed, items, id_col="key")
     return without(docs, found.where(decontaminate.is_contaminated()).withColumnRenamed("id", "key"), "doc_id", "text")
 
 
