@@ -1,7 +1,9 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from verdikt.llm import decontaminate as d
@@ -78,6 +80,34 @@ def test_chunks_do_not_matter(spark, monkeypatch):
     assert got(d.contamination(left, right)) == brute(docs, items)
 
 
+def judged(docs, items, slop=0):
+    """The same without Spark: one segment, one block of windows."""
+    ids, texts = zip(*docs, strict=True)
+    row = d._segment(pa.array(texts, pa.string()), None) | {"ids": list(ids)}
+    keys, parts = zip(*items, strict=True)
+    windows = d.Windows(list(keys), pa.array(parts, pa.string()), d.WINDOW)
+    return sorted(((k, n, h, tuple(sorted(x))) for k, n, h, _, x in d._judged(row, windows, slop)), key=str)
+
+
+@pytest.mark.parametrize("postings", [1, 7, 1 << 20])
+def test_slices_do_not_matter(monkeypatch, postings):
+    docs, items = cases()
+    monkeypatch.setattr(d, "SLICE", postings)
+    docs = [(k, t if k != 4 else t[:600]) for k, t in docs]
+    assert judged(docs, items) == brute(docs, items)
+
+
+def test_repeated_words_in_bounded_memory():
+    """A text of two million bytes and an item of one word each."""
+    n = 1_000_000
+    tracemalloc.start()
+    found = judged([(1, "a " * n), (2, "a " * 12), (3, "b")], [(k, "a " * 400) for k in range(3)] + [(9, "A b " * 200)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(1, n, n, (0, 1, 2)), (2, 12, 0, ()), (3, 1, 0, ())]
+    assert peak < 500e6
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b")], "item_id string, text string")

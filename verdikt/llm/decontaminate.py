@@ -11,7 +11,8 @@ is shuffled and a phrase that many documents share is no hot key.
 Defined results: null text and text without words have no words and are never
 hit; a benchmark item without words has no window; repeated documents are
 judged one by one; repeated items count once per item id, of which
-a null is one (named last). Other columns of the
+a null is one (named last). Words that repeat without end, in a text and in an
+item, take no more memory than others. Other columns of the
 inputs are ignored, whatever their names. Empty tables give empty results, an
 empty benchmark gives documents without hits.
 """
@@ -36,6 +37,8 @@ WINDOW = 13
 #: Benchmark words sent to every executor at a time: 16 MB of hashes at most
 #: (one item, if that is longer). More items are searched block after block.
 BLOCK_WORDS = 1 << 20
+#: Postings that are intersected at a time: some 100 MB of helper arrays.
+SLICE = 1 << 20
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -107,17 +110,31 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, terms: np.ndarray |
 
 
 class Windows:
-    """The windows of a block of items: hashes in a row, and where each starts."""
+    """The different windows of a block of items: hashes of all words in a row,
+    where each window starts, and the items that have it.
+
+    A window that stands many times, in one item or in several, is searched once.
+    """
 
     def __init__(self, ids: list, column: pa.Array, width: int) -> None:
         self.words, bounds = _tokens(column)
         self.ids = ids
         sizes = np.diff(bounds)
         number = np.where(sizes > 0, np.maximum(sizes - width + 1, 1), 0)
-        self.item = np.repeat(np.arange(len(ids)), number)
+        item = np.repeat(np.arange(len(ids)), number)
         inside = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
-        self.start = bounds[:-1][self.item] + inside
-        self.length = np.minimum(sizes, width)[self.item]
+        start = bounds[:-1][item] + inside
+        length = np.minimum(sizes, width)[item]
+        mark = length.astype(np.uint64)
+        for k in range(width):
+            own = k < length
+            mark[own] = tx.mixed(mark[own] ^ self.words[start[own] + k])
+        _, first, same = np.unique(mark, return_index=True, return_inverse=True)
+        self.start, self.length = start[first], length[first]
+        # Items of window k: self.items[self.bounds[k] : self.bounds[k + 1]].
+        pairs = np.unique(np.stack([same.reshape(-1), item]), axis=1)
+        self.items = pairs[1]
+        self.bounds = np.searchsorted(pairs[0], np.arange(len(first) + 1))
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, width: int, block_words: int) -> list:
@@ -144,74 +161,81 @@ def vocabulary(blocks: list) -> np.ndarray:
     return np.unique(np.concatenate([b.value.words for b in blocks] or [np.empty(0, np.uint64)]))
 
 
-def _found(row: dict, windows: Windows, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Window number, first and last word of each occurrence in a segment."""
+def _found(row: dict, windows: Windows, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Window number, first and last word of each occurrence in a segment.
+
+    Occurrences come in slices: the rarest terms' postings are laid end to end
+    over all windows, and SLICE of them are taken at a time.
+    """
     terms = np.frombuffer(row["terms"], np.uint64)
     firsts = np.frombuffer(row["firsts"], np.uint32).astype(np.int64)
     positions = np.frombuffer(row["positions"], np.uint32).astype(np.int64)
     bounds = np.frombuffer(row["bounds"], np.uint32).astype(np.int64)
-    none = np.empty(0, np.int64)
     total = int(bounds[-1]) + 1
     if not len(terms) or not len(windows.start):
-        return none, none, none
+        return
     term = np.searchsorted(terms, windows.words)
     term[term == len(terms)] = 0
     absent = np.r_[0, np.cumsum(terms[term] != windows.words)]
     number = np.flatnonzero(absent[windows.start + windows.length] == absent[windows.start])
     lists = np.repeat(np.arange(len(terms)), np.diff(firsts)) * total + positions  # sorted
-    found = []
     for width in np.unique(windows.length[number]):
         own = number[windows.length[number] == width]
         term_at = term[windows.start[own][:, None] + np.arange(width)]
-        frequency = firsts[term_at + 1] - firsts[term_at]
-        order = np.argsort(frequency, axis=1, kind="stable")  # rarest first
+        order = np.argsort(firsts[term_at + 1] - firsts[term_at], axis=1, kind="stable")  # rarest first
         rare = np.take_along_axis(term_at, order[:, :1], 1)[:, 0]
-        many = firsts[rare + 1] - firsts[rare]
-        window = np.repeat(np.arange(len(own)), many)
-        inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        start = positions[firsts[rare][window] + inside] - order[window, 0]
-        window, start = window[start >= 0], start[start >= 0]
-        low = high = start + order[window, 0]
-        for step in range(1, int(width)):
-            place = order[window, step]
-            base = term_at[window, place] * total
-            wanted = start + place
-            at = np.searchsorted(lists, base + np.maximum(wanted - slop, 0))
-            at[at == len(lists)] = len(lists) - 1
-            seen = lists[at] - base
-            fits = (seen >= wanted - slop) & (seen <= np.minimum(wanted + slop, total - 1)) & (seen >= 0)
-            window, start, seen = window[fits], start[fits], seen[fits]
-            low, high = np.minimum(low[fits], seen), np.maximum(high[fits], seen)
-        doc = np.searchsorted(bounds, low, "right")
-        same = doc == np.searchsorted(bounds, high, "right")
-        found.append((own[window[same]], low[same], high[same]))
-    if not found:
-        return none, none, none
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        ends = np.cumsum(firsts[rare + 1] - firsts[rare])
+        for begin in range(0, int(ends[-1]), SLICE):
+            posting = np.arange(begin, min(begin + SLICE, int(ends[-1])))
+            window = np.searchsorted(ends, posting, "right")
+            # Counted from its window's end, a posting is as far from its list's end.
+            start = positions[firsts[rare[window] + 1] - (ends[window] - posting)] - order[window, 0]
+            window, start = window[start >= 0], start[start >= 0]
+            low = high = start + order[window, 0]
+            for step in range(1, int(width)):
+                place = order[window, step]
+                base = term_at[window, place] * total
+                wanted = start + place
+                at = np.searchsorted(lists, base + np.maximum(wanted - slop, 0))
+                at[at == len(lists)] = len(lists) - 1
+                seen = lists[at] - base
+                fits = (seen >= wanted - slop) & (seen <= np.minimum(wanted + slop, total - 1)) & (seen >= 0)
+                window, start, seen = window[fits], start[fits], seen[fits]
+                low, high = np.minimum(low[fits], seen), np.maximum(high[fits], seen)
+            doc = np.searchsorted(bounds, low, "right")
+            same = doc == np.searchsorted(bounds, high, "right")
+            yield own[window[same]], low[same], high[same]
 
 
 def _judged(row: dict, windows: Windows, slop: int) -> Iterator[tuple]:
-    """Per document of a segment: words, joined hit spans, items found."""
+    """Per document of a segment: words, joined hit spans, items found.
+
+    Of a slice's occurrences only the span ends, added up per word, and the
+    different pairs of document and window are kept.
+    """
     bounds = np.frombuffer(row["bounds"], np.uint32).astype(np.int64)
-    window, low, high = _found(row, windows, slop)
     change = np.zeros(int(bounds[-1]) + 2, np.int64)
-    np.add.at(change, low, 1)
-    np.add.at(change, high + 1, -1)
+    pairs, fresh = np.empty(0, np.int64), []
+    for window, low, high in _found(row, windows, slop):
+        np.add.at(change, low, 1)
+        np.add.at(change, high + 1, -1)
+        doc = np.searchsorted(bounds, low, "right") - 1
+        fresh.append(np.unique(doc * len(windows.start) + window))
+        if sum(map(len, fresh)) > SLICE:
+            pairs, fresh = np.unique(np.concatenate([pairs, *fresh])), []
+    pairs = np.unique(np.concatenate([pairs, *fresh]))
     hit = np.cumsum(change)[:-1] > 0
     hits = np.r_[0, np.cumsum(hit)]
-    spans: dict[int, list] = {}
-    items: dict[int, set] = {}
-    if len(low):
-        doc = np.searchsorted(bounds, low, "right") - 1
-        pairs = np.unique(np.stack([doc, windows.item[window]]), axis=1)
-        for d, i in pairs.T:
-            items.setdefault(int(d), set()).add(windows.ids[i])
-        for d in np.unique(doc):
-            own = hit[bounds[d] : bounds[d + 1]].astype(np.int8)
-            turn = np.flatnonzero(np.diff(np.r_[0, own, 0]))
-            spans[int(d)] = [[int(a), int(b)] for a, b in turn.reshape(-1, 2)]
+    doc, window = np.divmod(pairs, max(len(windows.start), 1))
+    ends = np.searchsorted(doc, np.arange(len(bounds)))
     for d, key in enumerate(row["ids"]):
-        yield key, int(bounds[d + 1] - bounds[d]), int(hits[bounds[d + 1]] - hits[bounds[d]]), spans.get(d, []), items.get(d, set())
+        items: set = set()
+        for w in window[ends[d] : ends[d + 1]]:
+            items.update(windows.items[windows.bounds[w] : windows.bounds[w + 1]].tolist())
+        own = hit[bounds[d] : bounds[d + 1]].astype(np.int8)
+        turn = np.flatnonzero(np.diff(np.r_[0, own, 0])) if items else np.empty(0, np.int64)
+        spans = [[int(a), int(b)] for a, b in turn.reshape(-1, 2)]
+        yield key, int(bounds[d + 1] - bounds[d]), int(hits[bounds[d + 1]] - hits[bounds[d]]), spans, {windows.ids[i] for i in items}
 
 
 def search(segments: DataFrame, blocks: list, item_type: T.DataType, slop: int = 0) -> DataFrame:
