@@ -13,6 +13,7 @@ import sys
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.cloudpickle import register_pickle_by_value
@@ -30,6 +31,8 @@ EMITTED = ["clean", "fenced", "embedded", "tool-envelope"]
 ENVELOPE_KEYS = ["input", "arguments", "parameters", "tool_input"]
 # Stop looking for a longer fragment beyond this share of the text.
 ENOUGH = 0.6
+# Places that are looked at one by one before tables are built.
+NEARBY = 64
 
 FENCED = rf"(?s)```(?:json|JSON)?[{SPACE_CLASS}]*(.*?)```"
 END_MARK = "~~end of answer~~"
@@ -37,8 +40,9 @@ END_MARK = "~~end of answer~~"
 
 _names = "|".join(sorted(SHOWN_FIELDS.union(*SHOWN_MEMBERS.values())))
 #: A number or container where a text is wanted, a number too long for a
-#: VARIANT, or a key that may be one of those in other letters.
-ODD = rf'"(?:{_names})"[ \t\n\r]*+:[ \t\n\r]*+[-0-9\[{{]|[0-9]{{19}}|\\u00[4-7]'
+#: VARIANT, or a key that may be one of those in other letters. Most characters
+#: begin none of these and are passed over by the first test.
+ODD = rf'(?=["0-9\\])(?:"(?:{_names})"[ \t\n\r]*+:[ \t\n\r]*+[-0-9\[{{]|[0-9]{{19}}|\\u00[4-7])'
 
 
 def parse_exactly(text: Column) -> Column:
@@ -89,17 +93,24 @@ class _Longest:
     place on: tables of maxima over spans of 1, 2, 4 ... numbers."""
 
     def __init__(self, numbers: list[int]):
-        self.levels = [numbers]
-        while 2 * len(self.levels[-1]) > len(numbers) and len(numbers) >= 2 ** len(self.levels):
-            last, half = self.levels[-1], 2 ** (len(self.levels) - 1)
-            self.levels.append([max(a, b) for a, b in zip(last, last[half:], strict=False)])
-        self.ahead, best = [0] * (len(numbers) + 1), 0
-        for i in range(len(numbers) - 1, -1, -1):
-            self.ahead[i] = best = max(best, numbers[i])
+        self.numbers = numbers
+        self.ahead = list(accumulate(reversed(numbers), max, initial=0))
+        self.ahead.reverse()
+
+    @cached_property
+    def levels(self) -> list[list[int]]:
+        numbers, levels = self.numbers, [self.numbers]
+        while 2 * len(levels[-1]) > len(numbers) and len(numbers) >= 2 ** len(levels):
+            last, half = levels[-1], 2 ** (len(levels) - 1)
+            levels.append([max(a, b) for a, b in zip(last, last[half:], strict=False)])
+        return levels
 
     def first_over(self, i: int, limit: float) -> int:
         """The first place from ``i`` on whose number is over ``limit``, which
-        has to be below ``ahead[i]``."""
+        has to be below ``ahead[i]``. Nearby ones are found without the tables."""
+        for place in range(i, min(i + NEARBY, len(self.numbers))):
+            if self.numbers[place] > limit:
+                return place
         for level in range(len(self.levels) - 1, -1, -1):
             maxima = self.levels[level]
             while i < len(maxima) and maxima[i] <= limit:
@@ -114,11 +125,12 @@ class _Residue:
     def __init__(self, text: str):
         self.text = text
         self.json = Json(text)
-        self.fences = [m.start() for m in re.finditer("(?=```)", text)]
+        self.fences = [m.start() for m in re.finditer("(?=```)", text)] if "```" in text else []
         self.fenced: dict[int, tuple[int, int] | None] = {}
-        self.envelopes = {
-            key: [m.span() for m in re.finditer(rf'"{key}"\s*:\s*\{{', text)] for key in ENVELOPE_KEYS
-        }
+
+    @cached_property
+    def envelopes(self) -> dict[str, list[tuple[int, int]]]:
+        return {key: [m.span() for m in re.finditer(rf'"{key}"\s*:\s*\{{', self.text)] for key in ENVELOPE_KEYS}
 
     @cached_property
     def _braces(self) -> tuple[list[int], list[int]]:
@@ -144,6 +156,10 @@ class _Residue:
 
     def _fragment_span(self, begin: int) -> tuple[int, int] | None:
         """The first fragment that is long enough, else the longest."""
+        # An object from the first brace to the last one is both.
+        first, last = self.text.find("{", begin), self.text.rfind("}")
+        if 0 <= first < last and self.json.end(first) == last + 1:
+            return first, last + 1
         i = bisect_left(self.marks, begin)
         longest = self._lengths.ahead[i]
         if not longest:
@@ -151,7 +167,7 @@ class _Residue:
         enough = (len(self.text) - begin) * ENOUGH
         i = self._lengths.first_over(i, min(enough, longest - 1))
         at = self.marks[i]
-        return at, at + self._lengths.levels[0][i]
+        return at, at + self._lengths.numbers[i]
 
     def _fragment(self, begin: int) -> str | None:
         span = self._fragment_span(begin)
@@ -219,7 +235,7 @@ class _Residue:
                 continue
             seen.add(begin)
             span, mode = self.direct(begin)
-            if span is not None and next(self.json.members(span[0]), None):
+            if span is not None and self.json.has_members(span[0]):
                 return span, "tool-envelope"
             if mode is None:
                 stack.extend(self._next_envelope(key, begin) for key in reversed(ENVELOPE_KEYS))
