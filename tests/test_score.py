@@ -1,8 +1,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from verdikt.functions import filler
+from verdikt.functions.variants import truthy
 from verdikt.operators.score import WEIGHTS, score
 
 EMPTY = {
@@ -176,3 +178,24 @@ def test_rollups_render_no_notes(spark):
     texts = ["missing/empty", "wrongtype", "item:", "enum:", "filler:", "array:", "thin-ac", "bad-paths"]
     assert not [t for t in texts if t in plan("scores_by_task")]
     assert all(t in plan("score_answers") for t in texts)
+
+
+def test_truth_of_values_needs_no_path_that_leads_nowhere(spark):
+    values = {
+        '""': False, '"a"': True, '"0"': True, '"long text"': True, "0": False, "-0.0": False, "0e7": False, "0.5": True,
+        "[]": False, "[0]": True, "[null]": True, "[[],[]]": True, "{}": False, '{"a":0}': True, "null": False,
+        "true": True, "false": False,
+    }
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "json string").withColumn("v", F.parse_json("json"))
+    rows = df.select("json", truthy(F.col("v")).alias("a"), truthy(F.col("v"), often_list=True).alias("b")).collect()
+    assert {r.json: r.a for r in rows} == values | {None: False}
+    assert all(r.a == r.b for r in rows)
+    assert "$[0]" not in str(truthy(F.col("v")))
+
+
+def test_texts_without_padding_are_searched_few_times(spark):
+    assert filler._may_match_any("low").count("contains(low") < 25
+    texts = [f"so {n} it" for n in sum(filler.NEEDLES, []) + filler.FOLDING]
+    df = spark.createDataFrame([(t,) for t in [*texts, "plain < text", "verify this", "\u00e9\u00e8"]], "low string")
+    found = {r.low for r in df.where(F.expr(filler._may_match_any("low"))).collect()}
+    assert found == set(texts)

@@ -55,15 +55,21 @@ def kind_of(schema: str) -> Column:
     )
 
 
-def truthy(value: Column) -> Column:
+def truthy(value: Column, often_list: bool = False) -> Column:
     """Python truth of a JSON value; a missing value is false.
 
-    A list with a first member and any text over five characters are settled
-    without serializing the value; all false values have shorter texts.
+    All false values have texts of at most five characters, and a short text is
+    false only if it is empty, so that few values are serialized. Where lists
+    are to be expected, a first member settles them; on other values that look
+    is slow, because a path that leads nowhere is an exception inside Spark.
     """
-    first = F.try_variant_get(value, "$[0]", "variant")
+    text = as_string(value)
+    long = F.length(text) > 5
+    if often_list:
+        long = F.try_variant_get(value, "$[0]", "variant").isNotNull() | long
     return (
         F.when(value.isNull(), F.lit(False))
-        .when(first.isNotNull() | (F.length(as_string(value)) > 5), F.lit(True))
+        .when(long, F.lit(True))
+        .when(is_string(value), text != "")
         .otherwise(~F.to_json(value).rlike(FALSY))
     )

@@ -23,6 +23,7 @@ from verdikt.operators.contracts import (
     MAX_ITEM_NAMES,
     choice_rule,
     choice_slot,
+    holds_lists,
     is_item_slot,
     item_choice,
     item_list,
@@ -98,7 +99,7 @@ def inspect_answer(df: DataFrame) -> DataFrame:
     walked = F.when(is_string(item_value), F.length(as_string(item_value))).otherwise(key_count(as_object(item_value)))
     columns["members"] = F.coalesce(F.col("_items"), F.array_repeat(none, F.coalesce(walked, F.lit(0))))
     # ``str()`` of the values that should be texts and are not.
-    columns["_odd_texts"] = F.transform(F.array(*odd_texts), python_repr)
+    columns["_odd_texts"] = F.when(F.coalesce(*odd_texts).isNotNull(), F.transform(F.array(*odd_texts), python_repr))
     df = df.withColumns(columns)
     texts = {f"_text{i}": F.coalesce(_slot("text", i), shown_at(rule(i, "name")), F.get("_odd_texts", F.lit(i))) for i in SLOTS}
     return df.withColumns(texts)
@@ -178,8 +179,13 @@ def check_masks() -> dict[str, Column]:
     applies = _bits([c[0] for c in checks])
     passes = _bits([F.coalesce(c[0], F.lit(False)) & c[1] for c in checks])
 
+    def held(m: Column, name: Column, k: int) -> Column:
+        value, listed = F.element_at(m, name), holds_lists(k)
+        plain = truthy(value)
+        return plain if listed is None else F.when(listed, truthy(value, often_list=True)).otherwise(plain)
+
     def keys_held(m: Column) -> Column:
-        return _bits([truthy(F.element_at(m, name)) for name in item_name_slots()])
+        return _bits([held(m, name, k) for k, name in enumerate(item_name_slots())])
 
     items = F.transform("members", lambda m: F.when(m.isNull(), F.lit(-1).cast("long")).otherwise(keys_held(m)))
     kind, allowed = _choice("kind"), choice_rule()[1]

@@ -130,6 +130,9 @@ SHOWN_MEMBERS = {
     c.item_list: frozenset(r.name for r in c.items if r.allowed or r.name == "detail") for c in CONTRACTS.values() if c.item_list
 }
 
+#: Keys of list members that hold lists themselves.
+LISTS = ["cases"]
+
 MAX_FIELDS = max(len(c.fields) for c in CONTRACTS.values())
 MAX_ITEM_NAMES = max(len(c.items) for c in CONTRACTS.values())
 
@@ -229,6 +232,13 @@ def item_name_slots() -> list[Column]:
     return [_by_task({t: n[k] for t, n in tasks.items() if k < len(n)}, "string") for k in range(MAX_ITEM_NAMES)]
 
 
+def holds_lists(k: int) -> Column | None:
+    """Whether the ``k``-th key of the row's list members should be a list; None
+    if that holds for no task."""
+    tasks = [t for t, c in CONTRACTS.items() if k < len(c.items) and c.items[k].name in LISTS]
+    return F.col("task").isin(tasks) if tasks else None
+
+
 def item_choice(part: str, sql_type: str) -> Column:
     """Name or value set of the one key with a value set in each member."""
     values = {}

@@ -191,7 +191,7 @@ def qe(suites: Column, cases: Column) -> Result:
             lambda same: same,
         )
     )
-    traced = _count(cases, lambda c: truthy(F.element_at(c, "covers_ac")))
+    traced = _count(cases, lambda c: truthy(F.element_at(c, "covers_ac"), often_list=True))
     ranked = _count(
         cases,
         lambda c: F.coalesce(
