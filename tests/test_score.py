@@ -202,3 +202,64 @@ def test_texts_without_padding_are_searched_few_times(spark):
     df = spark.createDataFrame([(t,) for t in [*texts, "plain < text", "verify this", "\u00e9\u00e8"]], "low string")
     found = {r.low for r in df.where(F.expr(filler._may_match_any("low"))).collect()}
     assert found == set(texts)
+
+
+PLANS = [
+    '{"suites":[{"category":"happy","cases":[{"id":"TC-001","steps":[{"action":"a","expected":"b"},null],"covers_ac":["x"],"priority":"P1"},null]},null]}',
+    '{"suites":[{"cases":[{"id":1,"steps":"ab","covers_ac":"x","priority":["P1"]},3]},"x"]}',
+    '{"suites":[{"cases":[{"id":"TC-001","steps":{"a":1},"covers_ac":{},"priority":"P9"},{"id":"TC-002","steps":5}]}]}',
+    '{"suites":[{"cases":"none"},{"cases":[{"id":"TC-001","steps":[],"covers_ac":0,"priority":null}]}]}',
+    '{"suites":[{"cases":null},{}]}',
+    '{"suites":"text"}',
+    '{"suites":[{"cases":[{"id":"TC-001","steps":[{"action":0,"expected":[0]},{"action":true,"expected":{"a":1}}]}]}]}',
+]
+
+
+def test_plans_read_in_one_pass_score_as_taken_apart(spark):
+    from verdikt.operators import rigor
+    from verdikt.operators.extract import extract_json
+
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(PLANS)], "i int, raw string")
+    found = extract_json(df).withColumn("_items", F.expr("try_variant_get(answer, '$[0].suites', 'array<map<string,variant>>')"))
+    found = found.withColumn("objects", F.filter("_items", lambda m: m.isNotNull()))
+
+    def counted(doc):
+        cases = found.withColumn("cases", rigor.qe_cases(F.col("objects"), doc)).withColumn("t", rigor.step_counts(F.col("cases")))
+        return {r.i: r[1:] for r in cases.select("i", F.to_json("cases"), "t").collect()}
+
+    # What cannot be read as a plan is taken apart from its VARIANT.
+    assert counted(F.col("doc")) == counted(F.lit('{"suites":1}'))
+    got = [r.notes for r in scored(spark, [("qe", p) for p in PLANS])]
+    assert "unpaired-steps:1" in got[0] and "unpaired-steps:2" in got[1] and "unpaired-steps:1" in got[2]
+    assert "no-cases" in got[4] and "no-cases" in got[5] and "ids-not-contiguous" not in got[3]
+    assert "unpaired-steps:1" in got[6]
+
+
+def test_no_fused_step_of_the_scorer_is_too_long_to_be_compiled(spark):
+    from verdikt.operators import rollup
+
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before = {name: spark.conf.get(name) for name in ("spark.sql.adaptive.enabled", limit)}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set(limit, "65535")
+        rows = spark.range(1).selectExpr("'r' AS run", "'s' AS slice", "'plan' AS task", "cast(id AS string) AS raw")
+        plan = rollup.task_sums(score(rows))._jdf.queryExecution()
+        text = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(plan, "codegen")
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert len(sizes) >= 4 and max(sizes) < 8000, sizes
+
+
+def test_odd_values_are_found_from_their_colon(spark):
+    from verdikt.operators.extract import is_odd
+
+    texts = {
+        '{"title":1}': True, '{"title" \n: [1]}': True, '{"title"        :-1}': True, '{"severity":{"a":"b"}}': True,
+        '{"x":1234567890123456789}': True, '{"\\u0074itle":1}': True, '{"title":"1"}': False, '{"title":null}': False,
+        '{"x":1,"y":[2],"z" : {"a":"b"}}': False, '{"x":"\\u00e9"}': False, '{"x":123456789012345678}': False,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert {r.text: r.odd for r in df.withColumn("odd", is_odd(F.col("text"))).collect()} == texts

@@ -45,6 +45,17 @@ NEEDLES = [
     ["[insert", "[add", "[todo", "[placeholder"],
     ["example.com/"],
 ]
+# For needles that begin with a frequent letter, a part of them that does not:
+# where a search meets the first letter, it stops to compare.
+PARTS = {
+    "tbd": "bd",
+    "fixme": "xme",
+    "lorem ipsum": "m ipsum",
+    "your code here": "ur code here",
+    "coming soon": "g soon",
+    "same as above": "me as above",
+    "example.com/": "xample.com/",
+}
 # Begins that several needles share.
 BEGINS = ["<", "verify "]
 # Letters that fold onto "s" and "i" when case is ignored.
@@ -99,6 +110,7 @@ def _may_match_any(low: str) -> str:
         begun = [n for n in needles if n.startswith(begin)]
         needles = [n for n in needles if n not in begun]
         parts.append(f"(contains({low}, {_literal(begin)}) AND {_contains_any(low, begun)})")
+    needles = [PARTS.get(n, n) for n in needles]
     return f"({_contains_any(low, needles)} OR " + " OR ".join(parts) + ")"
 
 

@@ -58,18 +58,15 @@ def kind_of(schema: str) -> Column:
 def truthy(value: Column, often_list: bool = False) -> Column:
     """Python truth of a JSON value; a missing value is false.
 
-    All false values have texts of at most five characters, and a short text is
-    false only if it is empty, so that few values are serialized. Where lists
-    are to be expected, a first member settles them; on other values that look
-    is slow, because a path that leads nowhere is an exception inside Spark.
+    Most values are texts, and those are told by their kind alone. All false
+    values have texts of at most five characters, so that few others are
+    serialized. Where lists are to be expected, a first member settles them; on
+    other values that look is slow, because a path that leads nowhere is an
+    exception inside Spark.
     """
-    text = as_string(value)
-    long = F.length(text) > 5
+    truth = F.when(value.isNull(), F.lit(False))
     if often_list:
-        long = F.try_variant_get(value, "$[0]", "variant").isNotNull() | long
-    return (
-        F.when(value.isNull(), F.lit(False))
-        .when(long, F.lit(True))
-        .when(is_string(value), text != "")
-        .otherwise(~F.to_json(value).rlike(FALSY))
-    )
+        truth = truth.when(F.try_variant_get(value, "$[0]", "variant").isNotNull(), F.lit(True))
+    text = as_string(value)
+    truth = truth.when(is_string(value), text != "").when(F.length(text) > 5, F.lit(True))
+    return truth.otherwise(~F.to_json(value).rlike(FALSY))

@@ -58,16 +58,21 @@ def shown_at(path: Column) -> Column:
 def inspect_answer(df: DataFrame) -> DataFrame:
     """Fill the slots, and ``members``: the item list as maps.
 
-    Slot columns: value, list, schema, then kind, n (length), text and typed
-    (whether all list members have the wanted type).
+    Slot columns: value, list, typed (whether all list members have the wanted
+    type), schema, then kind, n (length) and text. Beside them, ``_strings``: the
+    texts that may be padding.
     """
-    df = df.withColumns({"_items": item_objects()} | {f"_list{i}": member_list(i) for i in SLOTS})
+    lists = {f"_list{i}": member_list(i) for i in SLOTS}
+    df = df.withColumns({"_items": item_objects(), "_strings": walked_strings()} | lists)
 
     def listed(i: int) -> Column:
         return _slot("list", i).isNotNull() | (is_item_slot(i) & F.col("_items").isNotNull())
 
-    # Lists are settled; only the other values are taken out and looked at.
-    df = df.withColumns({f"_value{i}": F.when(~listed(i), member_value(i)) for i in SLOTS})
+    # Lists are settled; only the other values are taken out and looked at. The
+    # walk over the lists keeps this step, like the one before, out of the fused
+    # code of the steps below it: beyond 8,000 bytes the JVM would interpret that.
+    typed = {f"_typed{i}": F.when(rule(i, "element") == "str", F.forall(_slot("list", i), is_string)) for i in SLOTS}
+    df = df.withColumns(typed | {f"_value{i}": F.when(~listed(i), member_value(i)) for i in SLOTS})
     schemas = {f"_schema{i}": F.when(listed(i), F.lit("ARRAY")).otherwise(F.schema_of_variant(_slot("value", i))) for i in SLOTS}
     item_value = F.coalesce(*[F.when(is_item_slot(i), _slot("value", i)) for i in SLOTS])
     df = df.withColumns(schemas | {"_item_value": item_value})
@@ -91,7 +96,6 @@ def inspect_answer(df: DataFrame) -> DataFrame:
             .when(schema == "STRING", F.length(as_string(value)))
             .when(schema.startswith("OBJECT"), key_count(as_object(value)))
         )
-        columns[f"_typed{i}"] = F.when(rule(i, "element") == "str", F.forall(_slot("list", i), is_string))
     # A text is walked by character and an object by key, as Python does; a
     # number or boolean, on which Python fails, counts as an empty list.
     none = F.lit(None).cast("map<string,variant>")

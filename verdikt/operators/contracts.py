@@ -147,10 +147,24 @@ def _sql(value) -> str:
     return f"'{value}'" if isinstance(value, str) else str(value)
 
 
+#: Column with the place of the row's task among ``TASKS``. Rules are found by it
+#: in one step; comparing the task's name costs more than many of the checks.
+TASK_PLACE = "_task"
+
+
+def task_place() -> Column:
+    return F.expr("CASE task " + " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(TASKS)) + " END")
+
+
 def _by_task(values: dict, sql_type: str) -> Column:
-    """A small look-up on ``task`` that Spark folds into the plan."""
-    whens = " ".join(f"WHEN '{task}' THEN {_sql(v)}" for task, v in values.items() if v is not None)
-    return F.expr(f"CAST(CASE task {whens} END AS {sql_type})" if whens else f"CAST(null AS {sql_type})")
+    """A small look-up on the row's task, in a list that Spark folds into the plan."""
+    entries = ", ".join(_sql(values.get(task)) for task in TASKS)
+    return F.expr(f"get(CAST(array({entries}) AS array<{sql_type}>), {TASK_PLACE})")
+
+
+def _among(tasks: list[str]) -> Column:
+    """Whether the row's task is one of these."""
+    return F.col(TASK_PLACE).isin([TASKS.index(t) for t in tasks]) if tasks else F.lit(False)
 
 
 RULE_TYPES = {
@@ -186,8 +200,8 @@ def choice_rule() -> tuple[Column, Column]:
 
 
 def _members(names: dict[str, str], sql_type: str) -> Column:
-    whens = " ".join(f"WHEN '{t}' THEN try_variant_get(answer, '$[0].{n}', '{sql_type}')" for t, n in names.items())
-    return F.expr(f"CASE task {whens} END" if whens else f"CAST(null AS {sql_type})")
+    whens = " ".join(f"WHEN {TASKS.index(t)} THEN try_variant_get(answer, '$[0].{n}', '{sql_type}')" for t, n in names.items())
+    return F.expr(f"CASE {TASK_PLACE} {whens} END" if whens else f"CAST(null AS {sql_type})")
 
 
 def _names(i: int, wanted) -> dict[str, str]:
@@ -208,7 +222,7 @@ def member_list(i: int) -> Column:
 def is_item_slot(i: int) -> Column:
     """Whether the ``i``-th field of the row's task is its item list."""
     tasks = list(_names(i, lambda t, r: r.name == CONTRACTS[t].item_list))
-    return F.col("task").isin(tasks) if tasks else F.lit(False)
+    return _among(tasks)
 
 
 def item_objects() -> Column:
@@ -236,7 +250,7 @@ def holds_lists(k: int) -> Column | None:
     """Whether the ``k``-th key of the row's list members should be a list; None
     if that holds for no task."""
     tasks = [t for t, c in CONTRACTS.items() if k < len(c.items) and c.items[k].name in LISTS]
-    return F.col("task").isin(tasks) if tasks else None
+    return _among(tasks) if tasks else None
 
 
 def item_choice(part: str, sql_type: str) -> Column:

@@ -39,10 +39,19 @@ END_MARK = "~~end of answer~~"
 
 
 _names = "|".join(sorted(SHOWN_FIELDS.union(*SHOWN_MEMBERS.values())))
-#: A number or container where a text is wanted, a number too long for a
-#: VARIANT, or a key that may be one of those in other letters. Most characters
-#: begin none of these and are passed over by the first test.
-ODD = rf'(?=["0-9\\])(?:"(?:{_names})"[ \t\n\r]*+:[ \t\n\r]*+[-0-9\[{{]|[0-9]{{19}}|\\u00[4-7])'
+#: A number or container where a text is wanted, found from its colon: few
+#: characters of an answer are one. Behind more white space than a look back
+#: takes, any key counts.
+ODD_VALUE = rf':(?=[ \t\n\r]*+[-0-9\[{{])(?<="(?:{_names})"[ \t\n\r]{{0,4}}:|[ \t\n\r]{{5}}:)'
+#: A number too long for a VARIANT.
+ODD_NUMBER = "[0-9]{19}"
+#: The begin of a key that may be one of those in other letters.
+ESCAPE, ODD_KEY = "\\u00", r"\\u00[4-7]"
+
+
+def is_odd(text: Column) -> Column:
+    """Whether a VARIANT may not show some value as Python does."""
+    return (text.contains(ESCAPE) & text.rlike(ODD_KEY)) | text.rlike(ODD_VALUE) | text.rlike(ODD_NUMBER)
 
 
 def parse_exactly(text: Column) -> Column:
@@ -130,7 +139,7 @@ class _Residue:
 
     @cached_property
     def envelopes(self) -> dict[str, list[tuple[int, int]]]:
-        return {key: [m.span() for m in re.finditer(rf'"{key}"\s*:\s*\{{', self.text)] for key in ENVELOPE_KEYS}
+        return {key: [m.span() for m in re.finditer(rf'"{key}"\s*:\s*\{{', self.text)] if f'"{key}"' in self.text else [] for key in ENVELOPE_KEYS}
 
     @cached_property
     def _braces(self) -> tuple[list[int], list[int]]:
@@ -293,7 +302,7 @@ def extract_json(df: DataFrame, raw: str = "raw") -> DataFrame:
     df = df.withColumn("_whole", F.when(text != "", parse_exactly(text)))
     df = df.withColumn("_body", F.when(~exact & ~may_be_json, first_fence).otherwise(F.lit("")))
     df = df.withColumn("_fence", F.when(F.col("_body").startswith("{"), parse_exactly(F.col("_body"))))
-    settled = (exact | fenced) & ~text.rlike(ODD)
+    settled = (exact | fenced) & ~is_odd(text)
     df = df.withColumn("_found", find_in_text(F.when((text != "") & ~settled, text)))
     df = df.withColumn(
         "_mode",

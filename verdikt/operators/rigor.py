@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from verdikt.functions.text import python_repr, quoted, strip
+from verdikt.functions.text import bind, python_repr, quoted, strip
 from verdikt.functions.variants import as_object, as_objects, as_string, is_string, key_count, truthy
 from verdikt.operators.checks import ratio, shown_at
 from verdikt.operators.contracts import PRIORITY, slot_of
@@ -154,29 +154,49 @@ def _steps_of(case: Column) -> Column:
     return F.coalesce(as_objects(value), by_char, by_key, F.array())
 
 
-def qe_cases(suites: Column) -> Column:
-    """The case objects of all suites, in order."""
+#: A test case as far as checks look, and the answer it stands in. The last field
+#: is filled where any other one has another type.
+STEP = "struct<action: variant, expected: variant>"
+CASE = f"struct<id: variant, steps: array<{STEP}>, covers_ac: variant, priority: variant>"
+PLAN = f"struct<suites: array<struct<cases: array<{CASE}>>>, other string>"
+
+
+def _case(m: Column) -> Column:
+    steps = F.transform(
+        _steps_of(m),
+        lambda x: F.when(x.isNotNull(), F.struct(*[F.element_at(x, k).alias(k) for k in ("action", "expected")])),
+    )
+    id_, covers, priority = (F.element_at(m, k).alias(k) for k in ("id", "covers_ac", "priority"))
+    return F.struct(id_, steps.alias("steps"), covers, priority)
+
+
+def qe_cases(suites: Column, doc: Column) -> Column:
+    """The case objects of all suites, in order.
+
+    The plan is read from its JSON in one pass, each value taken out once. One
+    with a value of another type has its VARIANT members taken apart instead.
+    """
+    none = F.array().cast(f"array<{CASE}>")
     lists = F.transform(suites, lambda s: F.coalesce(as_objects(F.element_at(s, "cases")), F.array()))
-    return F.filter(F.flatten(lists), lambda c: c.isNotNull())
+    objects = F.filter(F.flatten(lists), lambda c: c.isNotNull())
+
+    def cases(read: Column) -> Column:
+        whole = F.flatten(F.transform(read["suites"], lambda s: F.coalesce(s["cases"], none)))
+        regular = F.when(read["other"].isNull(), F.filter(whole, lambda c: c.isNotNull()))
+        return F.coalesce(regular, F.transform(objects, _case))
+
+    return bind(F.from_json(doc, PLAN, {"columnNameOfCorruptRecord": "other"}), cases)
 
 
 def step_counts(cases: Column) -> Column:
     """Over all cases: steps, and steps that pair an action with a result."""
-    steps = F.transform(
-        F.transform(cases, _steps_of),
-        lambda s: F.struct(
-            F.size(s).alias("n"),
-            _count(
-                s,
-                lambda x: x.isNotNull() & truthy(F.element_at(x, "action")) & truthy(F.element_at(x, "expected")),
-            ).alias("paired"),
-        ),
-    )
-    return F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("n"), F.lit(0).alias("paired")),
-        lambda a, s: F.struct((a["n"] + s["n"]).alias("n"), (a["paired"] + s["paired"]).alias("paired")),
-    )
+    none = F.array().cast(f"array<{STEP}>")
+
+    def counts(steps: Column) -> Column:
+        paired = _count(steps, lambda x: x.isNotNull() & truthy(x["action"]) & truthy(x["expected"]))
+        return F.struct(F.size(steps).alias("n"), paired.alias("paired"))
+
+    return bind(F.flatten(F.transform(cases, lambda c: F.coalesce(c["steps"], none))), counts)
 
 
 def qe(suites: Column, cases: Column) -> Result:
@@ -185,17 +205,17 @@ def qe(suites: Column, cases: Column) -> Result:
         F.filter(
             F.transform(
                 cases,
-                lambda c, i: text_of(F.element_at(c, "id"))
+                lambda c, i: text_of(c["id"])
                 == F.concat(F.lit("TC-"), F.when(i < 999, F.lpad((i + 1).cast("string"), 3, "0")).otherwise((i + 1).cast("string"))),
             ),
             lambda same: same,
         )
     )
-    traced = _count(cases, lambda c: truthy(F.element_at(c, "covers_ac"), often_list=True))
+    traced = _count(cases, lambda c: truthy(c["covers_ac"], often_list=True))
     ranked = _count(
         cases,
         lambda c: F.coalesce(
-            is_string(F.element_at(c, "priority")) & as_string(F.element_at(c, "priority")).isin(PRIORITY), F.lit(False)
+            is_string(c["priority"]) & as_string(c["priority"]).isin(PRIORITY), F.lit(False)
         ),
     )
     categories = F.transform(
@@ -259,10 +279,11 @@ def rigor_inputs() -> list[dict[str, Column]]:
     """The member objects, and for test plans the flattened cases and their
     steps; each step's columns build on those before."""
     objects = F.filter("members", lambda m: m.isNotNull())
-    none = F.array().cast("array<map<string,variant>>")
+    none = F.array().cast(f"array<{CASE}>")
+    is_plan = (F.col("task") == "qe") & F.col("answer").isNotNull()
     return [
         {"_objects": objects},
-        {"_cases": F.when(F.col("task") == "qe", qe_cases(F.col("_objects"))).otherwise(none)},
+        {"_cases": F.when(is_plan, qe_cases(F.col("_objects"), F.col("doc"))).otherwise(none)},
         {"_steps": step_counts(F.col("_cases"))},
     ]
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from verdikt.functions import filler
 from verdikt.operators import checks, rigor
-from verdikt.operators.contracts import known_task
+from verdikt.operators.contracts import TASK_PLACE, known_task, task_place
 from verdikt.operators.extract import EMITTED, extract_json
 
 # Fixed values.
@@ -26,10 +26,11 @@ def examine(df: DataFrame, raw: str = "raw") -> DataFrame:
     """
     kept = [c for c in df.columns if c != raw]
     df = df.withColumns({"chars": F.length(F.coalesce(F.col(raw), F.lit(""))), "task": known_task(F.col("task"))})
-    df = checks.inspect_answer(extract_json(df, raw)).withColumn("_low_doc", F.lower("doc"))
+    df = extract_json(df, raw).withColumns({TASK_PLACE: task_place(), "_low_doc": F.lower("doc")})
+    df = checks.inspect_answer(df)
     for step in rigor.rigor_inputs():
         df = df.withColumns(step)
-    df = df.withColumn("_strings", checks.walked_strings()).withColumns(checks.check_masks())
+    df = df.withColumns(checks.check_masks())
     value, notes = rigor.rigor_result()
     return df.select(
         *kept,
