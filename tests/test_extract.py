@@ -3,6 +3,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from verdikt.operators import extract
 from verdikt.operators.extract import _closing_braces, extract_json
@@ -44,6 +45,41 @@ def test_modes(spark):
         assert (json.loads(row.doc) if row.doc else None) == value, raw
 
 
+#: Texts around one object, and whether they have to go to Python.
+AROUND = [
+    ('see {"a":{"b":"}"}} there', "embedded", {"a": {"b": "}"}}),
+    ('\u00e9\U0001f600 {"a":"\U0001f600"} \u00e9', "embedded", {"a": "\U0001f600"}),
+    ("see {} there", "embedded", {}),
+    ('see ```{"a":1}``` there', "fenced", {"a": 1}),
+    ('see ``` {"a":1}', "residue", None),
+    ('see {"a":1} and {"b":2}', "residue", None),
+    ('see {"a":1},{"b":2}', "residue", None),
+    ('see {"a":1}],[{"b":2}', "residue", None),
+    ('see {"a":1,"a":2}', "residue", None),
+    ('see } and {', "residue", None),
+    ('see {"a":1', "residue", None),
+    ('[1] {"a":1}', "residue", None),
+    ("no json", "residue", None),
+]
+
+
+def test_one_object_inside_a_text_is_settled_without_python(spark, monkeypatch):
+    def asked(text):
+        mode = F.when(text.isNotNull(), F.lit("residue"))
+        return F.from_json(F.to_json(F.struct(mode.alias("mode"))), extract.FOUND.simpleString())
+
+    rows = spark.createDataFrame([(i, raw) for i, (raw, _, _) in enumerate(AROUND)], "i int, raw string")
+    whole = {r.i: (r.extract, r.doc) for r in extract_json(rows).select("i", "extract", "doc").collect()}
+    monkeypatch.setattr(extract, "find_in_text", asked)
+    for row in extract_json(rows).select("i", "extract", "doc").collect():
+        raw, mode, value = AROUND[row.i]
+        assert row.extract == mode, raw
+        if mode != "residue":
+            assert json.loads(row.doc) == value, raw
+        # What Python finds in the whole text is what is found here.
+        assert whole[row.i] == extract._find(raw), raw
+
+
 def test_long_text_with_many_escapes(spark):
     text = json.dumps({"a": 'x"\\\n{' * 60_000})
     rows = [(1, text), (2, "see " + text), (3, "{" * 20_000 + text)]

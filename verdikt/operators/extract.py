@@ -1,9 +1,10 @@
 """Find the JSON object inside a free-text answer.
 
-Native first: the strict parse and the first code fence settle nearly every
-answer inside the JVM. Only the texts left over are sent, through one Arrow
-UDF, to Python; every other row carries a null across that boundary. With them
-go answers with a value that a VARIANT would not show as Python does.
+Native first: the strict parse, the first code fence and, where there is no
+fence, the text between the outermost braces settle nearly every answer inside
+the JVM. Only the texts left over are sent, through one Arrow UDF, to Python;
+every other row carries a null across that boundary. With them go answers with
+a value that a VARIANT would not show as Python does.
 """
 
 from __future__ import annotations
@@ -66,6 +67,14 @@ def parse_exactly(text: Column) -> Column:
     return F.when(~text.contains(END_MARK), F.try_parse_json(wrapped))
 
 
+def first_to_last_brace(text: Column) -> Column:
+    """The text from its first ``{`` to its last ``}``, '' without both in that
+    order. Plain searches: the time is linear in the text, whatever it holds."""
+    first = F.instr(text, "{")
+    length = F.length(text) - F.instr(F.reverse(text), "}") + 2 - first
+    return F.when(text.contains("{") & text.contains("}"), F.substr(text, first, length)).otherwise(F.lit(""))
+
+
 def _is_exact(parsed: Column) -> Column:
     return F.coalesce(F.try_variant_get(parsed, "$[1]", "string") == END_MARK, F.lit(False))
 
@@ -291,34 +300,37 @@ def extract_json(df: DataFrame, raw: str = "raw") -> DataFrame:
     """
     text = F.col("_text")
     exact = _is_exact(F.col("_whole"))
-    fenced = _is_exact(F.col("_fence"))
+    inner = _is_exact(F.col("_fence"))
     opens_object = text.startswith("{")
     # A text that opens like JSON may still be JSON for Python, so a fence
     # inside it must wait for the residue's verdict.
     may_be_json = F.substring(text, 1, 1).isin("{", "[", '"')
-    first_fence = strip(F.regexp_extract(text, FENCED, 1))
+    # Without fences, an object from the first brace to the last one is the
+    # longest fragment; if it is none, the residue looks for others.
+    has_fence = text.contains("```")
+    first_object = F.when(has_fence, strip(F.regexp_extract(text, FENCED, 1))).otherwise(first_to_last_brace(text))
 
     df = df.withColumn("_text", strip(F.coalesce(F.col(raw), F.lit(""))))
     df = df.withColumn("_whole", F.when(text != "", parse_exactly(text)))
-    df = df.withColumn("_body", F.when(~exact & ~may_be_json, first_fence).otherwise(F.lit("")))
+    df = df.withColumn("_body", F.when(~exact & ~may_be_json, first_object).otherwise(F.lit("")))
     df = df.withColumn("_fence", F.when(F.col("_body").startswith("{"), parse_exactly(F.col("_body"))))
-    settled = (exact | fenced) & ~is_odd(text)
+    settled = (exact | inner) & ~is_odd(text)
     df = df.withColumn("_found", find_in_text(F.when((text != "") & ~settled, text)))
     df = df.withColumn(
         "_mode",
         F.when(text == "", F.lit("empty"))
         .when(exact, F.when(opens_object, F.lit("clean")).otherwise(F.lit("not-object")))
-        .when(fenced, F.lit("fenced"))
+        .when(inner, F.when(has_fence, F.lit("fenced")).otherwise(F.lit("embedded")))
         .otherwise(F.col("_found.mode")),
     )
     df = df.withColumn(
         "doc",
-        F.when(exact & opens_object, text).when(fenced, F.col("_body")).otherwise(F.col("_found.doc")),
+        F.when(exact & opens_object, text).when(inner, F.col("_body")).otherwise(F.col("_found.doc")),
     )
     fields = F.coalesce(F.col("_found.fields"), F.col("_found.doc"))
     found = F.try_parse_json(F.concat(F.lit("["), fields, F.lit("]")))
     whole = F.when(F.col("_found.fields").isNotNull(), found)
-    whole = whole.when(exact & opens_object, F.col("_whole")).when(fenced, F.col("_fence")).otherwise(found)
+    whole = whole.when(exact & opens_object, F.col("_whole")).when(inner, F.col("_fence")).otherwise(found)
     df = df.withColumn("answer", F.when(F.col("doc").isNotNull(), whole))
     lost = F.col("_mode").isin(EMITTED) & F.col("answer").isNull()
     mode = F.when(lost, F.lit("unparseable")).otherwise(F.col("_mode"))
