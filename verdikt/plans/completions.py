@@ -3,7 +3,8 @@
 Each order yields one answer per run. The answer's fields follow from the
 order's columns, some outside the contract on purpose, and the text around it
 is damaged in ten ways. Everything is computed inside the row, so deriving the
-answers needs no join, no shuffle and no group, however skewed the keys are.
+answers needs no join and no group, however skewed the keys are. The narrow
+orders alone are dealt evenly over the tasks.
 
 The parameters are SQL texts that Spark and DuckDB both read. The expected
 scores are computed elsewhere from the same parameters, never from the JSON.
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdikt.operators.contracts import TASKS
-from verdikt.plans.partitions import spread
+from verdikt.plans.partitions import dealt
 from verdikt.sources.tables import table
 
 RUNS = ["base", "tuned"]
@@ -213,4 +214,4 @@ def derive(orders: DataFrame) -> DataFrame:
 
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(*COLUMNS)
-    return derive(spread(orders, "o_orderkey"))
+    return derive(dealt(orders, "o_orderkey"))
