@@ -92,7 +92,9 @@ def _contains_any(text: str, needles: list[str]) -> str:
 
 
 def _is_exact(low: str) -> str:
-    return f"{low} IN (" + ", ".join(_literal(v) for v in FILLER_EXACT) + ")"
+    longest = max(len(v.encode()) for v in FILLER_EXACT)
+    values = ", ".join(_literal(v) for v in FILLER_EXACT)
+    return f"(octet_length({low}) <= {longest} AND {low} IN ({values}))"
 
 
 def _may_match(low: str, i: int) -> str:

@@ -24,6 +24,7 @@ from verdikt.operators.contracts import (
     choice_rule,
     choice_slot,
     holds_lists,
+    in_item_choice,
     is_item_slot,
     item_choice,
     item_list,
@@ -56,7 +57,8 @@ def shown_at(path: Column) -> Column:
 
 
 def inspect_answer(df: DataFrame) -> DataFrame:
-    """Fill the slots, and ``members``: the item list as maps.
+    """Fill the slots, ``members``, the item list as maps, and ``_keyed``, the
+    values of each member that are checked.
 
     Slot columns: value, list, typed (whether all list members have the wanted
     type), schema, then kind, n (length) and text. Beside them, ``_strings``: the
@@ -77,13 +79,15 @@ def inspect_answer(df: DataFrame) -> DataFrame:
     item_value = F.coalesce(*[F.when(is_item_slot(i), _slot("value", i)) for i in SLOTS])
     df = df.withColumns(schemas | {"_item_value": item_value})
 
+    # A text is taken out once, for its length and itself.
+    df = df.withColumns({f"_plain{i}": F.when(_slot("schema", i) == "STRING", as_string(_slot("value", i))) for i in SLOTS})
+
     columns, odd_texts = {}, []
     for i in SLOTS:
         value, schema = _slot("value", i), _slot("schema", i)
         columns[f"_kind{i}"] = kind_of(f"_schema{i}")
         odd_text = F.when((schema != "STRING") & (rule(i, "want") == "str"), F.to_json(value))
         odd_texts.append(odd_text)
-        columns[f"_text{i}"] = F.when(schema == "STRING", as_string(value))
         columns[f"_n{i}"] = (
             F.when(
                 schema.startswith("ARRAY"),
@@ -93,7 +97,7 @@ def inspect_answer(df: DataFrame) -> DataFrame:
                     F.array_size(as_list(value)),
                 ),
             )
-            .when(schema == "STRING", F.length(as_string(value)))
+            .when(schema == "STRING", F.length(_slot("plain", i)))
             .when(schema.startswith("OBJECT"), key_count(as_object(value)))
         )
     # A text is walked by character and an object by key, as Python does; a
@@ -105,8 +109,14 @@ def inspect_answer(df: DataFrame) -> DataFrame:
     # ``str()`` of the values that should be texts and are not.
     columns["_odd_texts"] = F.when(F.coalesce(*odd_texts).isNotNull(), F.transform(F.array(*odd_texts), python_repr))
     df = df.withColumns(columns)
-    texts = {f"_text{i}": F.coalesce(_slot("text", i), shown_at(rule(i, "name")), F.get("_odd_texts", F.lit(i))) for i in SLOTS}
-    return df.withColumns(texts)
+    texts = {f"_text{i}": F.coalesce(_slot("plain", i), shown_at(rule(i, "name")), F.get("_odd_texts", F.lit(i))) for i in SLOTS}
+    return df.withColumns(texts | {"_keyed": F.transform("members", _keyed)})
+
+
+def _keyed(m: Column) -> Column:
+    """The values of a member that are checked, each looked up once."""
+    values = [F.element_at(m, name).alias(f"key{k}") for k, name in enumerate(item_name_slots())]
+    return F.when(m.isNotNull(), F.struct(*values, F.element_at(m, item_choice()).alias("choice")))
 
 
 # The checks themselves: whether each applies, whether it passes, and its note
@@ -183,21 +193,21 @@ def check_masks() -> dict[str, Column]:
     applies = _bits([c[0] for c in checks])
     passes = _bits([F.coalesce(c[0], F.lit(False)) & c[1] for c in checks])
 
-    def held(m: Column, name: Column, k: int) -> Column:
-        value, listed = F.element_at(m, name), holds_lists(k)
+    def held(m: Column, k: int) -> Column:
+        value, listed = m[f"key{k}"], holds_lists(k)
         plain = truthy(value)
         return plain if listed is None else F.when(listed, truthy(value, often_list=True)).otherwise(plain)
 
     def keys_held(m: Column) -> Column:
-        return _bits([held(m, name, k) for k, name in enumerate(item_name_slots())])
+        return _bits([held(m, k) for k in range(MAX_ITEM_NAMES)])
 
-    items = F.transform("members", lambda m: F.when(m.isNull(), F.lit(-1).cast("long")).otherwise(keys_held(m)))
+    items = F.transform("_keyed", lambda m: F.when(m.isNull(), F.lit(-1).cast("long")).otherwise(keys_held(m)))
     kind, allowed = _choice("kind"), choice_rule()[1]
-    key, own = item_choice("name", "string"), item_choice("allowed", "array<string>")
+    key = item_choice()
 
     def member_choice(m: Column) -> Column:
-        value = F.element_at(m, key)
-        return _against(value.isNotNull(), is_string(value) & F.array_contains(own, as_string(value)))
+        value = m["choice"]
+        return _against(value.isNotNull(), is_string(value) & in_item_choice(as_string(value)))
 
     none = F.array()
     return {
@@ -205,7 +215,7 @@ def check_masks() -> dict[str, Column]:
         "_passes": passes,
         "_held": F.when(item_list().isNotNull(), items).otherwise(none.cast("array<bigint>")),
         "_choice": _against(kind.isNotNull(), (kind == "str") & F.array_contains(allowed, _choice("text"))),
-        "_choices": F.when(key.isNotNull(), F.transform("members", member_choice)).otherwise(none.cast("array<int>")),
+        "_choices": F.when(key.isNotNull(), F.transform("_keyed", member_choice)).otherwise(none.cast("array<int>")),
     }
 
 
@@ -253,7 +263,7 @@ def enum_notes() -> Column:
     kind, text, (name, _) = _choice("kind"), _choice("text"), choice_rule()
     shown = F.when(kind == "str", quoted(text)).otherwise(text)
     top = F.when(F.col("_choice") == FAILED, F.concat(F.lit("enum:"), name, F.lit("="), shown))
-    listed, key = item_list(), item_choice("name", "string")
+    listed, key = item_list(), item_choice()
 
     def member(outcome: Column, i: Column) -> Column:
         value = F.element_at(F.get("members", i), key)

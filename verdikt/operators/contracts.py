@@ -253,14 +253,22 @@ def holds_lists(k: int) -> Column | None:
     return _among(tasks) if tasks else None
 
 
-def item_choice(part: str, sql_type: str) -> Column:
-    """Name or value set of the one key with a value set in each member."""
-    values = {}
-    for task, c in CONTRACTS.items():
-        for r in c.items:
-            if r.allowed:
-                values[task] = getattr(r, part)
-    return _by_task(values, sql_type)
+def _item_choices() -> dict[str, ItemRule]:
+    """The one key with a value set in each member."""
+    return {task: r for task, c in CONTRACTS.items() for r in c.items if r.allowed}
+
+
+def item_choice() -> Column:
+    """Name of that key."""
+    return _by_task({task: r.name for task, r in _item_choices().items()}, "string")
+
+
+def in_item_choice(text: Column) -> Column:
+    """Whether a text is in that key's value set: a search in the values' list as
+    one text, as a search in an array boxes each member inside array lambdas."""
+    sets = {task: r.allowed for task, r in _item_choices().items()}
+    assert not any("," in value for values in sets.values() for value in values)
+    return F.find_in_set(text, _by_task({task: ",".join(values) for task, values in sets.items()}, "string")) > 0
 
 
 def known_task(task: Column) -> Column:

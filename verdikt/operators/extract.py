@@ -43,16 +43,18 @@ _names = "|".join(sorted(SHOWN_FIELDS.union(*SHOWN_MEMBERS.values())))
 #: A number or container where a text is wanted, found from its colon: few
 #: characters of an answer are one. Behind more white space than a look back
 #: takes, any key counts.
-ODD_VALUE = rf':(?=[ \t\n\r]*+[-0-9\[{{])(?<="(?:{_names})"[ \t\n\r]{{0,4}}:|[ \t\n\r]{{5}}:)'
-#: A number too long for a VARIANT.
-ODD_NUMBER = "[0-9]{19}"
+ODD_VALUE = rf'(?<=:)(?=[ \t\n\r]*+[-0-9\[{{])(?<="(?:{_names})"[ \t\n\r]{{0,4}}:|[ \t\n\r]{{5}}:)'
+#: A number too long for a VARIANT, behind its first digit.
+ODD_NUMBER = "(?<=[0-9])[0-9]{18}"
+#: Both in one walk over the text, which stops at colons and digits alone.
+ODD = f"[:0-9](?:{ODD_VALUE}|{ODD_NUMBER})"
 #: The begin of a key that may be one of those in other letters.
 ESCAPE, ODD_KEY = "\\u00", r"\\u00[4-7]"
 
 
 def is_odd(text: Column) -> Column:
     """Whether a VARIANT may not show some value as Python does."""
-    return (text.contains(ESCAPE) & text.rlike(ODD_KEY)) | text.rlike(ODD_VALUE) | text.rlike(ODD_NUMBER)
+    return (text.contains(ESCAPE) & text.rlike(ODD_KEY)) | text.rlike(ODD)
 
 
 def parse_exactly(text: Column) -> Column:
@@ -299,21 +301,24 @@ def extract_json(df: DataFrame, raw: str = "raw") -> DataFrame:
     does not.
     """
     text = F.col("_text")
-    exact = _is_exact(F.col("_whole"))
-    inner = _is_exact(F.col("_fence"))
+    # Columns of their own: a look into a VARIANT at each mention would add up.
+    exact, inner = F.col("_exact"), F.col("_inner")
     opens_object = text.startswith("{")
     # A text that opens like JSON may still be JSON for Python, so a fence
     # inside it must wait for the residue's verdict.
-    may_be_json = F.substring(text, 1, 1).isin("{", "[", '"')
+    may_be_json = opens_object | text.startswith("[") | text.startswith('"')
     # Without fences, an object from the first brace to the last one is the
     # longest fragment; if it is none, the residue looks for others.
     has_fence = text.contains("```")
-    first_object = F.when(has_fence, strip(F.regexp_extract(text, FENCED, 1))).otherwise(first_to_last_brace(text))
+    first_object = F.when(has_fence, F.regexp_extract(text, FENCED, 1)).otherwise(first_to_last_brace(text))
 
     df = df.withColumn("_text", strip(F.coalesce(F.col(raw), F.lit(""))))
     df = df.withColumn("_whole", F.when(text != "", parse_exactly(text)))
+    df = df.withColumn("_exact", _is_exact(F.col("_whole")))
     df = df.withColumn("_body", F.when(~exact & ~may_be_json, first_object).otherwise(F.lit("")))
+    df = df.withColumn("_body", strip(F.col("_body")))
     df = df.withColumn("_fence", F.when(F.col("_body").startswith("{"), parse_exactly(F.col("_body"))))
+    df = df.withColumn("_inner", _is_exact(F.col("_fence")))
     settled = (exact | inner) & ~is_odd(text)
     df = df.withColumn("_found", find_in_text(F.when((text != "") & ~settled, text)))
     df = df.withColumn(
@@ -337,7 +342,7 @@ def extract_json(df: DataFrame, raw: str = "raw") -> DataFrame:
     # One row in a list, taken apart again: a filter on what was found stays
     # above this step and cannot repeat the extraction, while one on the other
     # columns passes through it, down to the scan.
-    made = ["_text", "_whole", "_body", "_fence", "_found", "_mode", "doc", "answer"]
+    made = ["_text", "_whole", "_exact", "_body", "_fence", "_inner", "_found", "_mode", "doc", "answer"]
     kept = [c for c in df.columns if c not in [*made, "extract", "shown"]]
     return df.select(*kept, F.inline(F.array(F.struct(mode.alias("extract"), "doc", "answer", F.col("_found.shown").alias("shown")))))
 
