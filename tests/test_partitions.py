@@ -38,3 +38,10 @@ def test_tasks_are_bounded(spark, monkeypatch, unset):
     monkeypatch.setattr(partitions, "ROWS", 10)
     monkeypatch.setattr(partitions, "MOST", 7)
     assert partitions.dealt(spark.range(1000, numPartitions=1)).rdd.getNumPartitions() == 7
+
+
+def test_rows_that_cannot_be_counted_are_dealt_by_their_number(spark, monkeypatch, unset):
+    monkeypatch.setattr(partitions, "ROWS", 100)
+    stream = spark.readStream.format("rate").load()
+    plan = partitions.dealt(stream, rows=1000)._jdf.queryExecution().logical().toString()
+    assert "Repartition 10, true" in plan

@@ -6,7 +6,7 @@ import pytest
 
 from verdikt.operators.score import score
 from verdikt.streaming import sink
-from verdikt.streaming.score_stream import read_scored, score_stream
+from verdikt.streaming.score_stream import STORE, keys_on_disk, read_scored, score_stream
 
 SCHEMA = "run string, row_id bigint, task string, slice string, raw string"
 
@@ -71,3 +71,42 @@ def test_a_late_repeat_after_the_state_has_gone(spark, tmp_path):
     want = score(answers(spark, range(9)))
     columns = ["row_id", "extract", "score"]
     assert sorted(got.select(*columns).collect()) == sorted(want.select(*columns).collect())
+
+
+def test_the_streams_keys_lie_on_disk(spark, tmp_path):
+    source, mark = str(tmp_path / "in"), tmp_path / "mark"
+    answers(spark, range(20)).write.parquet(source)
+    stream = spark.readStream.schema(SCHEMA).parquet(source)
+    score_stream(stream, str(tmp_path / "out"), str(mark)).awaitTermination()
+    # RocksDB's snapshots or changes; a store in the heap would leave deltas.
+    kept = {f.suffix for f in (mark / "state" / "0").rglob("*") if f.is_file()}
+    assert kept & {".zip", ".changelog"} and ".delta" not in kept
+    assert spark.conf.get(f"{STORE}.providerClass", None) is None
+    assert read_scored(spark, str(tmp_path / "out")).count() == 20
+    assert not list((tmp_path / "out" / "staged").glob("*"))
+
+
+def test_a_session_keeps_the_store_it_sets(spark):
+    name = f"{STORE}.rocksdb.maxMemoryUsageMB"
+    spark.conf.set(name, "77")
+    try:
+        with keys_on_disk(spark):
+            assert spark.conf.get(name) == "77"
+            assert spark.conf.get(f"{STORE}.rocksdb.boundedMemoryUsage") == "true"
+        assert spark.conf.get(name) == "77"
+    finally:
+        spark.conf.unset(name)
+
+
+def test_a_large_batch_is_dealt_over_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sink, "FILE_ROWS", 200)
+    monkeypatch.setattr(sink, "FILE_BITMAPS", 1)
+    path, rows = str(tmp_path), 12_800
+    sink.commit(answers(spark, range(rows)), path, "q", 0, keep, rows)
+    name, bitmaps = next((r.folder, r.bitmaps) for r in sink.manifest(spark, path).collect() if r.folder)
+    files = glob.glob(f"{path}/data/folder={name}/bucket=*/*.parquet")
+    sizes = [spark.read.parquet(f).count() for f in files]
+    assert len(files) == 4 * sink.BUCKETS and sum(sizes) == rows and max(sizes) < 2 * sink.FILE_ROWS
+    assert bitmaps == 4 and len(glob.glob(f"{path}/filters/folder={name}/*.parquet")) > 1
+    again = answers(spark, range(rows - 50, rows + 50))
+    assert sorted(r.row_id for r in sink.unseen(again, path, [(name, bitmaps)]).collect()) == list(range(rows, rows + 50))

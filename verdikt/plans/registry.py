@@ -21,7 +21,7 @@ from verdikt.operators.resume import resumed, score_pending
 from verdikt.operators.score import examine, score
 from verdikt.plans.completions import COLUMNS, RUNS, completions, derive
 from verdikt.plans.corpora import KEY, chat_corpus, document_corpus, split
-from verdikt.plans.partitions import spread
+from verdikt.plans.partitions import dealt, spread
 from verdikt.session import materialize, shared_dir
 from verdikt.sources import jsonl, sinks
 from verdikt.sources.tables import table
@@ -387,10 +387,10 @@ def resumed_scores(spark, sf_dir):
 def streamed_scores(spark, sf_dir):
     """The stream's result is the batch's result."""
     work = _work(spark, "stream")
-    schema = table(spark, sf_dir, "orders").schema
+    orders = table(spark, sf_dir, "orders")
     # A pattern, because a stream's plain path has to be a folder.
-    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/orders.parque[t]")
-    answers = derive(spread(source.select(*COLUMNS), "o_orderkey"))
+    source = spark.readStream.schema(orders.schema).parquet(f"{sf_dir}/orders.parque[t]")
+    answers = derive(dealt(source.select(*COLUMNS), "o_orderkey", rows=orders.count()))
     score_stream(answers, f"{work}/scored", f"{work}/checkpoint").awaitTermination()
     df = read_scored(spark, f"{work}/scored").drop("batch", "chars")
     return rounded(df.withColumn("notes", F.array_join("notes", "; ")))

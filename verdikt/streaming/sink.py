@@ -13,11 +13,17 @@ batch looks its keys up in the filters, a bitmap per key and folder, and only
 keys that may be there are looked for in the rows of their buckets. After
 ``FOLDERS`` batches the folders are rewritten as one, so the number of files and
 of filters does not grow with the number of batches.
+
+However large a batch is, no task holds much of it: a batch lies in compressed
+files while it is looked up and scored, a bucket has a file for each
+``FILE_ROWS`` rows, and filters are made by ranges of bitmaps.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +37,8 @@ BUCKETS, FOLDERS = 16, 8
 #: Bits of one bitmap (fixed by Spark's bitmap functions), bits per key that
 #: the filter has, and bits that a key sets.
 BITMAP, BITS_PER_KEY, HASHES = 32768, 10, 5
+#: Rows of a file, bitmaps of a filter's file, and bytes a Parquet writer holds.
+FILE_ROWS, FILE_BITMAPS, WRITER_BYTES = 250_000, 256, 16 << 20
 
 KEYED = "run string, row_id bigint, bucket int"
 MANIFEST = "folder string, bitmaps int, query string, batch bigint, version bigint"
@@ -71,8 +79,12 @@ def _bits(bitmaps: Column) -> tuple[Column, list[Column]]:
 def bloom_filter(keys: DataFrame, bitmaps: int) -> DataFrame:
     """``bitmap, bits`` of a filter over the keys."""
     place, bits = _bits(F.lit(bitmaps))
-    each = keys.select(place.alias("bitmap"), F.explode(F.array(*bits)).alias("bit"))
-    return each.groupBy("bitmap").agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    # A bitmap's keys meet in one task before anything is set: made in parts,
+    # there would be as many copies of the filter as tasks.
+    met = keys.select(*KEY, place.alias("bitmap")).repartition(-(-bitmaps // FILE_BITMAPS), "bitmap")
+    set_by = [F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias(f"by_{k}") for k, bit in enumerate(bits)]
+    each = met.groupBy("bitmap").agg(*set_by).select("bitmap", F.explode(F.array(*[f"by_{k}" for k in range(HASHES)])).alias("bits"))
+    return each.groupBy("bitmap").agg(F.bitmap_or_agg("bits").alias("bits"))
 
 
 def maybe_there(keys: DataFrame, filters: DataFrame, folders: list[tuple[str, int]]) -> DataFrame:
@@ -103,13 +115,32 @@ def _delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def _add(df: DataFrame, path: str) -> tuple[str, int]:
-    """Write rows and their filter as a new folder."""
+def _write(df: DataFrame, path: str, mode: str = "error", by: list[str] | None = None) -> None:
+    df.write.mode(mode).option("parquet.block.size", WRITER_BYTES).parquet(path, partitionBy=by)
+
+
+@contextmanager
+def staged(batch: DataFrame, path: str, query: str) -> Iterator[DataFrame]:
+    """A batch, computed once, in files beside the sink's own for as long as it
+    is needed. What a run that broke off left there is written over."""
+    spark, place = batch.sparkSession, f"{path}/staged/query={query}"
+    _write(batch, place, "overwrite")
+    try:
+        yield spark.read.schema(batch.schema).parquet(place)
+    finally:
+        _delete(spark, place)
+
+
+def _add(df: DataFrame, path: str, rows: int = 0) -> tuple[str, int]:
+    """Write rows, some ``rows`` of them, and their filter as a new folder."""
     spark, name = df.sparkSession, uuid.uuid4().hex
-    df.withColumn("bucket", bucket_of()).repartition(BUCKETS, "bucket").write.partitionBy("bucket").parquet(f"{path}/data/folder={name}")
+    files = -(-rows // (BUCKETS * FILE_ROWS)) or 1
+    place = F.col("bucket") * files + F.pmod(F.xxhash64(*KEY, F.lit("file")), F.lit(files)).cast("int")
+    dealt = df.withColumn("bucket", bucket_of()).repartitionById(BUCKETS * files, place)
+    _write(dealt, f"{path}/data/folder={name}", by=["bucket"])
     kept = rows_of(spark, path, KEYED, [name])
     bitmaps = -(-kept.count() * BITS_PER_KEY // BITMAP) or 1
-    bloom_filter(kept, bitmaps).coalesce(1).write.parquet(f"{path}/filters/folder={name}")
+    _write(bloom_filter(kept, bitmaps), f"{path}/filters/folder={name}")
     return name, bitmaps
 
 
@@ -127,26 +158,27 @@ def unseen(batch: DataFrame, path: str, folders: list[tuple[str, int]]) -> DataF
     return batch.join(kept.join(few(maybe.drop("bucket")), KEY, "left_semi").select(*KEY), KEY, "left_anti")
 
 
-def commit(batch: DataFrame, path: str, query: str, number: int, prepare) -> None:
+def commit(batch: DataFrame, path: str, query: str, number: int, prepare, rows: int = 0) -> None:
     """Add what is new in a batch, as ``prepare`` makes it, exactly once.
 
     ``query`` and ``number`` name the batch; one that is committed is left out.
-    The stream's state sees to it that no key stands twice in a batch.
+    The stream's state sees to it that no key stands twice in a batch. ``rows``
+    is the number of its rows, by which they are dealt over files.
     """
     spark = batch.sparkSession
-    rows = manifest(spark, path).collect()
-    done = {r.query: r.batch for r in rows if r.query is not None}
+    known = manifest(spark, path).collect()
+    done = {r.query: r.batch for r in known if r.query is not None}
     if done.get(query, -1) >= number:
         return
-    folders = [(r.folder, r.bitmaps) for r in rows if r.folder is not None]
-    version = max((r.version for r in rows), default=-1) + 1
+    folders = [(r.folder, r.bitmaps) for r in known if r.folder is not None]
+    version = max((r.version for r in known), default=-1) + 1
     old: list[str] = []
-    added = _add(prepare(unseen(batch, path, folders)), path)
+    added = _add(prepare(unseen(batch, path, folders)), path, rows)
     folders.append(added)
     if len(folders) > FOLDERS:
         old = [f for f, _ in folders]
         whole = _read(spark, f"{path}/data", old).drop("bucket", "folder")
-        folders = [_add(whole, path)]
+        folders = [_add(whole, path, whole.count())]
     done[query] = number
     entries = [(f, n, None, None, version) for f, n in folders] + [(None, None, q, b, version) for q, b in done.items()]
     spark.createDataFrame(entries, MANIFEST).drop("version").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/version={version}")
